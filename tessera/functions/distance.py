@@ -1,0 +1,98 @@
+"""Distances between two vectors, as array expressions or over column lists.
+
+Array forms use ``zip_with`` / ``aggregate`` so they stay inside the JVM.
+Elements are cast to double before subtracting (float32 embeddings would
+otherwise lose precision in the difference).
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _arr(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.transform(c, lambda x: x.cast("double"))
+
+
+def _absdiff(a: Column | str, b: Column | str) -> Column:
+    return F.zip_with(_arr(a), _arr(b), lambda x, y: F.abs(x - y))
+
+
+def chebyshev(a: Column | str, b: Column | str) -> Column:
+    """max_j |a_j - b_j|"""
+    return F.array_max(_absdiff(a, b))
+
+
+def manhattan(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(_absdiff(a, b), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def minkowski(a: Column | str, b: Column | str, p: float) -> Column:
+    if p == 1:
+        return manhattan(a, b)
+    s = F.aggregate(_absdiff(a, b), F.lit(0.0), lambda acc, x: acc + F.pow(x, F.lit(float(p))))
+    return F.pow(s, F.lit(1.0 / p))
+
+
+def euclidean(a: Column | str, b: Column | str) -> Column:
+    s = F.aggregate(_absdiff(a, b), F.lit(0.0), lambda acc, x: acc + x * x)
+    return F.sqrt(s)
+
+
+def cosine_distance(a: Column | str, b: Column | str) -> Column:
+    """1 - a.b / (|a||b|); 0-length vectors give NULL."""
+    aa, bb = _arr(a), _arr(b)
+    dot = F.aggregate(F.zip_with(aa, bb, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    na = F.sqrt(F.aggregate(aa, F.lit(0.0), lambda acc, x: acc + x * x))
+    nb = F.sqrt(F.aggregate(bb, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.lit(1.0) - dot / F.nullif(na * nb, F.lit(0.0))
+
+
+def vector_distance(metric: str, a: Column | str, b: Column | str, p: float = 2.0) -> Column:
+    metric = metric.lower()
+    if metric == "chebyshev":
+        return chebyshev(a, b)
+    if metric in ("manhattan", "cityblock", "l1"):
+        return manhattan(a, b)
+    if metric in ("euclidean", "l2"):
+        return euclidean(a, b)
+    if metric == "minkowski":
+        return minkowski(a, b, p)
+    if metric == "cosine":
+        return cosine_distance(a, b)
+    raise ValueError(f"unknown metric {metric!r}")
+
+
+def columns_distance(metric: str, left: list[Column], right: list[Column], p: float = 2.0) -> Column:
+    """Distance over parallel column lists (no array materialisation)."""
+    diffs = [F.abs(x.cast("double") - y.cast("double")) for x, y in zip(left, right)]
+    metric = metric.lower()
+    if metric == "chebyshev":
+        return F.greatest(*diffs) if len(diffs) > 1 else diffs[0]
+    if metric in ("manhattan", "cityblock", "l1"):
+        return reduce(lambda s, d: s + d, diffs)
+    if metric in ("euclidean", "l2"):
+        return F.sqrt(reduce(lambda s, d: s + d, [d * d for d in diffs]))
+    if metric == "minkowski":
+        return F.pow(reduce(lambda s, d: s + d, [F.pow(d, F.lit(float(p))) for d in diffs]), F.lit(1.0 / p))
+    raise ValueError(f"unknown metric {metric!r}")
+
+
+def indexed_distance(metric: str, a: Column | str, b: Column | str, dim: int, p: float = 2.0) -> Column:
+    """Distance with the dimension known up front: ``a[j]`` element access for
+    j < dim, so the whole expression is whole-stage-codegen'd (the lambda
+    forms above run interpreted)."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    xs = [a[j].cast("double") for j in range(dim)]
+    ys = [b[j].cast("double") for j in range(dim)]
+    if metric.lower() == "cosine":
+        dot = reduce(lambda s, t: s + t, [x * y for x, y in zip(xs, ys)])
+        na = F.sqrt(reduce(lambda s, t: s + t, [x * x for x in xs]))
+        nb = F.sqrt(reduce(lambda s, t: s + t, [y * y for y in ys]))
+        return F.lit(1.0) - dot / F.nullif(na * nb, F.lit(0.0))
+    return columns_distance(metric, xs, ys, p)
