@@ -69,12 +69,12 @@ def domain_violations(df: DataFrame, key: str, domains: dict[str, tuple[float, f
 
 
 def domain_summary(df: DataFrame, domains: dict[str, tuple[float, float]]) -> DataFrame:
-    """(column, lo, hi, n_below, n_above) in one scan."""
+    """(column_name, lo, hi, n_below, n_above) in one scan."""
     aggs = []
     for i, (c, (lo, hi)) in enumerate(domains.items()):
         aggs += [F.count_if(F.col(c) < lo).alias(f"b{i}"), F.count_if(F.col(c) > hi).alias(f"a{i}")]
     row = df.agg(*aggs)
-    stack = [F.struct(F.lit(c).alias("column"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"),
+    stack = [F.struct(F.lit(c).alias("column_name"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"),
                       F.col(f"b{i}").alias("n_below"), F.col(f"a{i}").alias("n_above"))
              for i, (c, (lo, hi)) in enumerate(domains.items())]
     return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")

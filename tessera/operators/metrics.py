@@ -57,22 +57,21 @@ def classification_report(df: DataFrame, label: str, pred: str, digits: int | No
     tiny table.
     """
     pairs = confusion_matrix(df, label, pred)
-    classes = (pairs.select(F.col("actual").alias("cls")).union(pairs.select(F.col("predicted").alias("cls")))
-               .distinct())
-    per = (classes.join(pairs, F.lit(True))          # classes x observed pairs: both tiny
-           .groupBy("cls").agg(
-               F.sum(F.when((F.col("actual") == F.col("cls")) & (F.col("predicted") == F.col("cls")),
-                            F.col("count")).otherwise(0)).alias("tp"),
-               F.sum(F.when(F.col("predicted") == F.col("cls"), F.col("count")).otherwise(0)).alias("pp"),
-               F.sum(F.when(F.col("actual") == F.col("cls"), F.col("count")).otherwise(0)).alias("support"),
-               F.sum("count").alias("n")))
+    # each observed (actual, predicted) pair feeds its actual class (support,
+    # hits) and its predicted class (predicted positives): no join needed
+    fed = pairs.select(F.explode(F.array(
+        F.struct(F.col("actual").alias("cls"), F.col("count").alias("support"), F.lit(0).cast("long").alias("pp"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0).alias("tp")),
+        F.struct(F.col("predicted").alias("cls"), F.lit(0).cast("long").alias("support"),
+                 F.col("count").alias("pp"), F.lit(0).cast("long").alias("tp")))).alias("s")).select("s.*")
+    per = fed.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("pp").alias("pp"), F.sum("support").alias("support"))
     per = per.select(F.col("cls").cast("string").alias("row_name"),
                      _div(F.col("tp"), F.col("pp")).alias("precision"),
                      _div(F.col("tp"), F.col("support")).alias("recall"),
                      _div(2 * F.col("tp"), F.col("pp") + F.col("support")).alias("f1"),
-                     F.col("support").cast("long").alias("support"), "tp", "n")
+                     F.col("support").cast("long").alias("support"), "tp")
     summ = per.agg(
-        (F.sum("tp") / F.first("n")).alias("acc"),
+        (F.sum("tp") / F.sum("support")).alias("acc"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
@@ -81,8 +80,10 @@ def classification_report(df: DataFrame, label: str, pred: str, digits: int | No
     rows = summ.select(F.explode(F.array(
         F.struct(F.lit("accuracy").alias("row_name"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"), F.col("sup").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("sup")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("sup")),
+        F.struct(F.lit("macro avg").alias("row_name"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
+                 F.col("mf").alias("f1"), F.col("sup").alias("support")),
+        F.struct(F.lit("weighted avg").alias("row_name"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
+                 F.col("wf").alias("f1"), F.col("sup").alias("support")),
     )).alias("s")).select("s.*")
     out = per.select("row_name", "precision", "recall", "f1", "support").unionByName(rows)
     if digits is not None:
@@ -132,17 +133,24 @@ def best_model_diff(metrics: DataFrame, model_col: str = "model", meta_name: str
     ``metrics`` has one row per model -- a small table.
     Output: (best_model, metric, best_value, meta_value, diff).
     """
-    base = metrics.where(F.col(model_col) != meta_name)
-    w = Window.orderBy(F.desc(by), F.asc(model_col))        # one row per model: tiny
-    best = base.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-    meta = metrics.where(F.col(model_col) == meta_name)
-    j = best.alias("b").crossJoin(meta.alias("m"))               # 1 x 1 rows
-    stack = [F.struct(F.col(f"b.{model_col}").alias("best_model"), F.lit(m).alias("metric"),
-                      F.col(f"b.{m}").alias("best_value"), F.col(f"m.{m}").alias("meta_value"),
-                      F.round(F.col(f"m.{m}") - F.col(f"b.{m}"), 6).alias("diff")) for m in measures]
-    return j.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
-
-
-def top_k(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:
-    """First k rows by score desc, tie column asc (a top-k report)."""
-    return df.orderBy(F.desc(score), F.asc(tie)).limit(k)
+    is_meta = F.col(model_col) == meta_name
+    # best base: smallest (-score, name) -- one aggregate over the per-model table
+    order = F.struct((-F.col(by)).alias("o"), F.col(model_col).alias("n"))
+    row = metrics.agg(
+        F.min_by(F.struct(F.col(model_col).alias("model"), *[F.col(m).alias(m) for m in measures]),
+                 F.when(~is_meta, order)).alias("b"),
+        *[F.max(F.when(is_meta, F.col(m))).alias(f"meta_{m}") for m in measures])
+    stack = [F.struct(F.col("b.model").alias("best_model"), F.lit(m).alias("metric"),
+                      F.col(f"b.{m}").alias("best_value"), F.col(f"meta_{m}").alias("meta_value"),
+                      F.round(F.col(f"meta_{m}") - F.col(f"b.{m}"), 6).alias("diff")) for m in measures]
+    return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
+
+
+def top_k(df: DataFrame, score: str, k: int, tie: str | list[str]) -> DataFrame:
+    """First k rows by score desc, then the tie column(s) asc (a top-k report).
+
+    ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject: each task keeps
+    its own k best, only k rows per task reach the final merge.
+    """
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    return df.orderBy(F.desc(score), *[F.asc(t) for t in ties]).limit(k)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.quantiles import exact_quantiles
 
-BOUNDS_SCHEMA = "column STRING, q1 DOUBLE, q3 DOUBLE, iqr DOUBLE, lower_bound DOUBLE, upper_bound DOUBLE"
+BOUNDS_SCHEMA = "column_name STRING, q1 DOUBLE, q3 DOUBLE, iqr DOUBLE, lower_bound DOUBLE, upper_bound DOUBLE"
 
 
 def iqr_bounds(df: DataFrame, columns: list[str] | None = None, *, exclude: list[str] = (),
@@ -57,7 +57,7 @@ def bounds_dict(bounds: DataFrame | dict) -> dict[str, tuple[float, float]]:
         for c, b in bounds.items():
             out[c] = (b["lower_bound"], b["upper_bound"]) if isinstance(b, dict) else tuple(b)
         return out
-    return {r["column"]: (r["lower_bound"], r["upper_bound"]) for r in bounds.collect()}
+    return {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in bounds.collect()}
 
 
 def outside(c: str, lo: float | None, hi: float | None) -> Column:
@@ -90,7 +90,7 @@ def outlier_flags(df: DataFrame, bounds: DataFrame | dict, prefix: str = "out_")
 
 
 def outlier_counts(df: DataFrame, bounds: DataFrame | dict) -> DataFrame:
-    """(column, n_outliers) per bounded column plus a ``__any__`` row: rows removed.
+    """(column_name, n_outliers) per bounded column plus a ``__any__`` row: rows removed.
 
     One scan; each count is a ``count_if`` of the column's own test.
     """
@@ -99,7 +99,7 @@ def outlier_counts(df: DataFrame, bounds: DataFrame | dict) -> DataFrame:
     aggs.append(F.count_if(outlier_predicate(df, b)).alias("__any__"))
     row = df.agg(*aggs)
     names = list(b) + ["__any__"]
-    return row.unpivot([], names, "column", "n_outliers")
+    return row.unpivot([], names, "column_name", "n_outliers")
 
 
 def remove_outliers_self(df: DataFrame, columns: list[str], factor: float = 1.5,

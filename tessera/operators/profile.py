@@ -18,13 +18,13 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
-    """(column, n_rows, missing, missing_pct) -- one scan for all columns."""
+    """(column_name, n_rows, missing, missing_pct) -- one scan for all columns."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
     wide = df.agg(*aggs)
-    long = wide.unpivot(["__n"], columns, "column", "missing")
+    long = wide.unpivot(["__n"], columns, "column_name", "missing")
     return long.select(
-        "column",
+        "column_name",
         F.col("__n").alias("n_rows"),
         F.col("missing"),
         F.round(F.when(F.col("__n") == 0, F.lit(0.0))
@@ -66,20 +66,17 @@ def corr_matrix(df: DataFrame, columns: list[str], digits: int | None = 6,
     """
     pairs = list(combinations(columns, 2))
     aggs = [F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("__n")]
+    # diagonal: 1 when the column has two different non-null values (min < max)
+    aggs += [(F.min(c) < F.max(c)).alias(f"d{j}") for j, c in enumerate(columns)]
     row = df.agg(*aggs)
     stack = []
     for i, (a, b) in enumerate(pairs):
         stack.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"{i}").alias("corr")))
         stack.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(f"{i}").alias("corr")))
     if include_diagonal:
-        # a column with at least two distinct non-null values correlates 1 with itself
-        diag = df.agg(*[F.count_distinct(c).alias(f"d{j}") for j, c in enumerate(columns)])
-        row = row.crossJoin(diag)      # two one-row frames
         for j, c in enumerate(columns):
             stack.append(F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"),
-                                  F.when(F.col(f"d{j}") > 1, F.lit(1.0)).alias("corr")))
+                                  F.when(F.col(f"d{j}"), F.lit(1.0)).alias("corr")))
     out = row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
     if digits is not None:
         out = out.withColumn("corr", F.round("corr", digits))
@@ -87,12 +84,12 @@ def corr_matrix(df: DataFrame, columns: list[str], digits: int | None = 6,
 
 
 def corr_with_label(df: DataFrame, columns: list[str], label: str, digits: int | None = 6) -> DataFrame:
-    """(column, corr) with the label, sorted descending (one aggregate)."""
+    """(column_name, corr) with the label, sorted descending (one aggregate)."""
     row = df.agg(*[F.corr(c, label).alias(c) for c in columns])
-    out = row.unpivot([], columns, "column", "corr")
+    out = row.unpivot([], columns, "column_name", "corr")
     if digits is not None:
         out = out.withColumn("corr", F.round("corr", digits))
-    return out.orderBy(F.desc_nulls_last("corr"), "column")
+    return out.orderBy(F.desc_nulls_last("corr"), "column_name")
 
 
 def complete_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

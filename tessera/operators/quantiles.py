@@ -52,23 +52,32 @@ def to_long(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def column_stats(long: DataFrame) -> dict:
-    return {r["column"]: r for r in long.groupBy("column").agg(
-        F.count("*").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
-        F.approx_count_distinct("value").alias("ndv")).collect()}
+def column_stats(long: DataFrame, probs: list[float] = (), delta: float = 0.0) -> dict:
+    """count / min / max / approx distinct per column, and -- in the same pass --
+    sketch values at ``q - delta`` and ``q + delta`` for each wanted q."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
+            F.approx_count_distinct("value").alias("ndv")]
+    if probs:
+        pts = [min(1.0, max(0.0, x)) for q in probs for x in (q - delta, q + delta)]
+        aggs.append(F.percentile_approx("value", F.array(*[F.lit(x) for x in pts]), _ACCURACY).alias("sk"))
+    return {r["column"]: r for r in long.groupBy("column").agg(*aggs).collect()}
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    max_exact: int = 50_000) -> dict[str, dict]:
+                    max_exact: int = 50_000, persist: bool = False) -> dict[str, dict]:
     """Return ``{column: {"n", "min", "max", q: value for q in probs}}``.
 
     Linear interpolation between the order statistics at ``pos = (n-1)*q``
     (the rule of ``percentile``, ``quantile_cont`` and pandas ``quantile``).
+    Usually three passes: stats + sketch, bracket counts, exact resolve.
     Only one small row per column / per wanted rank reaches the driver.
     """
     spark = df.sparkSession
-    long = to_long(df, columns).persist()
-    stats = column_stats(long)
+    long = to_long(df, columns)
+    if persist:
+        long = long.persist()
+    delta = 3.0 / _ACCURACY
+    stats = column_stats(long, probs, delta)
 
     targets: list[_Target] = []
     needed: dict[tuple[str, int], _Target] = {}
@@ -77,7 +86,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if s is None:
             continue
         n = s["n"]
-        for q in probs:
+        for qi, q in enumerate(probs):
             pos = (n - 1) * q
             for r in sorted({int(math.floor(pos)), int(math.ceil(pos))}):
                 if (c, r) in needed:
@@ -87,9 +96,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     t.value = s["mn"]
                 elif r == n - 1 or s["mn"] == s["mx"]:
                     t.value = s["mx"]
+                elif s["ndv"] * 1.1 + 16 > max_exact:
+                    t.lo, t.hi = s["sk"][2 * qi], s["sk"][2 * qi + 1]     # sketch bracket, counts unknown
+                    t.inside = -1
                 needed[(c, r)] = t
                 targets.append(t)
 
+    pending = [t for t in targets if t.value is None and t.inside < 0]
+    if pending:
+        _count_brackets(long, spark, pending, stats)
+
     rounds = 0
     while True:
         open_ = [t for t in targets if t.value is None]
@@ -103,7 +119,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if large:
             _narrow(long, spark, large)
 
-    long.unpersist()
+    if persist:
+        long.unpersist()
     out: dict[str, dict] = {}
     for c in columns:
         s = stats.get(c)
@@ -121,6 +138,29 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return out
 
 
+def _count_brackets(long: DataFrame, spark, targets: list[_Target], stats: dict) -> None:
+    """Exact counts below / inside each sketch bracket (one pass for all)."""
+    rows = [(t.tid, t.column, float(t.lo), float(t.hi)) for t in targets]
+    # one row per wanted order statistic: size-bounded, safe to broadcast
+    tf = F.broadcast(spark.createDataFrame(rows, "tid INT, column STRING, lo DOUBLE, hi DOUBLE"))
+    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    res = (long.join(tf, "column").groupBy("tid").agg(
+        F.count_if(v < lo).alias("below"),
+        F.count_if((v >= lo) & (v <= hi)).alias("inside"),
+        F.approx_count_distinct(F.when((v >= lo) & (v <= hi), v)).alias("ndv")).collect())
+    got = {r["tid"]: r for r in res}
+    for t in targets:
+        r = got.get(t.tid)
+        below, inside = (r["below"], r["inside"]) if r else (0, 0)
+        if r is not None and below <= t.rank < below + inside:
+            t.below, t.inside, t.ndv = below, inside, r["ndv"]
+            if t.lo == t.hi:
+                t.value = t.lo
+        else:                        # sketch missed the rank: fall back to the whole range
+            s = stats[t.column]
+            t.lo, t.hi, t.below, t.inside, t.ndv = s["mn"], s["mx"], 0, s["n"], s["ndv"]
+
+
 def _in_bracket(long: DataFrame, spark, targets: list[_Target]) -> DataFrame:
     # one row per wanted order statistic: at most len(columns)*len(probs)*2
     # rows, so broadcasting it is size-bounded by construction

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 
 def minmax_fit(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, min, max) -- one row per column, from one aggregate."""
+    """(column_name, min, max) -- one row per column, from one aggregate."""
     aggs = []
     for i, c in enumerate(columns):
         aggs += [F.min(F.col(c).cast("double")).alias(f"mn{i}"), F.max(F.col(c).cast("double")).alias(f"mx{i}")]
     row = df.agg(*aggs)
-    stack = [F.struct(F.lit(c).alias("column"), F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"))
+    stack = [F.struct(F.lit(c).alias("column_name"), F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"))
              for i, c in enumerate(columns)]
     return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
 
@@ -26,7 +26,7 @@ def minmax_fit(df: DataFrame, columns: list[str]) -> DataFrame:
 def stats_dict(stats: DataFrame | dict) -> dict[str, tuple[float, float]]:
     if isinstance(stats, dict):
         return {c: tuple(v) for c, v in stats.items()}
-    return {r["column"]: (r["min"], r["max"]) for r in stats.collect()}      # one row per column
+    return {r["column_name"]: (r["min"], r["max"]) for r in stats.collect()}      # one row per column
 
 
 def minmax_transform(df: DataFrame, stats: DataFrame | dict, columns: list[str] | None = None,
