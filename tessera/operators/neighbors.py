@@ -46,41 +46,40 @@ def as_vector(df: DataFrame, key: str, features: list[str] | str, label: str | N
     return df.select(*cols)
 
 
-def _unit(vec: Column, dim: int) -> Column:
+def _unit(vec: Column) -> Column:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(vec, lambda x: x / F.nullif(norm, F.lit(0.0)))
 
 
-def vector_dim(df: DataFrame, column: str = "vec") -> int:
-    dims = df.agg(F.min(F.size(column)).alias("a"), F.max(F.size(column)).alias("b")).collect()[0]
-    if dims["a"] != dims["b"]:
-        raise ValueError(f"vectors of different lengths: {dims['a']}..{dims['b']}")
-    return int(dims["a"] or 0)
-
-
-def _plan_grid(train: DataFrame, k: int, dim: int, max_dims: int = 3, per_cell: int = 4):
-    """Pick grid dims (largest spread) and cells per dim: one grouped aggregate
-    over (dimension, value) pairs, one row per dimension back."""
-    n = train.count()
+def _plan_grid(train: DataFrame, k: int, max_dims: int = 3, per_cell: int = 4):
+    """Vector length, row count, grid dims (largest spread) and cells per dim,
+    from one grouped aggregate over (dimension, value) pairs."""
     st = (train.select(F.posexplode("vec").alias("j", "x"))
-          .groupBy("j").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.stddev_pop("x").alias("sd"))
+          .groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
+                            F.stddev_pop("x").alias("sd"))
           .collect())
     st = {r["j"]: r for r in st}
+    dim = len(st)
+    counts = {r["n"] for r in st.values()}
+    if len(counts) > 1 or (dim and max(st) != dim - 1):
+        raise ValueError("vectors of different lengths")
+    n = counts.pop() if counts else 0
     order = sorted(st, key=lambda j: (-(st[j]["sd"] or 0.0), j))
     dims = [j for j in order if (st[j]["mx"] or 0) > (st[j]["mn"] or 0)][:max_dims] or [0]
-    cells_total = max(1.0, n / float(per_cell * k))
-    cells_total = min(cells_total, float(_MAX_CELLS))
+    cells_total = min(max(1.0, n / float(per_cell * k)), float(_MAX_CELLS))
     per_dim = max(1, int(math.floor(cells_total ** (1.0 / len(dims)))))
     grid = []
     for j in dims:
         lo, hi = (st[j]["mn"], st[j]["mx"]) if j in st else (0.0, 0.0)
         width = (hi - lo) / per_dim if hi > lo else 1.0
         grid.append((j, lo, width, per_dim))
-    return n, grid
+    return n, dim, grid
 
 
 def _cell_index(x: Column, lo: float, width: float, cells: int) -> Column:
-    i = F.floor((x - F.lit(lo)) / F.lit(width)).cast("long")
+    # clamp the coordinate first: an infinite band edge must not reach the cast
+    xc = F.least(F.greatest(x, F.lit(lo - width)), F.lit(lo + (cells + 1) * width))
+    i = F.floor((xc - F.lit(lo)) / F.lit(width)).cast("long")
     return F.least(F.greatest(i, F.lit(0)), F.lit(cells - 1))
 
 
@@ -117,19 +116,28 @@ def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev",
     """
     metric = metric.lower()
     has_label = "label" in train.columns
-    dim = vector_dim(train)
     if metric == "cosine":
-        tr = train.withColumn("gvec", _unit(F.col("vec"), dim))
-        qs = queries.withColumn("gvec", _unit(F.col("vec"), dim))
+        tr = train.withColumn("gvec", _unit(F.col("vec")))
+        qs = queries.withColumn("gvec", _unit(F.col("vec")))
     elif metric in _MINKOWSKI:
         tr, qs = train.withColumn("gvec", F.col("vec")), queries.withColumn("gvec", F.col("vec"))
     else:
         raise ValueError(metric)
 
-    n, grid = _plan_grid(tr.select(F.col("gvec").alias("vec")), k, dim, max_grid_dims)
+    n, dim, grid = _plan_grid(tr.select(F.col("gvec").alias("vec")), k, max_grid_dims)
     levels = max(c for _, _, _, c in grid).bit_length()          # level L: 2^L coarser
     tr = tr.withColumn("h", F.xxhash64("key"))
 
+    if all(c == 1 for _, _, _, c in grid):
+        # one cell: every training row is a candidate anyway, no bound needed
+        bound = qs.select(F.col("key").alias("q_key"), F.lit(float("inf")).alias("r"))
+    else:
+        bound = _bound(tr, qs, grid, levels, k, n, metric, p)
+    return _band(tr, qs, bound, grid, metric, p, k, block_rows, has_label, train)
+
+
+def _bound(tr, qs, grid, levels, k, n, metric, p):
+    """Phase 1: upper bound r_q on each query's k-th neighbour distance."""
     # ---- phase 1: k representatives per cell and level ------------------
     tr_lv = tr.select("key", "vec", "gvec", "h",
                       F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lv"))
@@ -147,9 +155,15 @@ def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev",
     bound = (per_level.where(F.col("m") >= F.lit(min(k, n)))
              .groupBy("q_key").agg(F.min(F.struct("lv", "r")).alias("b"))
              .select("q_key", F.col("b.r").alias("r")))
+    return bound
+
 
+def _band(tr, qs, bound, grid, metric, p, k, block_rows, has_label, train):
+    """Phase 2: band join on level-0 cells, exact distances, top-k per query."""
     # ---- phase 2: band join on level-0 cells -----------------------------
-    band_r = F.sqrt(2.0 * F.col("r")) if metric == "cosine" else F.col("r")
+    r = F.col("r")
+    band_r = F.when(F.isnan(r) | (r == float("inf")), F.lit(float("inf"))).otherwise(
+        F.sqrt(2.0 * r) if metric == "cosine" else r)
     qb = (qs.select(F.col("key").alias("q_key"), F.col("vec").alias("qvec"), "gvec")
           .join(bound, "q_key")
           .withColumn("cell", F.explode(_band_cells(F.col("gvec"), band_r * F.lit(1 + 1e-9) + F.lit(1e-12), grid)))
@@ -179,61 +193,72 @@ def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev",
              .cogroup(tb2.groupBy("cell", "tsalt", "qsalt"))
              .applyInPandas(_block_topk(metric, p, k), schema))
     w = Window.partitionBy("q_key").orderBy("distance", "n_key")
-    out = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = local.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     if has_label:
         out = out.withColumn("label", F.col("label").cast(dict(train.dtypes)["label"]))
         return out.select("q_key", "rank", "n_key", "distance", "label")
     return out.select("q_key", "rank", "n_key", "distance")
 
 
-def _block_topk(metric: str, p: float, k: int):
-    """Per (cell, salt) block: dense distance matrix in numpy, first k per query.
+def _block_topk(metric: str, p: float, k: int, chunk: int = 128):
+    """Per (cell, salt) block: distances in numpy, first k per query.
 
-    Both sides of a block hold at most ``block_rows`` rows, so the matrix is
-    bounded; only k rows per query leave the task.
+    Both sides of a block hold at most ``block_rows`` rows and queries are
+    processed ``chunk`` at a time, so memory per task is bounded; only k rows
+    per query leave the task.  Selection: ``np.partition`` finds each query's
+    k-th distance, then only the candidates up to it are ordered by
+    (distance, key).
     """
     import numpy as np
     import pandas as pd
 
-    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_key": q["q_key"].iloc[:0] if len(q) else [],
-                              "n_key": t["n_key"].iloc[:0] if len(t) else [],
-                              "distance": [], "label": []})
-        if len(q) == 0 or len(t) == 0:
-            return empty
-        Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
-        T = np.stack(t["tvec"].to_numpy()).astype(np.float64)
+    def dist(Q, T):
         if metric == "cosine":
-            dot = Q @ T.T
             nq = np.sqrt((Q * Q).sum(1))[:, None]
             nt = np.sqrt((T * T).sum(1))[None, :]
             with np.errstate(divide="ignore", invalid="ignore"):
-                D = 1.0 - dot / (nq * nt)
-        else:
-            diff = np.abs(Q[:, None, :] - T[None, :, :])
-            if metric == "chebyshev":
-                D = diff.max(axis=2)
-            elif metric in ("manhattan", "cityblock", "l1"):
-                D = diff.sum(axis=2)
-            elif metric in ("euclidean", "l2"):
-                D = np.sqrt((diff * diff).sum(axis=2))
-            else:
-                D = ((diff ** p).sum(axis=2)) ** (1.0 / p)
-        r = q["r"].to_numpy()[:, None]
-        ok = D <= r * (1 + 1e-9) + 1e-12
+                return 1.0 - (Q @ T.T) / (nq * nt)
+        diff = np.abs(Q[:, None, :] - T[None, :, :])
+        if metric == "chebyshev":
+            return diff.max(axis=2)
+        if metric in ("manhattan", "cityblock", "l1"):
+            return diff.sum(axis=2)
+        if metric in ("euclidean", "l2"):
+            return np.sqrt((diff * diff).sum(axis=2))
+        return ((diff ** p).sum(axis=2)) ** (1.0 / p)
+
+    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        cols = {"q_key": [], "n_key": [], "distance": [], "label": []}
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame(cols)
+        T = np.stack(t["tvec"].to_numpy()).astype(np.float64)
         nkeys = t["n_key"].to_numpy()
         labels = t["label"].to_numpy()
-        qi, ti = np.nonzero(ok)
-        if len(qi) == 0:
-            return empty
-        d = D[qi, ti]
-        order = np.lexsort((nkeys[ti], d, qi))           # by query, distance, key
-        qi, ti, d = qi[order], ti[order], d[order]
-        first = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-        pos = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
-        keep = pos < k
-        return pd.DataFrame({"q_key": q["q_key"].to_numpy()[qi[keep]], "n_key": nkeys[ti[keep]],
-                             "distance": d[keep], "label": labels[ti[keep]]})
+        Qall = np.stack(q["qvec"].to_numpy()).astype(np.float64)
+        qkeys = q["q_key"].to_numpy()
+        radius = q["r"].to_numpy()
+        kk = min(k, len(t))
+        for s in range(0, len(q), chunk):
+            D = dist(Qall[s:s + chunk], T)
+            r = radius[s:s + chunk, None]
+            D = np.where(D <= r * (1 + 1e-9) + 1e-12, D, np.inf)
+            kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
+            qi, ti = np.nonzero(D <= kth[:, None])
+            if len(qi) == 0:
+                continue
+            d = D[qi, ti]
+            order = np.lexsort((nkeys[ti], d, qi))          # by query, distance, key
+            qi, ti, d = qi[order], ti[order], d[order]
+            first = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
+            pos = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
+            keep = pos < k
+            cols["q_key"].append(qkeys[s:s + chunk][qi[keep]])
+            cols["n_key"].append(nkeys[ti[keep]])
+            cols["distance"].append(d[keep])
+            cols["label"].append(labels[ti[keep]])
+        if not cols["q_key"]:
+            return pd.DataFrame({"q_key": qkeys[:0], "n_key": nkeys[:0], "distance": [], "label": []})
+        return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
     return fn
 
 
