@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 _EPS = float.fromhex("0x1.0p-52")      # double machine epsilon, the clip used by the common c-means code
 
 
@@ -44,9 +46,15 @@ def memberships(df: DataFrame, features: list[str], centers: list[list[float]],
     return df.withColumns({f"{prefix}{i}": e for i, e in enumerate(ex)})
 
 
-def _fcm_u(cols: list[Column], centers: list[list[float]], m: float) -> list[Column]:
-    """c-means update: u_i = d_i^(-2/(m-1)) / sum_j d_j^(-2/(m-1)), d clipped at eps."""
-    d = [F.greatest(_dist(cols, c), F.lit(_EPS)) for c in centers]
+def _fcm_u(cols: list[Column], centers, m: float) -> list[Column]:
+    """c-means update: u_i = d_i^(-2/(m-1)) / sum_j d_j^(-2/(m-1)), d clipped at eps.
+
+    ``centers`` holds per-cluster lists of Columns (or floats)."""
+    def dist(center):
+        return F.sqrt(reduce(lambda a, b: a + b, [(x - (cc if isinstance(cc, Column) else F.lit(float(cc))))
+                                                  * (x - (cc if isinstance(cc, Column) else F.lit(float(cc))))
+                                                  for x, cc in zip(cols, center)]))
+    d = [F.greatest(dist(c), F.lit(_EPS)) for c in centers]
     p = [F.pow(x, F.lit(-2.0 / (m - 1.0))) for x in d]
     s = reduce(lambda a, b: a + b, p)
     return [x / s for x in p]
@@ -72,7 +80,10 @@ def fcm_fit(df: DataFrame, features: list[str], key: str, c: int = 2, m: float =
     data = df.select(*[x.alias(f) for x, f in zip(cols, features)],
                      *(hash_init(key, c, seed)), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
     init_names = [f"__i{i}" for i in range(c)]
-    data = data.toDF(*features, *init_names, "__w").persist()
+    data = data.toDF(*features, *init_names, "__w")
+    # iterative job: cut the lineage once (reliable checkpoint in the shared
+    # checkpoint folder) so each iteration plans against a plain scan
+    data = cut_lineage(data).persist()
     x = [F.col(f) for f in features]
     w = F.col("__w")
 
@@ -90,16 +101,25 @@ def fcm_fit(df: DataFrame, features: list[str], key: str, c: int = 2, m: float =
     init = [F.col(n) for n in init_names]
     # iteration 1 centres come from the (normalised, eps-clipped) initial memberships
     row = data.agg(*sums(init)).collect()[0]
-    prev_centers, prev_u = centers_from(row), init
+    prev_centers = centers_from(row)
+    older = None
     it, norm = 1, float("inf")
     while it < maxiter - 1:                     # at most maxiter - 1 iterations, as in the common c-means loop
+        step = data
         u = _fcm_u(x, prev_centers, m)          # memberships after iteration `it`
-        change = reduce(lambda a, b: a + b, [(u[i] - prev_u[i]) * (u[i] - prev_u[i]) for i in range(c)])
-        row = data.agg(*sums(u), F.sum(change * w).alias("__d")).collect()[0]
+        pu = init if older is None else _fcm_u(x, older, m)
+        # memberships become columns first, so the sums reference them
+        # instead of inlining the distance expressions many times
+        step = step.select(*x, w, *[e.alias(f"__u{i}") for i, e in enumerate(u)],
+                           *[e.alias(f"__q{i}") for i, e in enumerate(pu)])
+        uc = [F.col(f"__u{i}") for i in range(c)]
+        qc = [F.col(f"__q{i}") for i in range(c)]
+        change = reduce(lambda a, b: a + b, [(uc[i] - qc[i]) * (uc[i] - qc[i]) for i in range(c)])
+        row = step.agg(*sums(uc), F.sum(change * w).alias("__d")).collect()[0]
         norm = (row["__d"] or 0.0) ** 0.5
         if norm < error:
             break                               # stop: centres of iteration `it`
-        prev_centers, prev_u = centers_from(row), u
+        older, prev_centers = prev_centers, centers_from(row)
         it += 1
     data.unpersist()
     centers = prev_centers
