@@ -171,3 +171,94 @@ def score(df: DataFrame, art: Artifacts, mode: str | None = None, raw: bool = Tr
     out = fuzzy.memberships(out, comb, art.centers, 2.0)
     out = art.meta.score(out).withColumnRenamed("meta", "p_meta")
     return out.withColumn("pred", threshold("p_meta"))
+
+
+def evaluate(df: DataFrame, art: Artifacts, mode: str | None = None) -> DataFrame:
+    """Per-model metrics on a scored frame: neural and meta by ``p > 0.5``,
+    the others by their own class prediction (margins: sign of the decision
+    value, not the normalised score).  One grouped aggregate over the long form."""
+    cfg = art.cfg
+    scored = score(df, art, mode, raw=False)
+    cols = [F.col(cfg.label).alias("label")]
+    preds = {}
+    for b in art.base:
+        if b.name in ("ANN",) or b.extra.get("family") in ("knn", "mlp"):
+            preds[b.name] = threshold(b.name)
+    long = scored
+    for b in art.base:
+        if b.name not in preds:
+            long = b.predict(long, f"__pred_{b.name}")
+            preds[b.name] = F.col(f"__pred_{b.name}")
+    preds["meta"] = F.col("pred")
+    stacked = long.select(*cols, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), e.cast("int").alias("pred")) for n, e in preds.items()])).alias("s"))
+    from tessera.operators.metrics import binary_metrics
+    return binary_metrics(stacked.select("label", "s.model", "s.pred"), "label", "pred", group=["model"])
+
+
+def evaluate_imputers(train: DataFrame, val: DataFrame, art: Artifacts) -> DataFrame:
+    """R^2 / MSE of each imputer on rows where its target is known, on train
+    (outliers removed) and validation (as given); earlier targets are filled
+    first, as in scoring.  Adds the overfit bucket of the R^2 gap."""
+    from tessera.operators.metrics import overfit_bucket, regression_metrics
+    out = None
+    for split_name, frame in (("train", outliers.outlier_filter(train, art.bounds)), ("val", val)):
+        cur = frame
+        for spec in art.cfg.impute_specs:
+            t = spec["target"]
+            model = art.imputers[t]
+            pred = model.transform(cur.where(F.col(t).isNotNull())).select(F.col(t).alias("y"), F.col("__pred").alias("p"))
+            m = regression_metrics(pred, "y", "p", digits=None).select(
+                F.lit(t).alias("target"), F.lit(split_name).alias("split"), "n", "mse", "r2")
+            out = m if out is None else out.unionByName(m)
+            cur = impute.apply_imputer(cur, model, t)
+    wide = out.groupBy("target").pivot("split", ["train", "val"]).agg(F.first("r2"))
+    return out.join(wide.select("target", overfit_bucket(F.col("train") - F.col("val")).alias("overfit")), "target")
+
+
+def save_artifacts(art: Artifacts, path: str) -> None:
+    """Fitted pieces under one folder: ML models with their own writers,
+    small statistics as one JSON document, KNN training rows as Parquet."""
+    import json
+    meta = {"bounds": art.bounds, "scaler": art.scaler, "score_ranges": art.score_ranges,
+            "centers": art.centers, "centers_phase1": art.centers_phase1, "base": []}
+    for t, m in (art.imputers or {}).items():
+        m.write().overwrite().save(f"{path}/imputer_{t}")
+    for b in art.base:
+        entry = {"name": b.name, "kind": b.kind, "features": b.features, "key": b.key,
+                 "extra": {k: v for k, v in b.extra.items()}}
+        if b.extra.get("family") == "knn":
+            b.model.write.mode("overwrite").parquet(f"{path}/base_{b.name}")
+        else:
+            b.model.write().overwrite().save(f"{path}/base_{b.name}")
+        meta["base"].append(entry)
+    art.meta.model.write().overwrite().save(f"{path}/meta")
+    from pyspark.sql import SparkSession
+    ss = SparkSession.getActiveSession()
+    ss.createDataFrame([(json.dumps(meta),)], "doc STRING").coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+
+
+def load_artifacts(spark, path: str, cfg: StackConfig) -> Artifacts:
+    import json
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LinearSVCModel
+    meta = json.loads(spark.read.json(f"{path}/stats").first()["doc"])
+    art = Artifacts(cfg)
+    art.bounds = {k: tuple(v) for k, v in meta["bounds"].items()}
+    art.scaler = {k: tuple(v) for k, v in meta["scaler"].items()}
+    art.score_ranges = {k: tuple(v) for k, v in (meta["score_ranges"] or {}).items()}
+    art.centers, art.centers_phase1 = meta["centers"], meta["centers_phase1"]
+    art.imputers = {s["target"]: PipelineModel.load(f"{path}/imputer_{s['target']}") for s in cfg.impute_specs}
+    art.base = []
+    for e in meta["base"]:
+        fam = e["extra"].get("family")
+        if fam == "knn":
+            model = spark.read.parquet(f"{path}/base_{e['name']}")
+        elif fam == "rff":
+            model = LinearSVCModel.load(f"{path}/base_{e['name']}")
+        else:
+            model = PipelineModel.load(f"{path}/base_{e['name']}")
+        art.base.append(learners.Fitted(e["name"], e["kind"], e["features"], e["key"], model, e["extra"]))
+    art.meta = learners.Fitted("meta", "probability", art.meta_features, cfg.key,
+                               PipelineModel.load(f"{path}/meta"), {"family": "mlp"})
+    return art
