@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tessera.operators import clean, fuzzy, impute, learners, outliers, scale, split
 from tessera.operators.stack import normalize_scores, score_range, weighted_union
 from tessera.functions.numeric import threshold
+from tessera.session import cut_lineage
 
 
 @dataclass
@@ -88,8 +89,11 @@ def prepare(df: DataFrame, cfg: StackConfig) -> tuple[dict, Artifacts]:
     for spec in cfg.impute_specs:
         test_i = impute.apply_imputer(test_i, art.imputers[spec["target"]], spec["target"])
     art.scaler = scale.stats_dict(scale.minmax_fit(train_i, cfg.features))
-    train_s = scale.minmax_transform(train_i, art.scaler, cfg.features)
-    test_s = scale.minmax_transform(test_i, art.scaler, cfg.features)
+    # the prepared tables are written once to the shared checkpoint folder:
+    # every later fit reads them instead of re-running split, filter and
+    # imputers, and a lost executor only loses cached blocks, not the lineage
+    train_s = cut_lineage(scale.minmax_transform(train_i, art.scaler, cfg.features))
+    test_s = cut_lineage(scale.minmax_transform(test_i, art.scaler, cfg.features))
     halves = split.hash_split(train_s, cfg.key, 0.5, cfg.seed, names=("train1", "train2"))
     parts = {"train_set": train_s, "test_set": test_s,
              "train1": halves.where("split = 'train1'").drop("split"),
