@@ -52,15 +52,30 @@ def to_long(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def column_stats(long: DataFrame, probs: list[float] = (), delta: float = 0.0) -> dict:
-    """count / min / max / approx distinct per column, and -- in the same pass --
-    sketch values at ``q - delta`` and ``q + delta`` for each wanted q."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
-            F.approx_count_distinct("value").alias("ndv")]
-    if probs:
-        pts = [min(1.0, max(0.0, x)) for q in probs for x in (q - delta, q + delta)]
-        aggs.append(F.percentile_approx("value", F.array(*[F.lit(x) for x in pts]), _ACCURACY).alias("sk"))
-    return {r["column"]: r for r in long.groupBy("column").agg(*aggs).collect()}
+def _clean(c: str):
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def column_stats(df: DataFrame, columns: list[str], probs: list[float] = (), delta: float = 0.0) -> dict:
+    """count / min / max / approx distinct per column and -- in the same pass --
+    sketch values at ``q - delta`` and ``q + delta`` for each wanted q.  One
+    global aggregate over the wide columns (no unpivot, no grouping shuffle)."""
+    aggs = []
+    pts = [min(1.0, max(0.0, x)) for q in probs for x in (q - delta, q + delta)]
+    for i, c in enumerate(columns):
+        x = _clean(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                 F.approx_count_distinct(x).alias(f"d{i}")]
+        if pts:
+            aggs.append(F.percentile_approx(x, F.array(*[F.lit(v) for v in pts]), _ACCURACY).alias(f"s{i}"))
+    r = df.agg(*aggs).collect()[0]
+    out = {}
+    for i, c in enumerate(columns):
+        if r[f"n{i}"]:
+            out[c] = {"n": r[f"n{i}"], "mn": r[f"mn{i}"], "mx": r[f"mx{i}"], "ndv": r[f"d{i}"],
+                      "sk": r[f"s{i}"] if pts else None}
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -77,7 +92,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if persist:
         long = long.persist()
     delta = 3.0 / _ACCURACY
-    stats = column_stats(long, probs, delta)
+    stats = column_stats(df, columns, probs, delta)
 
     targets: list[_Target] = []
     needed: dict[tuple[str, int], _Target] = {}
@@ -104,7 +119,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
     pending = [t for t in targets if t.value is None and t.inside < 0]
     if pending:
-        _count_brackets(long, spark, pending, stats)
+        _count_brackets(df, pending, stats)
 
     rounds = 0
     while True:
@@ -138,22 +153,20 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return out
 
 
-def _count_brackets(long: DataFrame, spark, targets: list[_Target], stats: dict) -> None:
-    """Exact counts below / inside each sketch bracket (one pass for all)."""
-    rows = [(t.tid, t.column, float(t.lo), float(t.hi)) for t in targets]
-    # one row per wanted order statistic: size-bounded, safe to broadcast
-    tf = F.broadcast(spark.createDataFrame(rows, "tid INT, column STRING, lo DOUBLE, hi DOUBLE"))
-    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    res = (long.join(tf, "column").groupBy("tid").agg(
-        F.count_if(v < lo).alias("below"),
-        F.count_if((v >= lo) & (v <= hi)).alias("inside"),
-        F.approx_count_distinct(F.when((v >= lo) & (v <= hi), v)).alias("ndv")).collect())
-    got = {r["tid"]: r for r in res}
+def _count_brackets(df: DataFrame, targets: list[_Target], stats: dict) -> None:
+    """Exact counts below / inside each sketch bracket: one global aggregate
+    of conditional counts over the wide columns."""
+    aggs = []
+    for t in targets:
+        x = _clean(t.column)
+        inside = (x >= F.lit(t.lo)) & (x <= F.lit(t.hi))
+        aggs += [F.count_if(x < F.lit(t.lo)).alias(f"b{t.tid}"), F.count_if(inside).alias(f"i{t.tid}"),
+                 F.approx_count_distinct(F.when(inside, x)).alias(f"d{t.tid}")]
+    r = df.agg(*aggs).collect()[0]
     for t in targets:
-        r = got.get(t.tid)
-        below, inside = (r["below"], r["inside"]) if r else (0, 0)
-        if r is not None and below <= t.rank < below + inside:
-            t.below, t.inside, t.ndv = below, inside, r["ndv"]
+        below, inside = r[f"b{t.tid}"], r[f"i{t.tid}"]
+        if below <= t.rank < below + inside:
+            t.below, t.inside, t.ndv = below, inside, r[f"d{t.tid}"]
             if t.lo == t.hi:
                 t.value = t.lo
         else:                        # sketch missed the rank: fall back to the whole range
@@ -172,18 +185,26 @@ def _in_bracket(long: DataFrame, spark, targets: list[_Target]) -> DataFrame:
 
 
 def _resolve_small(long: DataFrame, spark, targets: list[_Target]) -> None:
-    by_tid = {t.tid: t for t in targets}
-    pairs = (_in_bracket(long, spark, targets)
-             .groupBy("tid", "value").count()
-             .orderBy("tid", "value").collect())      # distinct values only, bounded
-    walk = {t.tid: t.below for t in targets}
+    """Collect (column, value, count) of the distinct values inside the
+    brackets (bounded by ``max_exact`` per bracket) and walk the counts."""
+    from functools import reduce
+    cond = reduce(lambda a, b: a | b, [(F.col("column") == t.column) & (F.col("value") >= F.lit(t.lo))
+                                       & (F.col("value") <= F.lit(t.hi)) for t in targets])
+    pairs = long.where(cond).groupBy("column", "value").count().collect()
+    by_col: dict[str, list] = {}
     for r in pairs:
-        t = by_tid[r["tid"]]
-        if t.value is not None:
-            continue
-        walk[t.tid] += r["count"]
-        if walk[t.tid] > t.rank:
-            t.value = r["value"]
+        by_col.setdefault(r["column"], []).append((r["value"], r["count"]))
+    for vals in by_col.values():
+        vals.sort()
+    for t in targets:
+        walk = t.below
+        for v, n in by_col.get(t.column, []):
+            if v < t.lo or v > t.hi:
+                continue
+            walk += n
+            if walk > t.rank:
+                t.value = v
+                break
 
 
 def _narrow(long: DataFrame, spark, targets: list[_Target]) -> None:

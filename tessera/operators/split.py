@@ -78,16 +78,29 @@ def stratified_quotas(class_counts: dict, test_fraction: float) -> dict:
     return {c: class_counts[c] - train[c] for c in class_counts}
 
 
+def first_buckets(df: DataFrame, group: str, key: str, seed: int | str = 42) -> DataFrame:
+    """(g, b, n): rows per (group, first 4 hex digits of the key hash) -- at most
+    65 536 rows per group, whatever the data size."""
+    h = key_hash(key, seed)
+    return (df.groupBy(F.col(group).cast("string").alias("g"), F.substring(h, 1, _PREFIX_STEP).alias("b"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def kth_by_hash(df: DataFrame, group: str, key: str, ranks: dict, seed: int | str = 42,
-                final_rows: int = 200_000) -> dict:
+                final_rows: int = 200_000, buckets: DataFrame | None = None) -> dict:
     """For each group value g, the (hash, key) of the row with 0-based rank
-    ``ranks[g]`` in ``(md5(key||seed), key)`` order.  Exact, no full sort."""
+    ``ranks[g]`` in ``(md5(key||seed), key)`` order.  Exact, no full sort.
+
+    ``buckets`` (from ``first_buckets``) saves the first refinement pass."""
     h = key_hash(key, seed)
     base = df.select(F.col(group).alias("g"), F.col(key).alias("k"), h.alias("h"))
     # state per group: fixed prefix, rank within rows sharing it, rows sharing it
     state = {g: ["", r, None] for g, r in ranks.items() if r is not None and r >= 0}
     result = {}
     counts_known = False
+    if buckets is not None and state:
+        _pick(buckets, state)
+        counts_known = True
     while state:
         if counts_known:
             small = {g: s for g, s in state.items() if s[2] <= final_rows or len(s[0]) >= 32}
@@ -105,7 +118,7 @@ def kth_by_hash(df: DataFrame, group: str, key: str, ranks: dict, seed: int | st
 
 
 def _prefix_table(spark, state: dict) -> DataFrame:
-    rows = [(g, s[0], len(s[0])) for g, s in state.items()]
+    rows = [(_sstr(g), s[0], len(s[0])) for g, s in state.items()]
     # one row per class, bounded by _MAX_CLASSES: safe to broadcast
     return F.broadcast(spark.createDataFrame(rows, "g STRING, p STRING, plen INT"))
 
@@ -119,10 +132,14 @@ def _matching(base: DataFrame, state: dict) -> DataFrame:
 def _refine(base: DataFrame, state: dict) -> None:
     m = _matching(base, state)
     nxt = F.substring(F.col("h"), F.col("plen") + 1, _PREFIX_STEP)
-    buckets = m.groupBy("g", nxt.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    _pick(m.groupBy("g", nxt.alias("b")).agg(F.count(F.lit(1)).alias("n")), state)
+
+
+def _pick(buckets: DataFrame, state: dict) -> None:
+    """Find, per group, the bucket holding the wanted rank (cumulative counts)."""
     # <= 16^4 rows per class: the cumulative window runs over this small table
     w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rk = F.create_map(*[x for g, s in state.items() for x in (F.lit(str(g)), F.lit(int(s[1])))])
+    rk = F.create_map(*[x for g, s in state.items() for x in (F.lit(_sstr(g)), F.lit(int(s[1])))])
     cum = buckets.withColumn("cum", F.sum("n").over(w)).withColumn("want", rk[F.col("g")])
     hit = (cum.where((F.col("cum") > F.col("want")) & (F.col("cum") - F.col("n") <= F.col("want")))
            .select("g", "b", "n", (F.col("want") - (F.col("cum") - F.col("n"))).alias("r")).collect())
@@ -132,9 +149,18 @@ def _refine(base: DataFrame, state: dict) -> None:
         s[0], s[1], s[2] = s[0] + r["b"], r["r"], r["n"]
 
 
+def _sstr(v) -> str | None:
+    """A class value as Spark's ``cast(... as string)`` writes it."""
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return str(v)
+
+
 def _orig(state: dict, g: str):
     for k in state:
-        if str(k) == g:
+        if _sstr(k) == g:
             return k
     raise KeyError(g)
 
@@ -142,7 +168,7 @@ def _orig(state: dict, g: str):
 def _rank_in_bucket(base: DataFrame, state: dict) -> dict:
     m = _matching(base, state)
     w = Window.partitionBy("g").orderBy("h", "k")       # bucket holds <= final_rows rows
-    rk = F.create_map(*[x for g, s in state.items() for x in (F.lit(str(g)), F.lit(int(s[1])))])
+    rk = F.create_map(*[x for g, s in state.items() for x in (F.lit(_sstr(g)), F.lit(int(s[1])))])
     hit = (m.withColumn("rn", F.row_number().over(w) - 1)
            .where(F.col("rn") == rk[F.col("g")]).select("g", "h", "k").collect())
     return {_orig(state, r["g"]): (r["h"], r["k"]) for r in hit}
@@ -158,15 +184,19 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     lexicographic ``(hash, key) <= threshold`` test.
     """
     spark = df.sparkSession
-    cnt = df.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    # one pass gives both the class counts and the first-level hash buckets
+    buckets = first_buckets(df, label, key, seed).persist()
+    cnt = buckets.groupBy("g").agg(F.sum("n").alias("n")).collect()
     if len(cnt) > _MAX_CLASSES:
         raise ValueError("too many strata for an exact stratified split")
-    counts = {r["c"]: r["n"] for r in cnt}
+    label_type = df.schema[label].dataType
+    counts = {_typed(r["g"], label_type): r["n"] for r in cnt}
     quotas = stratified_quotas(counts, test_fraction)
     ranks = {c: q - 1 for c, q in quotas.items() if q > 0}
-    thr = kth_by_hash(df, label, key, ranks, seed)
+    thr = kth_by_hash(df, label, key, ranks, seed, buckets=buckets)
+    buckets.unpersist()
     key_type = df.schema[key].dataType.simpleString()
-    rows = [(str(c), thr.get(c, (None, None))[0], thr.get(c, (None, None))[1], quotas[c] > 0) for c in counts]
+    rows = [(_sstr(c), thr.get(c, (None, None))[0], thr.get(c, (None, None))[1], quotas[c] > 0) for c in counts]
     tt = F.broadcast(spark.createDataFrame(rows, f"__c STRING, __h STRING, __k {key_type}, __any BOOLEAN"))
     h = key_hash(key, seed)
     is_test = F.col("__any") & ((h < F.col("__h")) | ((h == F.col("__h")) & (F.col(key) <= F.col("__k"))))
@@ -174,3 +204,17 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
            .withColumn(column, F.when(F.coalesce(is_test, F.lit(False)), F.lit(names[1])).otherwise(F.lit(names[0])))
            .drop("__c", "__h", "__k", "__any"))
     return out
+
+
+def _typed(v: str | None, dt):
+    """Class value from its string form (bucket tables key classes as strings)."""
+    if v is None:
+        return None
+    name = dt.typeName()
+    if name in ("integer", "long", "short", "byte"):
+        return int(v)
+    if name in ("double", "float"):
+        return float(v)
+    if name == "boolean":
+        return v == "true"
+    return v
