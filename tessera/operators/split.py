@@ -64,7 +64,10 @@ def largest_remainder(total: int, counts: dict) -> dict:
     base = {c: (total * v) // n for c, v in counts.items()}
     rem = {c: (total * v) % n for c, v in counts.items()}
     need = total - sum(base.values())
-    order = sorted(counts, key=lambda c: (-rem[c], str(c)))
+    try:                                  # ties by class value in its natural order
+        order = sorted(counts, key=lambda c: (-rem[c], c))
+    except TypeError:
+        order = sorted(counts, key=lambda c: (-rem[c], str(c)))
     for c in order[:need]:
         base[c] += 1
     return base
