@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PREFIX_STEP = 4
+_FIRST_STEP = 3          # first level: 4 096 buckets per class (fused with the class counts)
 _MAX_CLASSES = 100_000
 
 
@@ -82,10 +83,10 @@ def stratified_quotas(class_counts: dict, test_fraction: float) -> dict:
 
 
 def first_buckets(df: DataFrame, group: str, key: str, seed: int | str = 42) -> DataFrame:
-    """(g, b, n): rows per (group, first 4 hex digits of the key hash) -- at most
-    65 536 rows per group, whatever the data size."""
+    """(g, b, n): rows per (group, first 3 hex digits of the key hash) -- at most
+    4 096 rows per group, whatever the data size."""
     h = key_hash(key, seed)
-    return (df.groupBy(F.col(group).cast("string").alias("g"), F.substring(h, 1, _PREFIX_STEP).alias("b"))
+    return (df.groupBy(F.col(group).cast("string").alias("g"), F.substring(h, 1, _FIRST_STEP).alias("b"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
