@@ -43,8 +43,10 @@ def hash_split(df: DataFrame, key: str, fraction: float = 0.5, seed: int | str =
                                         F.lit(names[0])).otherwise(F.lit(names[1])))
 
 
-def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, column: str = "fold") -> DataFrame:
-    return df.withColumn(column, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int | str = 42, column: str = "fold") -> DataFrame:
+    """k folds from the first 8 hex digits of ``md5(key||seed)`` (no global ordering)."""
+    h = F.conv(F.substring(key_hash(key, seed), 1, 8), 16, 10).cast("long")
+    return df.withColumn(column, F.pmod(h, F.lit(k)).cast("int"))
 
 
 def predefined_split(train: DataFrame, validation: DataFrame, column: str = "role") -> DataFrame:

@@ -332,3 +332,45 @@ QUERIES = {
     "scored_export": q_scored_export,
     "weighted_union": q_weighted_union,
 }
+
+
+def q_fold_assignment(spark, sf):
+    return split.hash_folds(events_features(spark, sf), "event_id", 5, SEED).select("event_id", "fold")
+
+
+def q_predefined_split(spark, sf):
+    ev = events_halves(spark, sf)
+    roles = split.predefined_split(ev.where("split = 'first'").drop("split"), ev.where("split = 'second'").drop("split"))
+    return roles.select("event_id", "role")
+
+
+def q_outlier_flags(spark, sf):
+    ev = events_features(spark, sf)
+    return outliers.outlier_flags(ev, outliers.iqr_bounds(ev, EV)).select("event_id", "out_value", "out_k")
+
+
+def q_f1_stabilised(spark, sf):
+    m = metrics.binary_metrics(docs_rule_preds(spark, sf), "label", "m_len", digits=None)
+    return m.select(_r("precision").alias("precision"), _r("recall").alias("recall"),
+                    _r(metrics.f1_stabilised(F.col("precision"), F.col("recall"))).alias("f1_stable"))
+
+
+def q_train_val_comparison(spark, sf):
+    p = split.hash_split(docs_rule_preds(spark, sf), "doc_id", 0.5, SEED, names=("train", "val"))
+    long = p.unpivot(["doc_id", "label", "split"], ["m_len", "m_lang", "m_short"], "model", "pred")
+    return metrics.binary_metrics(long, "label", "pred", group=["model", "split"])
+
+
+def q_head_rows(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return o.orderBy("o_orderkey").limit(5)
+
+
+QUERIES.update({
+    "fold_assignment": q_fold_assignment,
+    "predefined_split": q_predefined_split,
+    "outlier_flags": q_outlier_flags,
+    "f1_stabilised": q_f1_stabilised,
+    "train_val_comparison": q_train_val_comparison,
+    "head_rows": q_head_rows,
+})

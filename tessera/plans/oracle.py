@@ -458,3 +458,48 @@ ORACLE = {name: fn() for name, fn in [
     ("scored_export", scored_export),
     ("weighted_union", weighted_union),
 ]}
+
+
+def fold_assignment():
+    return (f"select event_id, cast((('0x' || substr({_h('event_id')}, 1, 8))::bigint) % 5 as integer) as fold "
+            f"from ({EVF})")
+
+
+def predefined_split():
+    return f"select event_id, case when split = 'first' then 'train' else 'val' end as role from ({EVH})"
+
+
+def outlier_flags():
+    return (f"with e as ({EVF}), b as ({_bounds_cte('select * from e', C.EV)})\n"
+            f"select event_id, {_outside('value')} as out_value, {_outside('k')} as out_k from e, b")
+
+
+def f1_stabilised():
+    return (f"with m as ({_bm(DOCS, 'm_len')}), r as (select "
+            "case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as p, "
+            "case when tp + fn = 0 then 0.0 else tp / (tp + fn) end as r from "
+            f"(select count(*) filter (where label = 1 and m_len = 1) as tp, "
+            f"count(*) filter (where label <> 1 and m_len = 1) as fp, "
+            f"count(*) filter (where label = 1 and m_len <> 1) as fn from ({DOCS})))\n"
+            "select round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / (p + r + 1e-7), 6) as f1_stable from r")
+
+
+def train_val_comparison():
+    src = f"select *, {_half('doc_id', 'train', 'val')} as split from ({DOCS})"
+    long = _union([f"select doc_id, label, split, '{m}' as model, {m} as pred from ({src})"
+                   for m in ("m_len", "m_lang", "m_short")])
+    return _bm(long, "pred", "model, split")
+
+
+def head_rows():
+    return "select o_orderkey, o_totalprice from orders order by o_orderkey limit 5"
+
+
+ORACLE.update({
+    "fold_assignment": fold_assignment(),
+    "predefined_split": predefined_split(),
+    "outlier_flags": outlier_flags(),
+    "f1_stabilised": f1_stabilised(),
+    "train_val_comparison": train_val_comparison(),
+    "head_rows": head_rows(),
+})

@@ -16,7 +16,8 @@ FAST = ["zero_as_missing_profile", "required_dropna", "iqr_bounds", "outlier_fil
         "imputed_flags", "knn_chebyshev", "knn_classify", "fcm_memberships", "fcm_centers", "svm_score_minmax",
         "confusion_matrix", "binary_metrics", "classification_report", "log_loss", "best_model_diff",
         "regression_metrics", "overfit_bucket", "domain_violations", "parse_inputs", "scored_export",
-        "weighted_union"]
+        "weighted_union", "fold_assignment", "predefined_split", "outlier_flags", "f1_stabilised",
+        "train_val_comparison", "head_rows"]
 
 
 @pytest.fixture(scope="module")
