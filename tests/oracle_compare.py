@@ -18,6 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as E  # noqa: E402
 from tessera.session import get_session  # noqa: E402
 
+STRICT = os.environ.get("STRICT") == "1"      # compare doubles bit for bit
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -27,7 +29,7 @@ def norm(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if df[c].dtype == object:
             df[c] = df[c].map(lambda v: None if v is None or (isinstance(v, float) and v != v) else v)
-        if str(df[c].dtype).startswith(("float", "Float")):
+        if str(df[c].dtype).startswith(("float", "Float")) and not STRICT:
             df[c] = df[c].astype("float64").round(9)
         if str(df[c].dtype) in ("boolean", "bool"):
             df[c] = df[c].astype(object)
