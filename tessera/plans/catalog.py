@@ -374,3 +374,12 @@ QUERIES.update({
     "train_val_comparison": q_train_val_comparison,
     "head_rows": q_head_rows,
 })
+
+
+def q_quality_profile(spark, sf):
+    """The flagship pass (``entry``) on any scale."""
+    from tessera.plans.flagship import quality_profile
+    return quality_profile(spark, sf)
+
+
+QUERIES["quality_profile"] = q_quality_profile

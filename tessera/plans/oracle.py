@@ -503,3 +503,20 @@ ORACLE.update({
     "train_val_comparison": train_val_comparison(),
     "head_rows": head_rows(),
 })
+
+
+def quality_profile():
+    anyout = " or ".join(_outside(c) for c in C.L)
+    parts = []
+    for c in C.L:
+        parts.append(
+            f"select '{c}' as column_name, count(*) filter (where kept) as n_rows, "
+            f"count(*) filter (where kept and {c} is null) as missing, "
+            f"round(case when count(*) filter (where kept) = 0 then 0.0 else "
+            f"100.0 * count(*) filter (where kept and {c} is null) / count(*) filter (where kept) end, 2) as missing_pct, "
+            f"count(*) filter (where {_outside(c)}) as n_outliers from k")
+    return (f"with t as ({LF}), b as ({_bounds_cte(LF, C.L)}), "
+            f"k as (select t.*, b.*, not ({anyout}) as kept from t, b)\n" + _union(parts))
+
+
+ORACLE["quality_profile"] = quality_profile()
