@@ -32,8 +32,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from tessera.plans.catalog import QUERIES
-    from tessera.plans.flagship import quality_profile
-    qs = {"flagship": lambda s, d: quality_profile(s, d), **QUERIES}
+    qs = {"quality_profile": QUERIES["quality_profile"], **QUERIES}      # the flagship first
     if os.environ.get("BENCH_MODELS") == "1":
         from tessera.plans.models import MODEL_QUERIES
         qs.update(MODEL_QUERIES)
