@@ -28,7 +28,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.distance import vector_distance
 
 _MAX_CELLS = 1 << 16
 _MINKOWSKI = ("chebyshev", "manhattan", "cityblock", "l1", "euclidean", "l2", "minkowski")
@@ -132,13 +131,17 @@ def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev",
         # one cell: every training row is a candidate anyway, no bound needed
         bound = qs.select(F.col("key").alias("q_key"), F.lit(float("inf")).alias("r"))
     else:
-        bound = _bound(tr, qs, grid, levels, k, n, metric, p)
+        bound = _bound(tr, qs, grid, levels, k, n, metric, p, block_rows)
     return _band(tr, qs, bound, grid, metric, p, k, block_rows, has_label, train)
 
 
-def _bound(tr, qs, grid, levels, k, n, metric, p):
-    """Phase 1: upper bound r_q on each query's k-th neighbour distance."""
-    # ---- phase 1: k representatives per cell and level ------------------
+def _bound(tr, qs, grid, levels, k, n, metric, p, block_rows=2048):
+    """Phase 1: upper bound r_q on each query's k-th neighbour distance.
+
+    Per (level, cell): the query rows of the cell (salted into blocks of at
+    most ``block_rows``) meet the cell's <= k representatives in one
+    cogrouped numpy block; a query's bound is the largest distance to the k
+    representatives of the finest cell that has k of them."""
     tr_lv = tr.select("key", "vec", "gvec", "h",
                       F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lv"))
     reps = (tr_lv.withColumn("cell", _level_cell(F.col("gvec"), grid, F.col("lv")))
@@ -147,15 +150,56 @@ def _bound(tr, qs, grid, levels, k, n, metric, p):
             .select("lv", "cell", F.col("vec").alias("rvec")))
     q_lv = qs.select(F.col("key").alias("q_key"), F.col("vec").alias("qvec"), "gvec",
                      F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lv"))
-    q_lv = q_lv.withColumn("cell", _level_cell(F.col("gvec"), grid, F.col("lv")))
-    d1 = vector_distance(metric, F.col("qvec"), F.col("rvec"), p)
-    per_level = (q_lv.join(reps, ["lv", "cell"])
-                 .groupBy("q_key", "lv").agg(F.count(F.lit(1)).alias("m"), F.max(d1).alias("r")))
+    q_lv = q_lv.withColumn("cell", _level_cell(F.col("gvec"), grid, F.col("lv"))).drop("gvec")
+    # one row per (level, cell): at most about twice the level-0 grid
+    # (<= 2 * _MAX_CELLS rows by construction), so broadcasting is bounded
+    qcount = F.broadcast(q_lv.groupBy("lv", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("qs")))
+    q2 = (q_lv.join(qcount, ["lv", "cell"])
+          .withColumn("qsalt", F.pmod(F.xxhash64("q_key"), F.col("qs")).cast("int"))
+          .select("lv", "cell", "qsalt", "q_key", "qvec"))
+    r2 = (reps.join(qcount, ["lv", "cell"])
+          .withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+          .select("lv", "cell", "qsalt", "rvec"))
+    key_type = dict(qs.dtypes)["key"]
+    per_level = (q2.groupBy("lv", "cell", "qsalt").cogroup(r2.groupBy("lv", "cell", "qsalt"))
+                 .applyInPandas(_block_bound(metric, p), f"q_key {key_type}, lv INT, m LONG, r DOUBLE"))
     # finest level whose cell holds >= k rows; the top level is one cell with all rows
-    bound = (per_level.where(F.col("m") >= F.lit(min(k, n)))
-             .groupBy("q_key").agg(F.min(F.struct("lv", "r")).alias("b"))
-             .select("q_key", F.col("b.r").alias("r")))
-    return bound
+    return (per_level.where(F.col("m") >= F.lit(min(k, n)))
+            .groupBy("q_key").agg(F.min(F.struct("lv", "r")).alias("b"))
+            .select("q_key", F.col("b.r").alias("r")))
+
+
+def _np_dist(metric: str, p: float, Q, T):
+    import numpy as np
+    if metric == "cosine":
+        nq = np.sqrt((Q * Q).sum(1))[:, None]
+        nt = np.sqrt((T * T).sum(1))[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1.0 - (Q @ T.T) / (nq * nt)
+    diff = np.abs(Q[:, None, :] - T[None, :, :])
+    if metric == "chebyshev":
+        return diff.max(axis=2)
+    if metric in ("manhattan", "cityblock", "l1"):
+        return diff.sum(axis=2)
+    if metric in ("euclidean", "l2"):
+        return np.sqrt((diff * diff).sum(axis=2))
+    return ((diff ** p).sum(axis=2)) ** (1.0 / p)
+
+
+def _block_bound(metric: str, p: float, chunk: int = 128):
+    import numpy as np
+    import pandas as pd
+
+    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame({"q_key": q["q_key"].iloc[:0], "lv": [], "m": [], "r": []})
+        T = np.stack(t["rvec"].to_numpy()).astype(np.float64)
+        Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
+        r = np.concatenate([_np_dist(metric, p, Q[s:s + chunk], T).max(axis=1) for s in range(0, len(Q), chunk)])
+        return pd.DataFrame({"q_key": q["q_key"].to_numpy(), "lv": q["lv"].to_numpy().astype(np.int32),
+                             "m": np.full(len(Q), len(T), dtype=np.int64), "r": r})
+    return fn
 
 
 def _band(tr, qs, bound, grid, metric, p, k, block_rows, has_label, train):
@@ -213,19 +257,7 @@ def _block_topk(metric: str, p: float, k: int, chunk: int = 128):
     import pandas as pd
 
     def dist(Q, T):
-        if metric == "cosine":
-            nq = np.sqrt((Q * Q).sum(1))[:, None]
-            nt = np.sqrt((T * T).sum(1))[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return 1.0 - (Q @ T.T) / (nq * nt)
-        diff = np.abs(Q[:, None, :] - T[None, :, :])
-        if metric == "chebyshev":
-            return diff.max(axis=2)
-        if metric in ("manhattan", "cityblock", "l1"):
-            return diff.sum(axis=2)
-        if metric in ("euclidean", "l2"):
-            return np.sqrt((diff * diff).sum(axis=2))
-        return ((diff ** p).sum(axis=2)) ** (1.0 / p)
+        return _np_dist(metric, p, Q, T)
 
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         cols = {"q_key": [], "n_key": [], "distance": [], "label": []}
