@@ -95,7 +95,13 @@ def correct_flag(label: str, prediction: str) -> Column:
 
 
 def row_lookup(df: DataFrame, key: str, value) -> DataFrame:
-    """Row by key (no positional identity in Spark); a filter pushed to the scan."""
+    """Rows by key (no positional identity in Spark).
+
+    ``value`` is one key (a filter pushed to the scan) or a DataFrame of keys
+    in column ``key`` (a left-semi join: each matching row once, no
+    duplication by repeated keys; AQE broadcasts a small key set)."""
+    if isinstance(value, DataFrame):
+        return df.join(value.select(key), key, "left_semi")
     return df.where(F.col(key) == F.lit(value))
 
 

@@ -383,3 +383,12 @@ def q_quality_profile(spark, sf):
 
 
 QUERIES["quality_profile"] = q_quality_profile
+
+
+def q_row_lookup(spark, sf):
+    """Orders looked up by the keys of returned line items (key set from the data)."""
+    keys = _t(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey"))
+    return clean.row_lookup(_t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", keys)
+
+
+QUERIES["row_lookup"] = q_row_lookup

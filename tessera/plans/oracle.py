@@ -520,3 +520,11 @@ def quality_profile():
 
 
 ORACLE["quality_profile"] = quality_profile()
+
+
+def row_lookup():
+    return ("select o_orderkey, o_totalprice from orders "
+            "where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')")
+
+
+ORACLE["row_lookup"] = row_lookup()

@@ -17,7 +17,7 @@ FAST = ["zero_as_missing_profile", "required_dropna", "iqr_bounds", "outlier_fil
         "confusion_matrix", "binary_metrics", "classification_report", "log_loss", "best_model_diff",
         "regression_metrics", "overfit_bucket", "domain_violations", "parse_inputs", "scored_export",
         "weighted_union", "fold_assignment", "predefined_split", "outlier_flags", "f1_stabilised",
-        "train_val_comparison", "head_rows", "quality_profile"]
+        "train_val_comparison", "head_rows", "quality_profile", "row_lookup"]
 
 
 @pytest.fixture(scope="module")
