@@ -121,3 +121,20 @@ def test_class_weights(spark):
     t1 = read_table(spark, f"{REF}/data/data-split/train1.csv", "csv", SCALED)
     w = {r["label"]: r["weight"] for r in profile.class_weights(t1, "Outcome").collect()}
     assert w == {0: 0.7716, 1: 2.1307}
+
+
+def test_knn_published_confusion_within_tie_order(spark):
+    """k=22 Chebyshev KNN fitted on train1, scored on the processed hold-out
+    set: published TP/FP/FN/TN 21/21/23/70, within one row of tie order."""
+    from tessera.operators import metrics, neighbors
+    tr = read_table(spark, f"{REF}/data/data-split/train1.csv", "csv", SCALED, key="row_id")
+    te = read_table(spark, f"{REF}/data/data-split/test_set_processed.csv", "csv", SCALED, key="row_id")
+    train = neighbors.as_vector(tr, "row_id", FEATS, "Outcome")
+    queries = neighbors.as_vector(te, "row_id", FEATS)
+    p = neighbors.knn_classify(train, queries, 22, "chebyshev")
+    scored = te.join(p.withColumnRenamed("key", "row_id"), "row_id")
+    r = metrics.confusion_counts(scored, "Outcome", "pred").collect()[0]
+    got = (r["tp"], r["fp"], r["fn"], r["tn"])
+    assert sum(got) == 135
+    for mine, published in zip(got, (21, 21, 23, 70)):
+        assert abs(mine - published) <= 1, got
