@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,23 +38,30 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
             .orderBy(F.desc("count"), F.asc("value")))
 
 
+def _with_share(counts: DataFrame, name: str, cnt: str, digits: int) -> DataFrame:
+    """Share of each row of a small per-group count table, without a global
+    window: one aggregate folds the table into a single row (its list and the
+    total) and ``explode`` brings the rows back with their share."""
+    one = counts.agg(F.collect_list(F.struct(F.col(name).alias("k"), F.col(cnt).alias("c"))).alias("rows"),
+                     F.sum(cnt).alias("total"))
+    return (one.select(F.explode("rows").alias("r"), "total")
+            .select(F.col("r.k").alias(name), F.col("r.c").alias(cnt),
+                    F.round(F.col("r.c") / F.col("total"), digits).alias("share")))
+
+
 def split_proportions(parts: dict[str, DataFrame], digits: int = 4) -> DataFrame:
     """(split, rows, share) of named parts; ``share`` = rows / sum(rows)."""
     counted = None
     for name, part in parts.items():
         c = part.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("split"), "rows")
         counted = c if counted is None else counted.unionByName(c)
-    # the union has one row per part: a global window over it is tiny
-    total = Window.partitionBy()
-    return counted.select("split", "rows",
-                          F.round(F.col("rows") / F.sum("rows").over(total), digits).alias("share"))
+    return _with_share(counted, "split", "rows", digits)
 
 
 def class_proportions(df: DataFrame, label: str, digits: int = 4) -> DataFrame:
-    """(value, count, share) per label value: grouped count, share over the small result."""
+    """(value, count, share) per label value: one grouped count, shares from its total."""
     vc = df.groupBy(F.col(label).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    return vc.select("value", "count",
-                     F.round(F.col("count") / F.sum("count").over(Window.partitionBy()), digits).alias("share"))
+    return _with_share(vc, "value", "count", digits)
 
 
 def corr_matrix(df: DataFrame, columns: list[str], digits: int | None = 6,
@@ -106,12 +113,15 @@ def class_weights(df: DataFrame, label: str, positive_boost: float = 1.5, positi
                   digits: int | None = 4) -> DataFrame:
     """(label, n, weight) with weight = N / (n_classes * n_c), positive class x boost.
 
-    The class table is one row per label value, so the window over it is tiny.
+    One grouped count, folded into one row (per-class list, total, class
+    count) and exploded back: no global window, no join.
     """
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    all_ = Window.partitionBy()
-    w = F.sum("n").over(all_) / (F.count(F.lit(1)).over(all_) * F.col("n"))
-    w = F.when(F.col("label") == F.lit(positive), w * positive_boost).otherwise(w)
+    one = counts.agg(F.collect_list(F.struct("label", "n")).alias("rows"), F.sum("n").alias("total"),
+                     F.count(F.lit(1)).alias("k"))
+    r = one.select(F.explode("rows").alias("r"), "total", "k")
+    w = F.col("total") / (F.col("k") * F.col("r.n"))
+    w = F.when(F.col("r.label") == F.lit(positive), w * positive_boost).otherwise(w)
     if digits is not None:
         w = F.round(w, digits)
-    return counts.select("label", "n", w.alias("weight"))
+    return r.select(F.col("r.label").alias("label"), F.col("r.n").alias("n"), w.alias("weight"))
