@@ -35,3 +35,40 @@ def test_exact_quantiles_property(spark, values, max_exact):
     got = exact_quantiles(df, ["x"], probs, max_exact=max_exact)["x"]
     for q in probs:
         assert got[q] == pytest.approx(float(np.quantile(values, q)), rel=1e-12, abs=1e-9)
+
+
+def _brute(train, queries, k, metric):
+    out = {}
+    for qk, qv in queries:
+        ds = []
+        for tk, tv in train:
+            a, b = np.asarray(qv, float), np.asarray(tv, float)
+            if metric == "chebyshev":
+                d = np.abs(a - b).max()
+            elif metric == "manhattan":
+                d = np.abs(a - b).sum()
+            else:
+                d = np.sqrt(((a - b) ** 2).sum())
+            ds.append((d, tk))
+        ds.sort()
+        out[qk] = [t for _, t in ds[:k]]
+    return out
+
+
+@given(st.integers(5, 120), st.integers(1, 4), st.integers(1, 9), st.sampled_from(["chebyshev", "manhattan",
+                                                                                     "euclidean"]),
+       st.integers(4, 64), st.integers(0, 10_000))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_knn_exact_property(spark, n, dim, k, metric, block_rows, seed):
+    from tessera.operators import neighbors
+    rnd = np.random.default_rng(seed)
+    pts = np.round(rnd.normal(size=(n, dim)) * 3) / 2          # coarse grid: many distance ties
+    train = [(i, pts[i].tolist()) for i in range(n)]
+    queries = [(10_000 + i, (pts[rnd.integers(n)] + rnd.normal(size=dim) * 0.3).tolist()) for i in range(15)]
+    tdf = spark.createDataFrame([(kk, v, kk % 2) for kk, v in train], "key BIGINT, vec ARRAY<DOUBLE>, label INT")
+    qdf = spark.createDataFrame(queries, "key BIGINT, vec ARRAY<DOUBLE>")
+    got = {}
+    for r in sorted(neighbors.knn(tdf, qdf, k, metric, block_rows=block_rows).collect(),
+                    key=lambda r: (r["q_key"], r["rank"])):
+        got.setdefault(r["q_key"], []).append(r["n_key"])
+    assert got == _brute(train, queries, k, metric)
