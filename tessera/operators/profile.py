@@ -38,6 +38,15 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
             .orderBy(F.desc("count"), F.asc("value")))
 
 
+def pairwise_corr(a: str, b: str):
+    """Pearson correlation over rows where both are non-NULL; NULL (not an
+    error) when either side is constant.  Spark's ``corr`` divides by zero on
+    a constant column, which raises under ANSI mode."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _with_share(counts: DataFrame, name: str, cnt: str, digits: int) -> DataFrame:
     """Share of each row of a small per-group count table, without a global
     window: one aggregate folds the table into a single row (its list and the
@@ -68,11 +77,11 @@ def corr_matrix(df: DataFrame, columns: list[str], digits: int | None = 6,
                 include_diagonal: bool = True) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (column_a, column_b, corr).
 
-    ``corr`` ignores rows where either side is NULL, which is pandas'
-    pairwise-complete rule.  All pairs are computed in one aggregate.
+    Rows where either side is NULL are ignored (pandas' pairwise-complete
+    rule); a constant column gives NULL.  All pairs are one aggregate.
     """
     pairs = list(combinations(columns, 2))
-    aggs = [F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [pairwise_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
     # diagonal: 1 when the column has two different non-null values (min < max)
     aggs += [(F.min(c) < F.max(c)).alias(f"d{j}") for j, c in enumerate(columns)]
     row = df.agg(*aggs)
@@ -92,7 +101,7 @@ def corr_matrix(df: DataFrame, columns: list[str], digits: int | None = 6,
 
 def corr_with_label(df: DataFrame, columns: list[str], label: str, digits: int | None = 6) -> DataFrame:
     """(column_name, corr) with the label, sorted descending (one aggregate)."""
-    row = df.agg(*[F.corr(c, label).alias(c) for c in columns])
+    row = df.agg(*[pairwise_corr(c, label).alias(c) for c in columns])
     out = row.unpivot([], columns, "column_name", "corr")
     if digits is not None:
         out = out.withColumn("corr", F.round("corr", digits))

@@ -197,3 +197,9 @@ def test_best_model_diff(spark):
                               "model STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE")
     rows = {r["metric"]: r for r in metrics.best_model_diff(m).collect()}
     assert rows["accuracy"]["best_model"] == "a" and rows["accuracy"]["diff"] == pytest.approx(0.1)
+
+
+def test_corr_constant_column_is_null_under_ansi(spark):
+    df = spark.createDataFrame([(1, 2.0, 5.0), (2, 3.0, 5.0), (3, 4.0, 5.0)], "k BIGINT, a DOUBLE, c DOUBLE")
+    m = {(r["column_a"], r["column_b"]): r["corr"] for r in profile.corr_matrix(df, ["a", "c"]).collect()}
+    assert m[("a", "c")] is None and m[("a", "a")] == 1.0 and m[("c", "c")] is None
