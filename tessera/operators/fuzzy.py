@@ -4,7 +4,8 @@ Memberships are pure column expressions (the centres are a few literals).
 The c-means loop keeps only the centres between iterations (c x d doubles):
 memberships are a function of the previous centres, so one aggregate per
 iteration yields the next centres *and* the membership change of the
-previous iteration.  Rows are never collected; the input is persisted once.
+previous iteration.  Rows are never collected; the input is checkpointed
+once (lineage cut into ``spark.checkpoint.dir``) and persisted.
 """
 
 from __future__ import annotations

@@ -6,19 +6,23 @@ Two joins on grid-cell ids replace the all-pairs product:
    spread dimensions.  Each cell keeps ``k`` representatives (smallest key
    hash; ``row_number() <= k`` per cell, which Spark runs as a partial
    ``WindowGroupLimit`` before the shuffle, so a hot cell never travels
-   whole).  A query joins the representatives of its own cell -- or, if that
-   cell has fewer than ``k`` rows, of a coarser level -- and the largest of
-   those ``k`` distances is an upper bound ``r_q`` on its true k-th distance.
+   whole).  A query meets the representatives of its own cell -- or, if that
+   cell has fewer than ``k`` rows, of a coarser level -- in a cogrouped numpy
+   block (queries salted per cell into blocks of at most ``block_rows``), and
+   the largest of those ``k`` distances is an upper bound ``r_q`` on its true
+   k-th distance.  With a single grid cell this phase is skipped.
 2. **Band.** Any neighbour within ``r_q`` differs by at most ``r_q`` in every
    coordinate (true for every Minkowski metric; cosine works on unit vectors
    where ``|a_j - b_j| <= sqrt(2 * cos_dist)``).  The query is exploded over
-   the grid cells that its band covers and equi-joined with the training
-   rows of those cells; candidates are filtered by the exact distance and the
-   first ``k`` by ``(distance, train_key)`` are kept per query, again with a
-   map-side partial top-k.
-
-The result is exact, ties broken by training key.  Skewed cells are split by
-AQE's skew-join handling; only ``k`` rows per query leave each task.
+   the grid cells that its band covers; per cell, queries and training rows
+   are salted into blocks of at most ``block_rows`` on both sides and met in
+   a cogrouped numpy block (chunks of 128 queries), which keeps the first
+   ``k`` by ``(distance, train_key)`` within ``r_q``; a final partial top-k
+   per query merges the blocks.
+
+The result is exact, ties broken by training key.  A hot cell (a third of
+all rows) becomes many bounded blocks; only ``k`` rows per query leave each
+task.  Tables broadcast here have one row per grid cell (bounded).
 """
 
 from __future__ import annotations

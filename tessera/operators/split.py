@@ -5,11 +5,12 @@
   does), test rows are the first ``q_c`` of each class in ``(md5(key||seed),
   key)`` order.  A window ``partition by class order by hash`` would sort a
   whole class in one task (a class may hold most rows), so the q_c-th row is
-  found by refining on hex prefixes of the hash instead: each round is one
-  grouped count of ``(class, next 4 hex digits)`` among rows still tied on
-  the prefix (at most 65 536 buckets per class), and 16^4-fold narrowing
-  reaches a bucket of at most ``final_rows`` rows within two or three rounds
-  even at 10^12 rows; only that bucket is ranked with a window.
+  found by refining on hex prefixes of the hash instead.  The first round,
+  a grouped count of ``(class, first 3 hex digits)``, also yields the class
+  counts; each later round is one grouped count of ``(class, next 4 hex
+  digits)`` among rows still tied on the prefix (at most 65 536 buckets per
+  class).  A bucket of at most ``final_rows`` rows is reached within two or
+  three rounds even at 10^12 rows; only that bucket is ranked with a window.
 * ``hash_split`` -- row-local ``md5`` prefix test, stable under repartition.
 * ``hash_folds`` -- k folds by hash (no global ordering).
 * ``predefined_split`` -- union of a train and a validation frame with a role.
