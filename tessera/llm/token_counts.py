@@ -23,8 +23,10 @@ null ids stay; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import own
 
-HUGE = 32_768
+HUGE = 65_536
 CHUNK = 16_384
 OVERLAP = 256
 MARGIN = 32
 LIMIT = 2048
-PIECES = 300_000
+PIECES = 1_200_000
+
+_start, _end = itemgetter(0), itemgetter(1)
 
 
 class Counter:
@@ -66,8 +70,13 @@ class Counter:
         if len(known) + len(new) > PIECES:               # bounded: start over, with what is needed now
             known = self.pieces = {}
             new = list(set(chain.from_iterable(split.values())))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
+        # a piece is its lower-cased stem and a tail of full stops and commas, where a letter or digit ends the stem
+        stems = {p: (p[:len(r)].lower(), p[len(r):]) for p in new if b"<" not in p and (r := p.rstrip(b".,")) and r[-1] < 128 and r[-1:].isalnum()}
+        todo = list({x for p in new for x in stems.get(p, (p,)) if x and x not in known})
+        for p, e in zip(todo, self.tokenizer.encode_batch_fast([p.decode() for p in todo], add_special_tokens=False)):
             known[p] = len(e)
+        for p, (stem, tail) in stems.items():
+            known[p] = known[stem] + (known[tail] if tail else 0)
         for i, ps in split.items():
             out[i] = sum(map(known.__getitem__, ps))
         return out
@@ -94,8 +103,8 @@ class Counter:
                     right, p = self.offsets(text, at, stop), at
                     break
                 wide *= 2
-            done += sum(1 for _, e in left if e <= p)
-            left = [x for x in right if x[0] >= p]
+            done += bisect_right(left, p, key=_end)
+            left = right[bisect_left(right, p, key=_start):]
             at, end = p, stop
         return done + len(left)
 
@@ -103,14 +112,15 @@ class Counter:
     def _splice(text: str, left, right, start: int, end: int, at: int) -> int | None:
         """The last provably stable boundary of both encodings in the overlap ``start..end``."""
         inside = lambda offs: {x for s, e in offs for x in range(s + 1, e)}
+        left = left[bisect_right(left, start, key=_end):]
+        right = right[:bisect_left(right, end, key=_start)]
         lo, hi = (start + MARGIN if start > at else start + 1), end - MARGIN
         cut = inside((s, e) for s, e in left if e > lo) | inside((s, e) for s, e in right if s < hi)
         for p in range(hi - 1, lo, -1):
             c, d = text[p - 1], text[p]
             stable = d in " \t\n\x0b\x0c\r" or (c.isascii() and c.isalnum() and d.isascii() and not d.isalpha())
             if stable and p not in cut:
-                same = [x for x in left if p <= x[0] and x[1] <= hi - 1] == [x for x in right if p <= x[0] and x[1] <= hi - 1]
-                if same:
+                if [x for x in left if p <= x[0] and x[1] < hi] == [x for x in right if p <= x[0] and x[1] < hi]:
                     return p
         return None
 
