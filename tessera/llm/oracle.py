@@ -55,8 +55,8 @@ b{k} AS (SELECT a.parent, a.path, a.cap, coalesce(w.weight, 1) AS w, g.get FROM
          WHERE coalesce(w.weight, 1) > 0),
 c{k} AS (SELECT *, (sum(cap) OVER o - cap)::BIGINT AS before, (sum(w) OVER (PARTITION BY parent) - sum(w) OVER o + w)::BIGINT AS rest_w FROM b{k}
          WINDOW o AS (PARTITION BY parent ORDER BY cap::DOUBLE / w, path)),
-d{k} AS (SELECT *, w * (get - before) >= cap * rest_w AS is_full, row_number() OVER (PARTITION BY parent ORDER BY cap::DOUBLE / w, path) AS at FROM c{k}),
-e{k} AS (SELECT parent, arg_min(get - before, at) AS rest, arg_min(rest_w, at) AS rest_w FROM d{k} WHERE NOT is_full GROUP BY parent),
+d{k} AS (SELECT *, w * (get - before) >= cap * rest_w AS is_full, row_number() OVER (PARTITION BY parent ORDER BY cap::DOUBLE / w, path) AS rn FROM c{k}),
+e{k} AS (SELECT parent, arg_min(get - before, rn) AS rest, arg_min(rest_w, rn) AS rest_w FROM d{k} WHERE NOT is_full GROUP BY parent),
 g{k} AS (SELECT d.path, CASE WHEN d.is_full THEN d.cap ELSE least(d.cap, (d.w * e.rest) // e.rest_w) END AS get FROM d{k} d LEFT JOIN e{k} e USING (parent))"""
 
 
