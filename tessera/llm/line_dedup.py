@@ -5,7 +5,9 @@ without empty ones.  Each distinct line of a page counts once for its host,
 by a 128-bit digest, so only (host, digest) pairs are shuffled, pre-aggregated
 in the map tasks.  Per host, the digests above the ratio number at most
 (lines per page) / ratio whatever the host's size, so they fit in one array
-per host; pages join that array and filter their lines in place.
+per host; pages join that array and filter their lines in place.  Both joins
+on the host are salted ``FAN`` ways (the small side is repeated), as one host
+may hold a third of all pages.
 
 Cases: a null url has the empty host, which is a host like any other; null
 html has no lines; hosts of fewer than ``min_pages`` pages drop nothing, as
@@ -22,6 +24,7 @@ from tessera.llm._shared import own
 
 RATIO = 0.3
 MIN_PAGES = 5
+FAN = 16
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
 HIDDEN = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
@@ -44,14 +47,21 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     keys = pages.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))).alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("common"))
+    counts = counts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(FAN)).cast("int"))
+    often = counts.join(_fanned(totals), ["host", "salt"]).where(F.col("n") > F.lit(ratio) * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("key").alias("common"))
+
+
+def _fanned(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))))
 
 
 def drop_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
                ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per page: ``page_id, host, n_lines, n_dropped, text`` (the lines that stay)."""
     p = own(pages, page_id, url, html).toDF("page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
-    out = p.join(boilerplate(p, ratio, min_pages), "host", "left")
+    salted = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(FAN)).cast("int"))
+    out = salted.join(_fanned(boilerplate(p, ratio, min_pages)), ["host", "salt"], "left")
     none = F.array().cast("array<binary>")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.coalesce("common", none), F.unhex(F.md5(x))))
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
