@@ -8,7 +8,8 @@ line ends, which is the writer's separator), so a lost task is run again and
 only committed files are seen.
 
 Reading.  Each archive file is parsed by the records' Content-Length, payload
-digests are recomputed and compared, and the file's index entries are sorted
+digests are recomputed and compared (the files are compressed; offsets are
+those of the uncompressed archive), and the file's index entries are sorted
 by (URL key, timestamp, id): one run per file, written to the shared folder.
 
 Merging.  The key space is cut into ranges of about ``MERGE_ROWS`` entries
@@ -26,6 +27,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -57,17 +59,19 @@ def url_key(url: str | None) -> str:
     return f"{key}){path}" + (f"?{'&'.join(sorted(query.lower().split('&')))}" if query else "")
 
 
-def _record(page_id, uid, url, ts, html, size, sha1, refers_to, refers_uid) -> str:
-    name = lambda p, u: f"<urn:x-capture:{'' if p is None else p}:{u}>"
+def _record(page_id, uid, url, ts, html, size, sha1, refers_to, later) -> str:
+    page = lambda p: "" if p is None else p
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     date = "" if ts is None else datetime.fromtimestamp(ts / 1e6, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{END}"
-    body = http + html if refers_uid is None else http
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_uid is None else 'revisit'}", f"WARC-Record-ID: {name(page_id, uid)}", f"WARC-Date: {date}",
+    body = http if later else http + html
+    # a payload has one response, so its page and digest name it; a revisit's name holds a number of its own
+    name = f"<urn:x-capture:{page(page_id)}:{digest}{f':{uid}' if later else ''}>"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if later else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}",
             f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}", f"WARC-Payload-Digest: sha1:{digest}",
             "Content-Type: application/http; msgtype=response"]
-    if refers_uid is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to, refers_uid)}"]
+    if later:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-capture:{page(refers_to)}:{digest}>"]
     return "\r\n".join(head) + f"\r\nContent-Length: {len(body.encode())}{END}{body}"
 
 
@@ -78,19 +82,22 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(captures: DataFrame, path: str, page_id: str = "page_id", url: str = "url", ts: str = "ts", html: str = "html", min_bytes: int = 0) -> None:
     c = own(captures, page_id, url, ts, html).toDF("page_id", "url", "ts", "html")
-    c = c.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long"), "url", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
-                 F.coalesce("html", F.lit("")).alias("html"))
+    c = c.select(F.col("page_id").cast("long").alias("page_id"), "url", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.coalesce("html", F.lit("")).alias("html"))
     c = c.withColumns({"size": F.octet_length("html").cast("long"), "sha1": F.sha1(F.col("html").cast("binary")), "other": F.xxhash64("html")})
-    # written first: the ids must be those that the groups name
-    scratch = Scratch(captures.sparkSession, "warc-captures")
-    keys = scratch.write(c.select("uid", "page_id", "size", "sha1", "other", "url", "ts", "html"), "captures")
-    top = keys.where(F.col("size") >= min_bytes).groupBy("sha1", "size", "other").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "uid")).alias("top")).where("n > 1").drop("n")
-    rows = keys.join(top, ["sha1", "size", "other"], "left")
-    later = F.col("top").isNotNull() & (F.col("top.uid") != F.col("uid"))
-    rows = rows.select("page_id", "uid", "url", "ts", "html", "size", "sha1", F.when(later, F.col("top.page_id")).alias("refers_to"), F.when(later, F.col("top.uid")).alias("refers_uid"))
-    rows.mapInArrow(_records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-    scratch.drop(keys)
+    payload = ["sha1", "size", "other"]
+    rows = c.where(F.col("size") >= min_bytes).groupBy(*payload, "page_id").agg(F.count(F.lit(1)).alias("n"))
+    top = rows.groupBy(*payload).agg(F.sum("n").alias("n"), F.max(F.struct("page_id", F.col("n").alias("same"))).alias("top")).where("n > 1").drop("n")
+    top = Scratch(captures.sparkSession, "warc-groups").write(top, "groups")
+    rows = c.join(top, payload, "left")
+    first = F.col("page_id").eqNullSafe(F.col("top.page_id"))
+    if top.where("top.same > 1").take(1):                # repeated rows: one of them is the response
+        tied = first & (F.col("top.same") > 1)
+        w = Window.partitionBy(*payload, "page_id").orderBy("ts", "url")
+        rows = rows.where(~F.coalesce(tied, F.lit(False))).withColumn("rank", F.lit(1)).unionByName(rows.where(tied).withColumn("rank", F.row_number().over(w)))
+        first = first & (F.col("rank") == 1)
+    later = F.col("top").isNotNull() & ~first
+    rows = rows.select("page_id", F.monotonically_increasing_id().alias("uid"), "url", "ts", "html", "size", "sha1", F.when(later, F.col("top.page_id")).alias("refers_to"), later.alias("later"))
+    rows.mapInArrow(_records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -117,12 +124,12 @@ def _parse(content: bytes) -> Iterator[tuple]:
                 raise ValueError(f"record at {at}: payload and digest differ")
         else:
             refers = h["warc-refers-to"].strip("<>").split(":")[2]
-        page, uid = h["warc-record-id"].strip("<>").split(":")[2:]
+        page, _, *uid = h["warc-record-id"].strip("<>").split(":")[2:]
         ts = None
         if h["warc-date"]:
             d = datetime.strptime(h["warc-date"], "%Y-%m-%dT%H:%M:%S.%fZ").replace(tzinfo=timezone.utc) - datetime.fromtimestamp(0, timezone.utc)
             ts = (d.days * 86400 + d.seconds) * 1_000_000 + d.microseconds
-        yield (url_key(h["warc-target-uri"]), ts, int(page) if page else None, int(uid), at, stop + len(end) - at, h["warc-type"], size, digest,
+        yield (url_key(h["warc-target-uri"]), ts, int(page) if page else None, int(uid[0]) if uid else -1, at, stop + len(end) - at, h["warc-type"], size, digest,
                int(refers) if refers else None)
         at = stop + len(end)
 
@@ -135,7 +142,7 @@ def _key(e: tuple) -> tuple:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-            rows = sorted(_parse(content.as_py()), key=_key)
+            rows = sorted(_parse(gzip.decompress(content.as_py())), key=_key)
             run = name.rsplit("/", 1)[-1]
             if rows:
                 cols = list(zip(*((run, k, *r) for k, r in enumerate(rows))))
@@ -165,7 +172,7 @@ class LoserTree:
 
     def _play(self, i: int) -> None:
         """Run i goes up from its leaf; at a node not played yet it waits."""
-        k, node = len(self.runs), (i + len(self.runs)) // 2
+        node = (i + len(self.runs)) // 2
         while node > 0:
             other = self.loser[node]
             if other < 0:
@@ -175,7 +182,6 @@ class LoserTree:
                 self.loser[node], i = i, other
             node //= 2
         self.loser[0] = i
-        del k
 
     def __iter__(self) -> Iterator:
         if not self.runs:
