@@ -52,22 +52,24 @@ def chosen_paths(messages: DataFrame, scratch: Scratch, branches: int) -> DataFr
     """``(leaf, id, depth)`` for every message on the best ``branches`` root-to-leaf paths of each root."""
     m = messages.select("id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     ids = m.select(F.col("id").alias("up"))
-    j = m.join(ids, m.parent == ids.up, "left").select(
-        "id", F.coalesce("up", "id").alias("anc"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"),
-        F.when(F.col("up").isNull(), F.lit(0.0)).otherwise(F.col("score")).alias("sum"))
-    jumps = [scratch.write(j, "jump")]
-    span = jumps[0].agg(F.sum("steps"), F.count(F.lit(1))).first()
-    steps, rows = span[0] or 0, span[1]
-    while True:
-        a, b = jumps[-1], jumps[-1].select(F.col("id").alias("b_id"), F.col("anc").alias("b_anc"), F.col("steps").alias("b_steps"), F.col("sum").alias("b_sum"))
-        nxt = scratch.write(a.join(b, a.anc == b.b_id).select("id", F.col("b_anc").alias("anc"), (F.col("steps") + F.col("b_steps")).alias("steps"),
-                                                              (F.col("sum") + F.col("b_sum")).alias("sum")), "jump")
-        now = nxt.agg(F.sum("steps")).first()[0] or 0
-        if now == steps or 1 << len(jumps) > 2 * max(rows, 1):       # nothing moved, or only cycles still move
-            full = nxt
-            break
-        jumps.append(nxt)
-        steps = now
+    j = m.join(ids, m.parent == ids.up, "left")
+    # moving: rows known to have 2**k ancestors or more, with the one 2**k up; settled: rows that point to their root
+    moving = scratch.write(j.where("up is not null").select("id", F.col("up").alias("anc"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")), "jump")
+    settled = [j.where("up is null").select("id", F.col("id").alias("anc"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("sum"))]
+    jumps, rows = [], m.count()
+    while moving.take(1) and 1 << len(jumps) <= max(rows, 1):       # beyond that only cycles still move
+        jumps.append(moving)
+        b = moving
+        for x in settled:
+            b = b.unionByName(x)
+        b = b.select(F.col("id").alias("b_id"), F.col("anc").alias("b_anc"), F.col("steps").alias("b_steps"), F.col("sum").alias("b_sum"))
+        nxt = scratch.write(moving.join(b, moving.anc == b.b_id).select("id", F.col("b_anc").alias("anc"), (F.col("steps") + F.col("b_steps")).alias("steps"),
+                                                                        (F.col("sum") + F.col("b_sum")).alias("sum")), "jump")
+        settled.append(nxt.where(F.col("steps") < 1 << len(jumps)))
+        moving = scratch.write(nxt.where(F.col("steps") == 1 << len(jumps)), "jump")
+    full = settled[0]
+    for x in settled[1:]:
+        full = full.unionByName(x)
     root = m.join(ids, m.parent == ids.up, "left").where("up is null").select(F.col("id").alias("root"), F.col("score").alias("root_score"))
     at = full.join(root, full.anc == root.root).select("id", "root", F.col("steps").alias("depth"), (F.col("sum") + F.col("root_score")).alias("path_score"))
     leaves = at.join(m.select("parent").distinct(), F.col("id") == F.col("parent"), "left_anti")
@@ -75,7 +77,7 @@ def chosen_paths(messages: DataFrame, scratch: Scratch, branches: int) -> DataFr
     best = leaves.withColumn("branch", F.row_number().over(w)).where(F.col("branch") <= branches)
     paths = scratch.write(best.select("root", F.col("id").alias("leaf"), "branch", "path_score", "id", "depth"), "paths")
     for k in reversed(range(len(jumps))):
-        jump = jumps[k].where(F.col("steps") == 1 << k).select(F.col("id").alias("from"), "anc")
+        jump = jumps[k].select(F.col("id").alias("from"), "anc")
         above = paths.join(jump, paths.id == jump["from"]).select("root", "leaf", "branch", "path_score", F.col("anc").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
         paths = scratch.write(paths.unionByName(above), "paths")
     return paths
