@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -34,7 +35,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             _pow[k] = np.cumprod(p)
     a, b = _pow[0][:n], _pow[1][:n]
-    if len(_pow[0]) > 1 << 23:          # one huge text must not leave its tables behind
+    if len(_pow[0]) > 1 << 22:          # one huge text must not leave its tables behind
         _pow[0], _pow[1] = _pow[0][:1], _pow[1][:1]
     return a, b
 
@@ -103,15 +104,23 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return doc, val
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` text bytes each (one longer text stands alone); null texts are empty."""
     for b in batches:
-        texts = [t or b"" for t in b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
+        column = b.column(b.schema.get_field_index(text)).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(sizes):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
-                size += len(texts[end])
+            while end < len(sizes) and (end == at or size + sizes[end] <= limit):
+                size += sizes[end]
                 end += 1
-            yield b.slice(at, end - at), texts[at:end]
+            yield b.slice(at, end - at), [t or b"" for t in column.slice(at, end - at).to_pylist()]
             at = end
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few rows at a time become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -1,9 +1,9 @@
 """Exact duplicates through an extendible-hash index whose buckets are owned by tasks.
 
 1. Map side.  Each task normalises its texts (every ``[\\x20\\x09-\\x0D]``
-   byte deleted), and within each Arrow batch equal texts collapse to one
+   byte deleted), and within each slice of ``SLICE_BYTES`` equal texts collapse to one
    *entry* that carries the text, the best row and the number of rows.  A text
-   that a third of all rows share therefore leaves a task once per batch.
+   that a third of all rows share therefore leaves a task once per slice.
 2. Directory.  A histogram of the top 16 bits of the entries' 64-bit keys (at
    most 65,536 counters) is all the driver sees.  Starting from one bucket, an
    overfull bucket splits on its next bit, and the directory doubles whenever
@@ -37,26 +37,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import Scratch, own
+from tessera.llm._words import chunks, slices
 
 SPACES = b" \t\n\x0b\x0c\r"
 DIRECTORY_BITS = 16
 BUCKET_BYTES = 8 << 20
 OWNER_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 
 _ROWS = "uid long, doc_id long, text_key long, rep long, sha binary, key long, norm binary, size long, cp long, best_doc long, best_uid long, n long"
 _INDEX = "rep long, key long, chain int, keep_id long, keep_uid long, group_size long"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b, texts in chunks(batches, "text", SLICE_BYTES):
         uid, doc, key_of, text = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)
         cps = pc.fill_null(pc.utf8_length(text), 0).to_pylist()
         first: dict[bytes, int] = {}
         rep, sha, groups = [], [], []          # groups: position -> [best key, rows]
         at: dict[int, list] = {}
         shas: dict[int, bytes] = {}
-        for i, t in enumerate(text.cast(pa.binary()).to_pylist()):
-            norm = (t or b"").translate(None, SPACES)
+        for i, t in enumerate(texts):
+            norm = t.translate(None, SPACES)
             j = first.setdefault(norm, i)
             best = (-cps[i], doc[i] is None, doc[i] or 0, uid[i])
             if j == i:
@@ -119,7 +121,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, (_, best, rows, reps) in enumerate(chain):
             out.extend((r, now, c, None if best[1] else best[2], best[3], rows) for r in reps)
 
-    for b in batches:
+    for b in slices(batches):
         for rep, key, norm, cp, bd, bu, n in zip(*(c.to_pylist() for c in b.columns)):
             if key != now:
                 close()

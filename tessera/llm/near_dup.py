@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import Scratch, components, own
-from tessera.llm._words import NOT_SPACE, Words, chunks, shingles
+from tessera.llm._words import NOT_SPACE, Words, chunks, shingles, slices
 
 SHINGLE = 5
 TOKENS = 32
@@ -145,7 +145,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         ids, sides, roots = (np.array([r[c] for r in rows], dtype=np.int64) for c in (0, 1, 2))
         return _linked(ids, sides, roots, [r[3] for r in rows], percent)
 
-    for b in batches:
+    for b in slices(batches):
         found = []
         for node, *row in zip(*(c.to_pylist() for c in b.columns)):
             if node != now:

@@ -151,7 +151,8 @@ def learn(stats: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], label:
             ids = order[s:s + BATCH]
             n = len(ids)
             doc = np.repeat(np.arange(n), [len(words[i][0]) for i in ids])
-            row, f, x = m.rows(stats[ids], doc, np.concatenate([words[i][0] for i in ids]), np.concatenate([words[i][1] for i in ids]))
+            row, f, x = m.rows(stats[ids], doc, np.concatenate([words[i][0] for i in ids]).astype(np.int64),
+                               np.concatenate([words[i][1] for i in ids]).astype(np.float64))
             z, sums = m.logit(n, row, f, x)
             err = (1 / (1 + np.exp(-z)) - label[ids]) / n
             e = err[row] * x
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = own(docs, doc_id, text).toDF("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
     got = rows.mapInArrow(_featured, "doc_id long, label int, stats binary, bucket binary, weight binary").toArrow().sort_by("doc_id")
     stats = np.frombuffer(b"".join(got.column("stats").to_pylist()), dtype=np.float64).reshape(-1, STATS)
-    words = [(np.frombuffer(a, dtype=np.uint16).astype(np.int64), np.frombuffer(b, dtype=np.float32).astype(np.float64))
+    words = [(np.frombuffer(a, dtype=np.uint16), np.frombuffer(b, dtype=np.float32))
              for a, b in zip(got.column("bucket").to_pylist(), got.column("weight").to_pylist())]
     return learn(stats, words, np.array(got.column("label").to_pylist(), dtype=np.float64))
 
