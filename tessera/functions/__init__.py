@@ -1,10 +1,6 @@
 """Column-expression helpers (all JVM-side, whole-stage-codegen friendly)."""
 
 from tessera.functions.missing import zero_as_missing, nan_to_null, is_missing
-from tessera.functions.distance import (
-    chebyshev, manhattan, euclidean, minkowski, cosine_distance, vector_distance, indexed_distance,
-    columns_distance,
-)
 from tessera.functions.numeric import (
     clamp01, safe_div, threshold, parse_double, decode_label, sigmoid,
     format_percent, format_fixed,
@@ -12,8 +8,6 @@ from tessera.functions.numeric import (
 
 __all__ = [
     "zero_as_missing", "nan_to_null", "is_missing",
-    "chebyshev", "manhattan", "euclidean", "minkowski", "cosine_distance", "vector_distance", "indexed_distance",
-    "columns_distance",
     "clamp01", "safe_div", "threshold", "parse_double", "decode_label", "sigmoid",
     "format_percent", "format_fixed",
 ]

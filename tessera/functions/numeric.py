@@ -29,10 +29,18 @@ def sigmoid(c: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(c)))
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def strip_text(c: Column | str) -> Column:
+    """The field without white space (tabs and line ends too) around it; blank -> NULL."""
+    return F.nullif(F.regexp_replace(_c(c).cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+
+
 def parse_double(c: Column | str) -> Column:
-    """trim, blank -> NULL, else number, else NULL (rejects are detected by the caller)."""
-    t = F.trim(_c(c).cast("string"))
-    return F.nullif(t, F.lit("")).try_cast("double")
+    """strip, blank -> NULL, decimal number -> double, else NULL (``1.5d``, ``nan``, ``inf``; rejects are detected by the caller)."""
+    t = strip_text(c)
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
 def decode_label(c: Column | str, positive: str, negative: str) -> Column:

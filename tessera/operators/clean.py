@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.missing import zero_as_missing as _zam, nan_to_null
-from tessera.functions.numeric import decode_label, parse_double
+from tessera.functions.numeric import decode_label, parse_double, strip_text
 
 
 def columns_except(df: DataFrame, exclude: list[str]) -> list[str]:
@@ -52,9 +52,7 @@ def parse_inputs(df: DataFrame, key: str, columns: list[str], zero_missing: list
     for c in zero_missing:
         if c in parsed:
             parsed[c] = F.nullif(parsed[c], F.lit(0.0))
-    bad = [F.when(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).isNotNull()
-                  & F.trim(F.col(c).cast("string")).try_cast("double").isNull(), F.lit(c))
-           for c in columns]
+    bad = [F.when(strip_text(c).isNotNull() & parse_double(c).isNull(), F.lit(c)) for c in columns]
     rejected = F.filter(F.array(*bad), lambda x: x.isNotNull())
     return df.select(F.col(key), *[v.alias(c) for c, v in parsed.items()],
                      rejected.alias("rejected"), (F.size(rejected) == 0).alias("ok"))

@@ -10,6 +10,7 @@ once (lineage cut into ``spark.checkpoint.dir``) and persisted.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
-_EPS = float.fromhex("0x1.0p-52")      # double machine epsilon, the clip used by the common c-means code
+_EPS = sys.float_info.epsilon      # the clip used by the common c-means code
 
 
 def _dist(cols: list[Column], center: list[float]) -> Column:

@@ -48,14 +48,10 @@ def pairwise_corr(a: str, b: str):
 
 
 def _with_share(counts: DataFrame, name: str, cnt: str, digits: int) -> DataFrame:
-    """Share of each row of a small per-group count table, without a global
-    window: one aggregate folds the table into a single row (its list and the
-    total) and ``explode`` brings the rows back with their share."""
-    one = counts.agg(F.collect_list(F.struct(F.col(name).alias("k"), F.col(cnt).alias("c"))).alias("rows"),
-                     F.sum(cnt).alias("total"))
-    return (one.select(F.explode("rows").alias("r"), "total")
-            .select(F.col("r.k").alias(name), F.col("r.c").alias(cnt),
-                    F.round(F.col("r.c") / F.col("total"), digits).alias("share")))
+    """Share of each row of a per-group count table, however many groups: the
+    total is one number, read first."""
+    total = counts.agg(F.sum(cnt)).first()[0]
+    return counts.select(name, cnt, F.round(F.col(cnt) / F.lit(total), digits).alias("share"))
 
 
 def split_proportions(parts: dict[str, DataFrame], digits: int = 4) -> DataFrame:
@@ -122,15 +118,13 @@ def class_weights(df: DataFrame, label: str, positive_boost: float = 1.5, positi
                   digits: int | None = 4) -> DataFrame:
     """(label, n, weight) with weight = N / (n_classes * n_c), positive class x boost.
 
-    One grouped count, folded into one row (per-class list, total, class
-    count) and exploded back: no global window, no join.
+    One grouped count; the total and the number of classes are two numbers,
+    read first: no global window, no join.
     """
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    one = counts.agg(F.collect_list(F.struct("label", "n")).alias("rows"), F.sum("n").alias("total"),
-                     F.count(F.lit(1)).alias("k"))
-    r = one.select(F.explode("rows").alias("r"), "total", "k")
-    w = F.col("total") / (F.col("k") * F.col("r.n"))
-    w = F.when(F.col("r.label") == F.lit(positive), w * positive_boost).otherwise(w)
+    total, k = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    w = F.lit(total) / (F.lit(k) * F.col("n"))
+    w = F.when(F.col("label") == F.lit(positive), w * positive_boost).otherwise(w)
     if digits is not None:
         w = F.round(w, digits)
-    return r.select(F.col("r.label").alias("label"), F.col("r.n").alias("n"), w.alias("weight"))
+    return counts.select("label", "n", w.alias("weight"))

@@ -57,8 +57,11 @@ def weighted_union(parts: list[tuple[DataFrame, float]], weight_col: str = "w")
 
 
 def replicate_by_weight(df: DataFrame, weight_col: str) -> DataFrame:
-    """Integer weights as row copies (for learners without a weight column)."""
-    return (df.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.col(weight_col).cast("int"))))
+    """Whole weights as row copies (for learners without a weight column).
+
+    Fractions are cut off; rows of a weight below 1 or NULL have no copy.
+    """
+    return (df.where(F.col(weight_col) >= 1).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.col(weight_col).cast("int"))))
             .drop("__rep"))
 
 

@@ -204,3 +204,18 @@ def test_corr_constant_column_is_null_under_ansi(spark):
     df = spark.createDataFrame([(1, 2.0, 5.0), (2, 3.0, 5.0), (3, 4.0, 5.0)], "k BIGINT, a DOUBLE, c DOUBLE")
     m = {(r["column_a"], r["column_b"]): r["corr"] for r in profile.corr_matrix(df, ["a", "c"]).collect()}
     assert m[("a", "c")] is None and m[("a", "a")] == 1.0 and m[("c", "c")] is None
+
+
+def test_replicate_by_weight_below_one(spark):
+    from tessera.operators.stack import replicate_by_weight
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 2.9), (4, None), (5, -1.0)], "k int, w double")
+    got = [r.k for r in replicate_by_weight(df, "w").collect()]
+    assert sorted(got) == [2, 3, 3]
+
+
+def test_parse_double_edge_cases(spark):
+    from tessera.operators.clean import parse_inputs
+    rows = [(0, "1.5d"), (1, "nan"), (2, "\t"), (3, " 12\t"), (4, "1e3"), (5, "-.5"), (6, None), (7, "inf"), (8, "0x1"), (9, "5.")]
+    got = {r.k: (r.x, r.ok) for r in parse_inputs(spark.createDataFrame(rows, "k int, x string"), "k", ["x"]).collect()}
+    assert got == {0: (None, False), 1: (None, False), 2: (None, True), 3: (12.0, True), 4: (1000.0, True), 5: (-0.5, True),
+                   6: (None, True), 7: (None, False), 8: (None, False), 9: (5.0, True)}
