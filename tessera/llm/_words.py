@@ -35,7 +35,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             _pow[k] = np.cumprod(p)
     a, b = _pow[0][:n], _pow[1][:n]
-    if len(_pow[0]) > 1 << 22:          # one huge text must not leave its tables behind
+    if len(_pow[0]) > 1 << 20:          # one huge text must not leave its tables behind
         _pow[0], _pow[1] = _pow[0][:1], _pow[1][:1]
     return a, b
 
@@ -66,7 +66,10 @@ class Words:
         self.base = np.concatenate(([0], np.cumsum(sizes)))          # where each text begins
         self.doc = np.searchsorted(self.base, self.start, side="right") - 1
         p, inv = _powers(len(raw))
-        c = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[self.low] * p)))
+        c = np.zeros(len(raw) + 1, dtype=np.uint64)                  # one array, filled in place: texts may be huge
+        np.take(_BYTE, self.low, out=c[1:])
+        c[1:] *= p
+        np.cumsum(c[1:], out=c[1:])
         self.h = mix((c[self.end] - c[self.start]) * inv[self.start])
         self.n = np.bincount(self.doc, minlength=len(texts))
         self.raw = raw

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Scratch, own
+from tessera.llm._shared import Scratch, own, small_batches
 from tessera.llm._words import ALNUM, Words, chunks, grams
 
 WINDOW = 10
@@ -149,6 +149,7 @@ def parts_of(benchmark: DataFrame, item_id: str, text: str, window: int, part_by
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items``."""
+    small_batches(docs.sparkSession)
     rows = own(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = parts_of(benchmark, item_id, item_text, window, part_bytes)
     if not parts:
@@ -207,6 +208,7 @@ def _merge(p):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` without the rows in which any window occurs; all columns, decided row by row in one pass per part."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     for bc in parts_of(benchmark, item_id, item_text, window, part_bytes):
         docs = docs.mapInArrow(lambda it, bc=bc: _clean(bc.value, text, it), schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import own
+from tessera.llm._shared import own, small_batches
 from tessera.llm._words import NOT_SPACE, Words, chunks
 
 WORD_BITS = 14
@@ -77,8 +77,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     n = len(texts)
     w = Words(texts, NOT_SPACE)
     size = np.diff(w.base) - 1
-    of = np.repeat(np.arange(n), size + 1)
-    kind = _per(of * 7 + _CLASS[w.raw], 7 * n).reshape(n, 7)
+    kinds = _CLASS[w.raw]
+    kind = np.stack([np.add.reduceat(kinds == k, w.base[:-1], dtype=np.int64) for k in range(7)], axis=1).astype(np.float64)
     kind[:, 4] -= 1                                      # the separator
     L = np.maximum(size, 1)
     words = np.maximum(w.n, 1)
@@ -188,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # at most ``sample`` rows: a fixed bound on what is broadcast and collected
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = own(docs, doc_id, text).toDF("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    small_batches(docs.sparkSession)
     got = rows.mapInArrow(_featured, "doc_id long, label int, stats binary, bucket binary, weight binary").toArrow().sort_by("doc_id")
     stats = np.frombuffer(b"".join(got.column("stats").to_pylist()), dtype=np.float64).reshape(-1, STATS)
     words = [(np.frombuffer(a, dtype=np.uint16), np.frombuffer(b, dtype=np.float32))
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, held_out, score, predicted``."""
+    small_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
@@ -209,6 +211,7 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
 
 def accept(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """``docs`` without the rows that score below the threshold; all columns, in one pass."""
+    small_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import own
+from tessera.llm._shared import own, small_batches
 
 HUGE = 65_536
 CHUNK = 16_384
@@ -144,5 +144,6 @@ def _run(batches: Iterator[pa.RecordBatch], file: str, huge: int, chunk: int, ov
 def count_tokens(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT,
                  huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_tokens, over_limit``.  ``file``: a tokenizer file that every executor has."""
+    small_batches(docs.sparkSession)
     rows = own(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lambda it: _run(it, file, huge, chunk, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
