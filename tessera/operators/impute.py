@@ -19,6 +19,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 
 def flag_name(target: str) -> str:
     return f"{target}_imputed"
@@ -32,6 +34,7 @@ def fit_imputer(df: DataFrame, target: str, features: list[str], *, max_iter: in
     Features must be complete (``handleInvalid="error"``): a NULL feature is an
     error, not a silent zero.
     """
+    checkpoint_dir(df.sparkSession)          # the trees' periodic checkpoints need the shared folder
     known = df.where(F.col(target).isNotNull())
     va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="error")
     gbt = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="__pred", maxIter=max_iter,
@@ -51,16 +54,18 @@ def apply_imputer(df: DataFrame, model: PipelineModel, target: str) -> DataFrame
 def chained_impute(df: DataFrame, specs: list[dict]) -> tuple[DataFrame, dict]:
     """Fit and apply imputers in order; spec = {target, features, **gbt params}.
 
-    Each imputer is fitted on the rows as they are before *its* fill (so a
-    later imputer trains on originally-known values of its own target) and
-    applied to the frame in which earlier targets are already filled.
+    Each imputer is fitted on the rows as they were given, before any fill (a
+    row that misses an earlier target which this imputer takes as a feature is
+    not learned from), and applied to the frame in which earlier targets are
+    already filled.
     """
     models = {}
     cur = df
     for spec in specs:
         spec = dict(spec)
         target, feats = spec.pop("target"), spec.pop("features")
-        m = fit_imputer(cur, target, feats, **spec)
+        earlier = [c for c in feats if c in models]
+        m = fit_imputer(df.na.drop(subset=earlier) if earlier else df, target, feats, **spec)
         models[target] = m
         cur = apply_imputer(cur, m, target)
     return cur, models

@@ -26,8 +26,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import neighbors
+from tessera.operators import neighbors, profile
 from tessera.operators.stack import replicate_by_weight
+from tessera.session import checkpoint_dir
 
 
 def positive_probability(col: str = "probability") -> Column:
@@ -77,6 +78,7 @@ def _assembler(features: list[str], out: str = "__x") -> VectorAssembler:
 def fit_gbt(df: DataFrame, features: list[str], label: str, key: str, name: str = "LightGBM",
             max_iter: int = 400, step_size: float = 0.01, max_depth: int = 7, min_instances: int = 3,
             subsampling: float = 0.7, seed: int = 42) -> Fitted:
+    checkpoint_dir(df.sparkSession)          # the trees' periodic checkpoints need the shared folder
     gbt = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=max_iter, stepSize=step_size,
                         maxDepth=max_depth, minInstancesPerNode=min_instances, subsamplingRate=subsampling,
                         seed=seed)
@@ -134,14 +136,33 @@ def class_replication(df: DataFrame, label: str, weights: dict[int, int]) -> Dat
     return replicate_by_weight(df.withColumn("__w", w), "__w").drop("__w")
 
 
+def balanced_copies(df: DataFrame, label: str, positive_boost: float = 1.0, tolerance: float = 0.05, most: int = 8) -> dict[int, int]:
+    """Whole copies per class in the ratio of ``profile.class_weights``.
+
+    The rarest weight gets the fewest copies ``m`` in 1..``most`` with which every
+    class is within ``tolerance`` of its weight (else the ``m`` that comes closest).
+    Rows without a label have no class.  For labels of few classes.
+    """
+    rows = profile.class_weights(df.where(F.col(label).isNotNull()), label, positive_boost, digits=None).collect()
+    if not rows:
+        return {}
+    least = min(r["weight"] for r in rows)
+    ratio = {r["label"]: r["weight"] / least for r in rows}
+    error = {m: max(abs(round(x * m) / m - x) / x for x in ratio.values()) for m in range(1, most + 1)}
+    m = next((m for m, e in error.items() if e <= tolerance), min(error, key=error.get))
+    return {c: round(x * m) for c, x in ratio.items()}
+
+
 def fit_mlp(df: DataFrame, features: list[str], label: str, key: str, name: str = "ANN",
-            hidden: list[int] = (32,), max_iter: int = 100, step_size: float = 0.03, seed: int = 42,
-            class_copies: dict[int, int] | None = None, initial_weights=None, block_size: int = 128) -> Fitted:
+            hidden: list[int] = (32,), max_iter: int = 100, seed: int = 42,
+            class_copies: dict[int, int] | str | None = None, initial_weights=None, block_size: int = 128) -> Fitted:
+    if class_copies == "balanced":
+        class_copies = balanced_copies(df, label)
     data = class_replication(df, label, class_copies) if class_copies else df
     layers = [len(features), *hidden, 2]
     kw = {"initialWeights": initial_weights} if initial_weights is not None else {}
     mlp = MultilayerPerceptronClassifier(featuresCol="__x", labelCol=label, layers=layers, maxIter=max_iter,
-                                         stepSize=step_size, seed=seed, blockSize=block_size, **kw)
+                                         seed=seed, blockSize=block_size, **kw)
     m = Pipeline(stages=[_assembler(features), mlp]).fit(data)
     return Fitted(name, "probability", features, key, m, {"family": "mlp", "layers": layers})
 

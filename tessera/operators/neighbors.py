@@ -51,7 +51,8 @@ def as_vector(df: DataFrame, key: str, features: list[str] | str, label: str | N
 
 def _unit(vec: Column) -> Column:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vec, lambda x: x / F.nullif(norm, F.lit(0.0)))
+    # a zero vector stays zero: at cosine distance 1 from everything, inside the band of any such bound
+    return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
 def _plan_grid(train: DataFrame, k: int, max_dims: int = 3, per_cell: int = 4):
@@ -115,7 +116,8 @@ def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev",
     """Exact k nearest training rows for every query.
 
     ``train``: (key, vec[, label]); ``queries``: (key, vec).  Returns
-    (q_key, rank 1..k, n_key, distance[, label]).  Ties by training key.
+    (q_key, rank 1..k, n_key, distance[, label]).  Ties by training key.  The
+    cosine distance of a zero vector to any vector is 1.
     """
     metric = metric.lower()
     has_label = "label" in train.columns
@@ -179,8 +181,7 @@ def _np_dist(metric: str, p: float, Q, T):
     if metric == "cosine":
         nq = np.sqrt((Q * Q).sum(1))[:, None]
         nt = np.sqrt((T * T).sum(1))[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return 1.0 - (Q @ T.T) / (nq * nt)
+        return 1.0 - np.divide(Q @ T.T, nq * nt, out=np.zeros((len(Q), len(T))), where=nq * nt > 0)
     diff = np.abs(Q[:, None, :] - T[None, :, :])
     if metric == "chebyshev":
         return diff.max(axis=2)

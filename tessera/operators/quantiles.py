@@ -13,7 +13,9 @@ column.  Instead each requested order statistic is found by bracketing:
 3. When a bracket holds few *distinct* values, its ``(value, count)`` pairs
    are collected (bounded by ``max_exact``) and the rank is read off the
    cumulative counts.  A bracket that is one repeated value (a hot value may
-   hold a third of all rows) resolves immediately.
+   hold a third of all rows) resolves immediately.  A bracket that the
+   sketch no longer narrows is halved by value until it does; the size test
+   is never passed over (``max_exact`` must be 32 or more).
 
 Every pass is a map-side-combined aggregate over the long ``(column, value)``
 form, so all columns and all quantiles share the same scans.  Each narrowing
@@ -24,6 +26,7 @@ three rounds.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,6 +46,7 @@ class _Target:
     inside: int          # exact count of values in [lo, hi]
     ndv: int             # approximate distinct values in [lo, hi]
     value: float | None = None
+    halve: bool = False  # the sketch no longer narrows this bracket: halve it by value
 
 
 def to_long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,6 +91,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     Usually three passes: stats + sketch, bracket counts, exact resolve.
     Only one small row per column / per wanted rank reaches the driver.
     """
+    if max_exact < 32:
+        raise ValueError("max_exact must be 32 or more")
     spark = df.sparkSession
     long = to_long(df, columns)
     if persist:
@@ -127,8 +133,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if not open_:
             break
         rounds += 1
-        small = [t for t in open_ if t.ndv * 1.1 + 16 <= max_exact or rounds > 12]
+        small = [t for t in open_ if t.ndv * 1.1 + 16 <= max_exact]
         large = [t for t in open_ if t not in small]
+        for t in large:
+            t.halve = t.halve or rounds > 12
         if small:
             _resolve_small(long, spark, small)
         if large:
@@ -207,6 +215,11 @@ def _resolve_small(long: DataFrame, spark, targets: list[_Target]) -> None:
                 break
 
 
+def _middle(t: _Target) -> float:
+    top = sys.float_info.max
+    return max(t.lo, -top) / 2 + min(t.hi, top) / 2
+
+
 def _narrow(long: DataFrame, spark, targets: list[_Target]) -> None:
     inside = _in_bracket(long, spark, targets).persist()
     aggs = []
@@ -218,7 +231,7 @@ def _narrow(long: DataFrame, spark, targets: list[_Target]) -> None:
         aggs.append(F.percentile_approx(F.when(F.col("tid") == t.tid, F.col("value")),
                                         F.array(F.lit(qa), F.lit(qb)), _ACCURACY).alias(f"t{t.tid}"))
     row = inside.agg(*aggs).collect()[0]
-    cand = {t.tid: (row[f"t{t.tid}"][0], row[f"t{t.tid}"][1]) for t in targets}
+    cand = {t.tid: (_middle(t),) * 2 if t.halve else (row[f"t{t.tid}"][0], row[f"t{t.tid}"][1]) for t in targets}
 
     counts = []
     for t in targets:
@@ -247,6 +260,5 @@ def _narrow(long: DataFrame, spark, targets: list[_Target]) -> None:
         if new[0] == new[1]:
             t.value = new[0]                    # the bracket is one (possibly hot) value
             continue
-        if new[3] >= t.inside:
-            new = (*new[:4], 0)                 # sketch cannot split further: go exact
+        t.halve = t.halve or new[3] >= t.inside
         t.lo, t.hi, t.below, t.inside, t.ndv = new

@@ -182,7 +182,7 @@ def q_knn_classify(spark, sf):
     return out.select("key", _r("p_pos").alias("p_pos"), "pred")
 
 
-KNN_GRID_METRICS = ["chebyshev", "manhattan", "euclidean", "cosine"]
+KNN_GRID_METRICS = ["chebyshev", "manhattan", "euclidean", "cosine", ("minkowski", 3.0), ("minkowski", 4.0), ("minkowski", 5.0)]
 KNN_GRID_K = list(range(1, 101)) + [125, 150, 200]
 
 
@@ -392,3 +392,24 @@ def q_row_lookup(spark, sf):
 
 
 QUERIES["row_lookup"] = q_row_lookup
+
+
+def q_knn_events(spark, sf):
+    """Neighbours in two dimensions (events' value and k), where the grid prunes: second half against first."""
+    ev = events_halves(spark, sf).dropna(subset=EV)
+    train, val = (neighbors.as_vector(ev.where(F.col("split") == s), "event_id", EV) for s in ("first", "second"))
+    nb = neighbors.knn(train, val, 10, "euclidean")
+    return nb.select("q_key", "rank", "n_key", _r("distance").alias("distance"))
+
+
+QUERIES["knn_events"] = q_knn_events
+
+
+def q_class_copies(spark, sf):
+    """Whole copies of each label's rows in the ratio of the class weights."""
+    from tessera.operators import learners
+    lab = _t(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return learners.class_replication(lab, "label", learners.balanced_copies(lab, "label")).groupBy("label").agg(F.count(F.lit(1)).alias("n_copies"))
+
+
+QUERIES["class_copies"] = q_class_copies

@@ -187,6 +187,9 @@ def _dist_sql(metric: str, a: str = "a.v", b: str = "b.v") -> str:
         na = f"sqrt(list_sum(list_transform({rng}, lambda i: {a}[i] * {a}[i])))"
         nb = f"sqrt(list_sum(list_transform({rng}, lambda i: {b}[i] * {b}[i])))"
         return f"1 - {dot} / ({na} * {nb})"
+    if metric.startswith("minkowski"):
+        p = metric.split()[1]
+        return f"pow(list_sum(list_transform({rng}, lambda i: pow(abs({a}[i] - {b}[i]), {p}))), 1.0 / {p})"
     raise ValueError(metric)
 
 
@@ -214,6 +217,7 @@ def knn_metric_grid():
     kmax = max(C.KNN_GRID_K)
     parts = []
     for m in C.KNN_GRID_METRICS:
+        m = m if isinstance(m, str) else f"{m[0]} {m[1]:g}"
         d = _dist_sql(m)
         parts.append(f"select '{m}' as metric, a.key as q_key, a.y as y_true, b.key as n_key, b.y, {d} as distance "
                      f"from tr b, va a")
@@ -528,3 +532,26 @@ def row_lookup():
 
 
 ORACLE["row_lookup"] = row_lookup()
+
+
+def knn_events():
+    return (f"with e as (select * from ({EVH}) where value is not null and k is not null), p as (select a.event_id as q_key, b.event_id as n_key, "
+            "sqrt((a.value - b.value) * (a.value - b.value) + (a.k - b.k) * (a.k - b.k)) as distance "
+            "from e a, e b where a.split = 'second' and b.split = 'first'), "
+            "r as (select *, row_number() over (partition by q_key order by distance, n_key) as rank from p)\n"
+            "select q_key, rank, n_key, round(distance, 6) as distance from r where rank <= 10")
+
+
+ORACLE["knn_events"] = knn_events()
+
+
+def class_copies():
+    return """
+with c as (select quality as label, count(*) as n from labels where quality is not null group by 1),
+w as (select label, n, max(n) over () / n as ratio from c),
+e as (select m, max(abs(round(ratio * m) / m - ratio) / ratio) as err from w, range(1, 9) t(m) group by m),
+b as (select coalesce(min(m) filter (where err <= 0.05), arg_min(m, err)) as m from e)
+select label, cast(n * round(ratio * m) as bigint) as n_copies from w, b"""
+
+
+ORACLE["class_copies"] = class_copies()

@@ -43,7 +43,7 @@ class StackConfig:
     lsvm: dict = field(default_factory=lambda: dict(C=2.0))
     rsvm: dict = field(default_factory=lambda: dict(C=8.5317, gamma=0.6952, D=256, max_iter=500, tol=0.1))
     ann: dict = field(default_factory=lambda: dict(hidden=[32, 256, 128, 256], max_iter=100,
-                                                   class_copies={0: 4, 1: 11}))
+                                                   class_copies="balanced"))
     meta_hidden: list[int] = field(default_factory=lambda: [512, 512, 256, 128, 128, 16])
     meta_iter: tuple[int, int] = (20, 15)
     fcm_phase1: dict = field(default_factory=lambda: dict(m=5.0, error=1e-4, maxiter=1000))
