@@ -11,6 +11,8 @@
   digits)`` among rows still tied on the prefix (at most 65 536 buckets per
   class).  A bucket of at most ``final_rows`` rows is reached within two or
   three rounds even at 10^12 rows; only that bucket is ranked with a window.
+  Classes are compared null-safe in their own type (a NULL label is a class),
+  and quotas and thresholds stay tables keyed by class, whatever their number.
 * ``hash_split`` -- row-local ``md5`` prefix test, stable under repartition.
 * ``hash_folds`` -- k folds by hash (no global ordering).
 * ``predefined_split`` -- union of a train and a validation frame with a role.
@@ -23,9 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 _PREFIX_STEP = 4
 _FIRST_STEP = 3          # first level: 4 096 buckets per class (fused with the class counts)
-_MAX_CLASSES = 100_000
+_BROADCAST_CLASSES = 100_000      # class tables of at most this many rows are broadcast, larger ones are joined
 
 
 def key_hash(key: str, seed: int | str = 42) -> Column:
@@ -85,100 +89,84 @@ def stratified_quotas(class_counts: dict, test_fraction: float) -> dict:
     return {c: class_counts[c] - train[c] for c in class_counts}
 
 
-def first_buckets(df: DataFrame, group: str, key: str, seed: int | str = 42) -> DataFrame:
-    """(g, b, n): rows per (group, first 3 hex digits of the key hash) -- at most
-    4 096 rows per group, whatever the data size."""
-    h = key_hash(key, seed)
-    return (df.groupBy(F.col(group).cast("string").alias("g"), F.substring(h, 1, _FIRST_STEP).alias("b"))
-            .agg(F.count(F.lit(1)).alias("n")))
+def class_quotas(classes: DataFrame, test_fraction: float) -> DataFrame:
+    """``(g, n, q)`` from class counts ``(g, n)``: test rows per class, as ``stratified_quotas``.
 
+    Left-over units go to the first classes in (remainder desc, class) order.
+    That rank is the row number inside a range partition of the sorted class
+    table plus the sizes of the partitions before it, so no task sees all
+    classes; only one count per partition reaches the driver.
+    """
+    n = classes.agg(F.sum("n")).first()[0] or 0
+    if n == 0:
+        return classes.select("g", "n", F.lit(0).cast("long").alias("q"))
+    total = n - int(math.ceil(test_fraction * n))
+    big = lambda c: c.cast("decimal(18,0)")
+    share = (big(F.col("n")) * big(F.lit(total))).alias("share")
+    c = classes.select("g", "n", share).withColumn("rem", F.col("share") % big(F.lit(n)))
+    c = c.withColumn("base", ((F.col("share") - F.col("rem")) / big(F.lit(n))).cast("long"))
+    s = cut_lineage(c.orderBy(F.desc("rem"), "g").withColumn("pid", F.spark_partition_id()))
+    need, at, before = total - s.agg(F.sum("base")).first()[0], 0, []
+    for r in s.groupBy("pid").agg(F.count(F.lit(1)).alias("m")).orderBy("pid").collect():      # one row per partition
+        before.append((r["pid"], at))
+        at += r["m"]
+    offsets = F.broadcast(classes.sparkSession.createDataFrame(before, "pid INT, at LONG"))
+    place = F.col("at") + F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("rem"), "g"))
+    return (s.join(offsets, "pid").withColumn("place", place)
+            .select("g", "n", (F.col("n") - F.col("base") - F.when(F.col("place") <= need, 1).otherwise(0)).alias("q")))
 
-def kth_by_hash(df: DataFrame, group: str, key: str, ranks: dict, seed: int | str = 42,
-                final_rows: int = 200_000, buckets: DataFrame | None = None) -> dict:
-    """For each group value g, the (hash, key) of the row with 0-based rank
-    ``ranks[g]`` in ``(md5(key||seed), key)`` order.  Exact, no full sort.
 
-    ``buckets`` (from ``first_buckets``) saves the first refinement pass."""
-    h = key_hash(key, seed)
-    base = df.select(F.col(group).alias("g"), F.col(key).alias("k"), h.alias("h"))
-    # state per group: fixed prefix, rank within rows sharing it, rows sharing it
-    state = {g: ["", r, None] for g, r in ranks.items() if r is not None and r >= 0}
-    result = {}
-    counts_known = False
-    if buckets is not None and state:
-        _pick(buckets, state)
-        counts_known = True
-    while state:
-        if counts_known:
-            small = {g: s for g, s in state.items() if s[2] <= final_rows or len(s[0]) >= 32}
-        else:
-            small = {}
-        big = {g: s for g, s in state.items() if g not in small}
-        if small:
-            result.update(_rank_in_bucket(base, small))
-            for g in small:
-                state.pop(g)
-        if big:
-            _refine(base, big)
-            counts_known = True
-    return result
-
-
-def _prefix_table(spark, state: dict) -> DataFrame:
-    rows = [(_sstr(g), s[0], len(s[0])) for g, s in state.items()]
-    # one row per class, bounded by _MAX_CLASSES: safe to broadcast
-    return F.broadcast(spark.createDataFrame(rows, "g STRING, p STRING, plen INT"))
-
-
-def _matching(base: DataFrame, state: dict) -> DataFrame:
-    pt = _prefix_table(base.sparkSession, state)
-    return (base.withColumn("g", F.col("g").cast("string")).join(pt, "g")
-            .where(F.substring(F.col("h"), 1, F.col("plen")) == F.col("p")))
-
-
-def _refine(base: DataFrame, state: dict) -> None:
-    m = _matching(base, state)
-    nxt = F.substring(F.col("h"), F.col("plen") + 1, _PREFIX_STEP)
-    _pick(m.groupBy("g", nxt.alias("b")).agg(F.count(F.lit(1)).alias("n")), state)
-
-
-def _pick(buckets: DataFrame, state: dict) -> None:
-    """Find, per group, the bucket holding the wanted rank (cumulative counts)."""
-    # <= 16^4 rows per class: the cumulative window runs over this small table
+def first_buckets(df: DataFrame, group: str, key: str, seed: int | str = 42) -> DataFrame:
+    """(g, b, n): rows per (group, first 3 hex digits of the key hash) -- at most
+    4 096 rows per group, whatever the data size."""
+    return (df.select(F.col(group).alias("g"), key_hash(key, seed).alias("h"))
+            .groupBy("g", F.substring("h", 1, _FIRST_STEP).alias("b")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _with_class(df: DataFrame, table: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    """``df(g, ..)`` with the columns of the class table, null-safe on the class; broadcast if it has few rows."""
+    t = table.withColumnRenamed("g", "__g")
+    return df.join(F.broadcast(t) if rows <= _BROADCAST_CLASSES else t, F.col("g").eqNullSafe(F.col("__g")), how).drop("__g")
+
+
+def kth_by_hash(df: DataFrame, group: str, key: str, ranks: DataFrame | dict, seed: int | str = 42,
+                final_rows: int = 200_000, buckets: DataFrame | None = None) -> DataFrame | dict:
+    """``(g, h, k)`` of the row with 0-based rank ``r`` in ``(md5(key||seed), key)``
+    order, for each ``(g, r)`` of ``ranks``.  Exact, no full sort.
+
+    ``buckets`` (from ``first_buckets``) saves the first refinement pass.  A
+    dict of ranks, for a few classes, gives a dict ``{g: (h, k)}``."""
+    if isinstance(ranks, dict):
+        table = df.sparkSession.createDataFrame([(g, int(r)) for g, r in ranks.items() if r is not None and r >= 0],
+                                                f"g {df.schema[group].dataType.simpleString()}, r LONG")
+        return {r["g"]: (r["h"], r["k"]) for r in kth_by_hash(df, group, key, table, seed, final_rows, buckets).collect()}
+    base = df.select(F.col(group).alias("g"), F.col(key).alias("k"), key_hash(key, seed).alias("h"))
+    # per class: the hash prefix p that holds the wanted row, its rank r among the rows with it, and their number m
+    state = cut_lineage(ranks.select("g", "r", F.lit("").alias("p"), F.lit(None).cast("long").alias("m")))
+    rows = state.count()
+    if buckets is not None and rows:
+        state = cut_lineage(_narrow(buckets, state, rows))
+    open_ = (F.col("m").isNull() | (F.col("m") > final_rows)) & (F.length("p") < 32)
+    while rows and not state.where(open_).isEmpty():
+        wide = state.where(open_)
+        found = _matching(base, wide, rows).groupBy("g", F.expr(f"substring(h, length(p) + 1, {_PREFIX_STEP})").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        state = cut_lineage(_narrow(found, wide, rows).unionByName(state.where(~open_)))
+    w = Window.partitionBy("g").orderBy("h", "k")       # a class has <= final_rows rows here
+    return (_matching(base, state, rows).withColumn("rn", F.row_number().over(w) - 1).where("rn = r").select("g", "h", "k"))
+
+
+def _matching(base: DataFrame, state: DataFrame, rows: int) -> DataFrame:
+    return _with_class(base, state.select("g", "p", "r"), rows).where(F.col("h").startswith(F.col("p")))
+
+
+def _narrow(buckets: DataFrame, state: DataFrame, rows: int) -> DataFrame:
+    """The state with the next digits: per class, the bucket that holds the wanted rank (cumulative counts)."""
+    # <= 16^4 buckets per class: the cumulative window runs over this small table
     w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rk = F.create_map(*[x for g, s in state.items() for x in (F.lit(_sstr(g)), F.lit(int(s[1])))])
-    cum = buckets.withColumn("cum", F.sum("n").over(w)).withColumn("want", rk[F.col("g")])
-    hit = (cum.where((F.col("cum") > F.col("want")) & (F.col("cum") - F.col("n") <= F.col("want")))
-           .select("g", "b", "n", (F.col("want") - (F.col("cum") - F.col("n"))).alias("r")).collect())
-    for r in hit:                        # one row per class
-        g = _orig(state, r["g"])
-        s = state[g]
-        s[0], s[1], s[2] = s[0] + r["b"], r["r"], r["n"]
-
-
-def _sstr(v) -> str | None:
-    """A class value as Spark's ``cast(... as string)`` writes it."""
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    return str(v)
-
-
-def _orig(state: dict, g: str):
-    for k in state:
-        if _sstr(k) == g:
-            return k
-    raise KeyError(g)
-
-
-def _rank_in_bucket(base: DataFrame, state: dict) -> dict:
-    m = _matching(base, state)
-    w = Window.partitionBy("g").orderBy("h", "k")       # bucket holds <= final_rows rows
-    rk = F.create_map(*[x for g, s in state.items() for x in (F.lit(_sstr(g)), F.lit(int(s[1])))])
-    hit = (m.withColumn("rn", F.row_number().over(w) - 1)
-           .where(F.col("rn") == rk[F.col("g")]).select("g", "h", "k").collect())
-    return {_orig(state, r["g"]): (r["h"], r["k"]) for r in hit}
+    cum = _with_class(buckets.withColumn("cum", F.sum("n").over(w)), state.select("g", "r", "p"), rows)
+    before = F.col("cum") - F.col("n")
+    return (cum.where((F.col("cum") > F.col("r")) & (before <= F.col("r")))
+            .select("g", (F.col("r") - before).alias("r"), F.concat("p", "b").alias("p"), F.col("n").alias("m")))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = 0.2,
@@ -186,42 +174,18 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
                      names: tuple[str, str] = ("train", "test")) -> DataFrame:
     """Exact stratified split; adds ``column`` with names[0] (train) / names[1] (test).
 
-    ``key`` must be unique.  Class counts and per-class thresholds are one row
-    per class (checked bound); the final assignment is a broadcast join with a
-    lexicographic ``(hash, key) <= threshold`` test.
+    ``key`` must be unique; rows of a NULL label are a class of their own.
+    The thresholds are one row per class, joined back with a lexicographic
+    ``(hash, key) <= threshold`` test.
     """
-    spark = df.sparkSession
     # one pass gives both the class counts and the first-level hash buckets
-    buckets = first_buckets(df, label, key, seed).persist()
-    cnt = buckets.groupBy("g").agg(F.sum("n").alias("n")).collect()
-    if len(cnt) > _MAX_CLASSES:
-        raise ValueError("too many strata for an exact stratified split")
-    label_type = df.schema[label].dataType
-    counts = {_typed(r["g"], label_type): r["n"] for r in cnt}
-    quotas = stratified_quotas(counts, test_fraction)
-    ranks = {c: q - 1 for c, q in quotas.items() if q > 0}
-    thr = kth_by_hash(df, label, key, ranks, seed, buckets=buckets)
-    buckets.unpersist()
-    key_type = df.schema[key].dataType.simpleString()
-    rows = [(_sstr(c), thr.get(c, (None, None))[0], thr.get(c, (None, None))[1], quotas[c] > 0) for c in counts]
-    tt = F.broadcast(spark.createDataFrame(rows, f"__c STRING, __h STRING, __k {key_type}, __any BOOLEAN"))
+    buckets = cut_lineage(first_buckets(df, label, key, seed))
+    quotas = cut_lineage(class_quotas(buckets.groupBy("g").agg(F.sum("n").alias("n")), test_fraction))
+    rows = quotas.count()
+    thr = kth_by_hash(df, label, key, quotas.where("q > 0").select("g", (F.col("q") - 1).alias("r")), seed, buckets=buckets)
+    thr = cut_lineage(thr).select(F.col("g").alias("__c"), F.col("h").alias("__h"), F.col("k").alias("__k"))
     h = key_hash(key, seed)
-    is_test = F.col("__any") & ((h < F.col("__h")) | ((h == F.col("__h")) & (F.col(key) <= F.col("__k"))))
-    out = (df.join(tt, F.col(label).cast("string").eqNullSafe(F.col("__c")), "left")
-           .withColumn(column, F.when(F.coalesce(is_test, F.lit(False)), F.lit(names[1])).otherwise(F.lit(names[0])))
-           .drop("__c", "__h", "__k", "__any"))
-    return out
-
-
-def _typed(v: str | None, dt):
-    """Class value from its string form (bucket tables key classes as strings)."""
-    if v is None:
-        return None
-    name = dt.typeName()
-    if name in ("integer", "long", "short", "byte"):
-        return int(v)
-    if name in ("double", "float"):
-        return float(v)
-    if name == "boolean":
-        return v == "true"
-    return v
+    is_test = (h < F.col("__h")) | ((h == F.col("__h")) & (F.col(key) <= F.col("__k")))
+    return (df.join(F.broadcast(thr) if rows <= _BROADCAST_CLASSES else thr, F.col(label).eqNullSafe(F.col("__c")), "left")
+            .withColumn(column, F.when(F.coalesce(is_test, F.lit(False)), F.lit(names[1])).otherwise(F.lit(names[0])))
+            .drop("__c", "__h", "__k"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import decimal
+import hashlib
 import math
 import random
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import impute, learners, neighbors, quantiles
+from tessera.operators import impute, learners, neighbors, quantiles, split
 
 
 def test_cosine_keeps_zero_vectors_on_a_grid_of_many_cells(spark):
@@ -74,3 +76,39 @@ def test_second_imputer_learns_from_given_rows_only(spark, monkeypatch):
     out, _ = impute.chained_impute(df, [dict(target="a", features=["x"], max_iter=2), dict(target="b", features=["x", "a"], max_iter=2)])
     assert seen == {"a": {i for i in range(40) if i % 4}, "b": {i for i in range(40) if i % 4 and i % 3}}
     assert out.where("a is null or b is null").count() == 0
+
+
+@pytest.mark.parametrize("kind, labels", [("double", [1e10, 0.5, float("nan"), None, -1e300]), ("string", ["a", None, "null", ""]),
+                                          ("decimal(5,2)", None), ("boolean", [True, False, None])])
+def test_stratified_split_keeps_null_and_typed_labels(spark, kind, labels):
+    labels = labels or [decimal.Decimal("1.50"), None, decimal.Decimal("-2.25")]
+    rows = [(i, labels[min(i % 9, len(labels) - 1)]) for i in range(700)]
+    df = spark.createDataFrame(rows, f"key long, y {kind}")
+    out = split.stratified_split(df, "key", "y", 0.3, 3).collect()
+    name = {r["key"]: repr(r["y"]) for r in out}
+    assert name == {k: repr(y) for k, y in rows}
+    sizes = {y: sum(1 for k in name if name[k] == y) for y in set(name.values())}
+    tests = [r["key"] for r in out if r["split"] == "test"]
+    assert len(tests) == 210
+    for y, n in sizes.items():
+        ordered = sorted((hashlib.md5(f"{k}3".encode()).hexdigest(), k) for k in name if name[k] == y)
+        got = {k for k in tests if name[k] == y}
+        assert abs(len(got) - 0.3 * n) < 1.0 + 1e-9 and got == {k for _, k in ordered[:len(got)]}
+
+
+def test_class_quotas_equal_largest_remainder(spark):
+    rng = random.Random(9)
+    for counts in ({i: rng.choice([1, 1, 1, 2, 7, 300]) for i in range(400)}, {0: 10 ** 12 + 1, 1: 3, 2: 10 ** 12}, {5: 1}, {}):
+        df = spark.createDataFrame([(c, n) for c, n in counts.items()], "g int, n long").repartition(5)
+        for f in (0.2, 0.35, 0.0, 1.0):
+            got = {r["g"]: r["q"] for r in split.class_quotas(df, f).collect()}
+            assert got == split.stratified_quotas(counts, f)
+
+
+def test_thresholds_by_joins_equal_thresholds_by_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 5) for i in range(900)], "key long, y int")
+    a = {tuple(r) for r in split.stratified_split(df, "key", "y", 0.25, 1).collect()}
+    monkeypatch.setattr(split, "_BROADCAST_CLASSES", 0)
+    assert {tuple(r) for r in split.stratified_split(df, "key", "y", 0.25, 1).collect()} == a
+    empty = split.stratified_split(df.where("key < 0"), "key", "y")
+    assert empty.count() == 0 and empty.columns == ["key", "y", "split"]
