@@ -13,12 +13,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.learners import linear
 from tessera.session import checkpoint_dir
 
 
@@ -51,6 +54,18 @@ def apply_imputer(df: DataFrame, model: PipelineModel, target: str) -> DataFrame
             .drop("__x", "__pred"))
 
 
+@dataclass
+class LinearImputer:
+    """A predictor with given weights, applied like a fitted one."""
+
+    features: list[str]
+    weights: list[float]
+    bias: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__pred", linear(self.features, self.weights, self.bias))
+
+
 def chained_impute(df: DataFrame, specs: list[dict]) -> tuple[DataFrame, dict]:
     """Fit and apply imputers in order; spec = {target, features, **gbt params}.
 

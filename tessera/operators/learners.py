@@ -11,6 +11,8 @@ a raw decision value when ``kind == "decision"``; the stack normalises those).
 * neural          -- ``MultilayerPerceptronClassifier``; class weights by row
   replication (it has no weight column)
 * nearest neighbours -- the exact grid KNN of ``tessera.operators.neighbors``
+* given linear     -- ``bias + w . x`` with weights from elsewhere, as a column
+  expression; a probability is its sigmoid
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import sigmoid
 from tessera.operators import neighbors, profile
 from tessera.operators.stack import replicate_by_weight
 from tessera.session import checkpoint_dir
@@ -47,6 +50,9 @@ class Fitted:
     def score(self, df: DataFrame) -> DataFrame:
         if self.name_kind == "knn":
             return _knn_score(self, df)
+        if self.name_kind == "given":
+            margin = linear(self.features, self.extra["weights"], self.extra["bias"])
+            return df.withColumn(self.name, sigmoid(margin) if self.kind == "probability" else margin)
         out = self.model.transform(_prep(self, df))
         val = positive_probability() if self.kind == "probability" else vector_to_array(F.col("rawPrediction"))[1]
         keep = [c for c in df.columns]
@@ -61,10 +67,25 @@ class Fitted:
         if self.name_kind == "knn":
             s = _knn_score(self, df)
             return s.withColumn(col or f"{self.name}_pred", (F.col(self.name) > 0.5).cast("int"))
+        if self.name_kind == "given":
+            margin = linear(self.features, self.extra["weights"], self.extra["bias"])
+            return df.withColumn(col or f"{self.name}_pred", (margin > 0).cast("int"))
         out = self.model.transform(_prep(self, df))
         return out.select(*df.columns, F.col("prediction").cast("int").alias(col or f"{self.name}_pred"))
 
 
+def linear(features: list[str], weights: list[float], bias: float) -> Column:
+    """``bias + w . x``, summed from left to right."""
+    out = F.lit(float(bias))
+    for c, w in zip(features, weights, strict=True):
+        out = out + F.col(c) * F.lit(float(w))
+    return out
+
+
+def given_linear(name: str, kind: str, features: list[str], weights: list[float], bias: float, key: str) -> Fitted:
+    return Fitted(name, kind, features, key, None, {"family": "given", "weights": list(weights), "bias": bias})
+
+
 def _prep(f: Fitted, df: DataFrame) -> DataFrame:
     if f.extra.get("family") == "rff":
         return rff_transform(df, f.features, f.extra["W"], f.extra["b"], "__rff")

@@ -413,3 +413,56 @@ def q_class_copies(spark, sf):
 
 
 QUERIES["class_copies"] = q_class_copies
+
+
+# the scoring chain with given models: the weights are inputs of the query
+CHAIN = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+CHAIN_IMPUTERS = {"l_tax": (["l_quantity", "l_extendedprice"], [0.0004, 1e-7], 0.025),
+                  "l_discount": (["l_quantity", "l_tax"], [0.0005, 0.25], 0.03)}
+CHAIN_SCALER = {"l_quantity": (1.0, 50.0), "l_extendedprice": (900.0, 105000.0), "l_discount": (0.01, 0.1), "l_tax": (0.01, 0.08)}
+CHAIN_BASE = [("net", "probability", [0.75, -1.5, 2.0, -0.5], -0.25), ("margin_a", "decision", [1.25, -0.75, 0.5, 1.0], -0.875),
+              ("margin_b", "decision", [-0.5, 1.5, -1.25, 2.0], -0.5)]
+CHAIN_RANGES = {"margin_a": (-1.25, 1.5), "margin_b": (-2.0, 2.25)}
+CHAIN_CENTERS = [[0.25, 0.25, 0.5, 0.5, 0.4, 0.3, 0.4], [0.75, 0.5, 0.5, 0.5, 0.6, 0.7, 0.6]]
+CHAIN_META = ([0.5, -0.25, 1.0, -1.0, 2.0, 1.5, -1.75, 0.5, -0.5], -0.75)
+
+
+def chain(spark, sf):
+    """Line items with a return label and the artifacts of the given models."""
+    from tessera.operators.learners import given_linear
+    from tessera.plans import stacking
+    df = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("label"), *CHAIN)
+    cfg = stacking.StackConfig(features=CHAIN, key="l_orderkey", label="label", zero_missing=["l_discount", "l_tax"], required=[],
+                               impute_specs=[{"target": t, "features": f} for t, (f, _, _) in CHAIN_IMPUTERS.items()])
+    art = stacking.Artifacts(cfg, imputers={t: imp.LinearImputer(*v) for t, v in CHAIN_IMPUTERS.items()}, scaler=CHAIN_SCALER,
+                             base=[given_linear(n, k, CHAIN, w, b, cfg.key) for n, k, w, b in CHAIN_BASE],
+                             score_ranges=CHAIN_RANGES, centers=CHAIN_CENTERS)
+    art.meta = given_linear("meta", "probability", art.meta_features, *CHAIN_META, cfg.key)
+    return df, art
+
+
+def _scored_chain(spark, sf, mode):
+    from tessera.plans import stacking
+    out = stacking.score(*chain(spark, sf), mode)
+    return out.select("l_orderkey", "l_linenumber", *[_r(c).alias(c) for c in [n for n, *_ in CHAIN_BASE] + ["u0", "u1", "p_meta"]],
+                      "pred", "l_tax_imputed", "l_discount_imputed")
+
+
+def q_score_chain_batch(spark, sf):
+    """Raw rows to the meta class: zeros as missing, chained imputers, scaling, base scores over the batch's range, memberships, meta."""
+    return _scored_chain(spark, sf, "batch")
+
+
+def q_score_chain_fitted(spark, sf):
+    """The same chain with stored score ranges, clamped to 0..1: each row by itself."""
+    return _scored_chain(spark, sf, "fitted")
+
+
+def q_score_chain_metrics(spark, sf):
+    """Metrics of every base learner and the meta model on raw rows, one aggregate over the long form."""
+    from tessera.plans import stacking
+    return stacking.evaluate(*chain(spark, sf), "fitted", raw=True)
+
+
+QUERIES.update({"score_chain_batch": q_score_chain_batch, "score_chain_fitted": q_score_chain_fitted,
+                "score_chain_metrics": q_score_chain_metrics})

@@ -555,3 +555,50 @@ select label, cast(n * round(ratio * m) as bigint) as n_copies from w, b"""
 
 
 ORACLE["class_copies"] = class_copies()
+
+
+def _dot(cols, weights, bias) -> str:
+    return " + ".join([f"cast({bias} as double)", *[f"{c} * cast({w} as double)" for c, w in zip(cols, weights)]])
+
+
+def _chain(mode: str) -> str:
+    """CTEs up to ``m``: one row per line item with scores, memberships and the meta probability."""
+    ctes = ["i0 as (select l_orderkey, l_linenumber, cast(l_returnflag = 'R' as integer) as label, l_quantity, l_extendedprice, "
+            "nullif(l_discount, 0) as l_discount, nullif(l_tax, 0) as l_tax from lineitem)"]
+    for n, (t, (f, w, b)) in enumerate(C.CHAIN_IMPUTERS.items()):
+        ctes.append(f"i{n + 1} as (select * replace (coalesce({t}, {_dot(f, w, b)}) as {t}), {t} is null as {t}_imputed from i{n})")
+    scaled = ", ".join(f"({c} - {lo}) / ({hi} - {lo}) as {c}" for c, (lo, hi) in C.CHAIN_SCALER.items())
+    ctes.append(f"s as (select * replace ({scaled}) from i{len(C.CHAIN_IMPUTERS)})")
+    raw = ", ".join((f"1.0 / (1.0 + exp(-({_dot(C.CHAIN, w, b)})))" if k == "probability" else _dot(C.CHAIN, w, b)) + f" as {n}"
+                    for n, k, w, b in C.CHAIN_BASE)
+    ctes.append(f"b as (select *, {raw} from s)")
+    dec = [n for n, k, _, _ in C.CHAIN_BASE if k == "decision"]
+    if mode == "batch":
+        norm = ", ".join(f"({n} - min({n}) over ()) / ((max({n}) over () - min({n}) over ()) + 1e-8) as {n}" for n in dec)
+    else:
+        norm = ", ".join(f"greatest(least(({n} - ({C.CHAIN_RANGES[n][0]})) / (({C.CHAIN_RANGES[n][1] - C.CHAIN_RANGES[n][0]}) + 1e-8), 1.0), 0.0) as {n}"
+                         for n in dec)
+    ctes.append(f"n as (select * replace ({norm}), {', '.join(f'{n} as raw_{n}' for n in dec)} from b)")
+    cols = C.CHAIN + [n for n, *_ in C.CHAIN_BASE]
+    d = ", ".join("sqrt(" + " + ".join(f"({c} - {x}) * ({c} - {x})" for c, x in zip(cols, centre)) + f") as d{i}" for i, centre in enumerate(C.CHAIN_CENTERS))
+    ctes.append(f"d as (select *, {d} from n)")
+    ctes.append("u as (select *, case when d0 = 0 or d1 = 0 then cast(d0 = 0 as double) else 1.0 / (pow(d0 / d0, 2) + pow(d0 / d1, 2)) end as u0, "
+                "case when d0 = 0 or d1 = 0 then cast(d1 = 0 as double) else 1.0 / (pow(d1 / d0, 2) + pow(d1 / d1, 2)) end as u1 from d)")
+    ctes.append(f"m as (select *, 1.0 / (1.0 + exp(-({_dot(cols + ['u0', 'u1'], *C.CHAIN_META)}))) as p_meta from u)")
+    return "with " + ",\n".join(ctes)
+
+
+def score_chain(mode: str) -> str:
+    names = [n for n, *_ in C.CHAIN_BASE] + ["u0", "u1", "p_meta"]
+    return (f"{_chain(mode)}\nselect l_orderkey, l_linenumber, {', '.join(f'round({n}, 6) as {n}' for n in names)}, "
+            "cast(p_meta > 0.5 as integer) as pred, l_tax_imputed, l_discount_imputed from m")
+
+
+def score_chain_metrics():
+    preds = [(n, f"{n} > 0.5" if k == "probability" else f"raw_{n} > 0") for n, k, _, _ in C.CHAIN_BASE] + [("meta", "p_meta > 0.5")]
+    long = _union([f"select label, '{n}' as model, cast({p} as integer) as pred from m" for n, p in preds])
+    # CTEs come first in a DuckDB statement
+    return f"{_chain('fitted')}, long as ({long})\n{_bm('select * from long', 'pred', 'model')}"
+
+
+ORACLE.update({"score_chain_batch": score_chain("batch"), "score_chain_fitted": score_chain("fitted"), "score_chain_metrics": score_chain_metrics()})

@@ -16,13 +16,16 @@ score:    zero-as-missing -> impute -> scale -> base scores -> memberships ->
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVCModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import clean, fuzzy, impute, learners, outliers, scale, split
-from tessera.operators.stack import normalize_scores, score_range, weighted_union
+from tessera.operators.stack import normalize_scores, replicate_by_weight, score_range, weighted_union
 from tessera.functions.numeric import threshold
 from tessera.session import cut_lineage
 
@@ -76,14 +79,19 @@ class Artifacts:
 
 
 def prepare(df: DataFrame, cfg: StackConfig) -> tuple[dict, Artifacts]:
-    """Returns ({'train_set','test_set','train1','train2'}, artifacts with bounds, imputers, scaler)."""
+    """Returns (parts, artifacts with bounds, imputers, scaler).
+
+    Parts: ``train_set``, ``test_set``, ``train1``, ``train2``, and the rows
+    as they were before imputation and scaling, ``train_given`` and
+    ``test_given`` (for :func:`evaluate_imputers`)."""
     art = Artifacts(cfg)
     z = clean.zero_as_missing(df, cfg.zero_missing)
     z = clean.drop_missing(z, cfg.required)
     s = split.stratified_split(z, cfg.key, cfg.label, cfg.test_fraction, cfg.seed)
     train, test = s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
     art.bounds = outliers.bounds_dict(outliers.iqr_bounds(train, cfg.features))
-    train, test = outliers.outlier_filter(train, art.bounds), outliers.outlier_filter(test, art.bounds)
+    # written once: the imputers' many jobs read these tables, not the split behind them
+    train, test = cut_lineage(outliers.outlier_filter(train, art.bounds)), cut_lineage(outliers.outlier_filter(test, art.bounds))
     train_i, art.imputers = impute.chained_impute(train, cfg.impute_specs)
     test_i = test
     for spec in cfg.impute_specs:
@@ -95,7 +103,7 @@ def prepare(df: DataFrame, cfg: StackConfig) -> tuple[dict, Artifacts]:
     train_s = cut_lineage(scale.minmax_transform(train_i, art.scaler, cfg.features))
     test_s = cut_lineage(scale.minmax_transform(test_i, art.scaler, cfg.features))
     halves = split.hash_split(train_s, cfg.key, 0.5, cfg.seed, names=("train1", "train2"))
-    parts = {"train_set": train_s, "test_set": test_s,
+    parts = {"train_set": train_s, "test_set": test_s, "train_given": train, "test_given": test,
              "train1": halves.where("split = 'train1'").drop("split"),
              "train2": halves.where("split = 'train2'").drop("split")}
     return parts, art
@@ -125,13 +133,27 @@ def base_scores(df: DataFrame, art: Artifacts, mode: str | None = None) -> DataF
     return normalize_scores(out, dec, "fitted", {c: art.score_ranges[c] for c in dec})
 
 
-def train(parts: dict, art: Artifacts) -> Artifacts:
-    cfg = art.cfg
+def train(parts: dict, art: Artifacts, path: str | None = None) -> Artifacts:
+    """Both phases.  With ``path``, the artifacts are saved there after phase 1;
+    artifacts that hold phase 1 (see ``load_artifacts``) resume with phase 2."""
     t1, t2 = parts["train1"], parts["train2"]
-    fit_base(t1, art)
-    dec = [b.name for b in art.base if b.kind == "decision"]
+    if art.base is None:
+        fit_base(t1, art)
     s1 = base_scores(t1, art, "batch").persist()
     s2 = base_scores(t2, art, "batch").persist()
+    if art.meta_phase1 is None:
+        _phase1(t1, s1, art)
+        if path is not None:
+            save_artifacts(art, path)
+    _phase2(s1, s2, art)
+    s1.unpersist()
+    s2.unpersist()
+    return art
+
+
+def _phase1(t1: DataFrame, s1: DataFrame, art: Artifacts) -> None:
+    cfg = art.cfg
+    dec = [b.name for b in art.base if b.kind == "decision"]
     # training ranges of raw decision values, for fitted-mode scoring of single rows
     raw1 = t1
     for b in art.base:
@@ -139,26 +161,25 @@ def train(parts: dict, art: Artifacts) -> Artifacts:
             raw1 = b.score(raw1)
     art.score_ranges = score_range(raw1, dec)
     comb = cfg.features + art.score_names
-
     c1, _, _ = fuzzy.fcm_fit(s1, comb, cfg.key, c=2, seed=cfg.seed, **cfg.fcm_phase1)
     art.centers_phase1 = c1
     m1 = fuzzy.memberships(s1, comb, c1, 2.0)
     art.meta_phase1 = learners.fit_mlp(m1, art.meta_features, cfg.label, cfg.key, "meta",
                                        hidden=cfg.meta_hidden, max_iter=cfg.meta_iter[0], seed=cfg.seed)
 
+
+def _phase2(s1: DataFrame, s2: DataFrame, art: Artifacts) -> None:
+    cfg = art.cfg
+    comb = cfg.features + art.score_names
     fcm_in = weighted_union([(s1, 1.0), (s2, float(cfg.train2_fcm_copies))])
     c2, _, _ = fuzzy.fcm_fit(fcm_in, comb, cfg.key, c=2, weight="w", seed=cfg.seed, **cfg.fcm_final)
     art.centers = c2
     meta_in = weighted_union([(fuzzy.memberships(s1, comb, c2, 2.0), 1.0),
                               (fuzzy.memberships(s2, comb, c2, 2.0), float(cfg.train2_weight))])
     meta_in = meta_in.withColumn("w", F.col("w").cast("int"))
-    from tessera.operators.stack import replicate_by_weight
     art.meta = learners.fit_mlp(replicate_by_weight(meta_in, "w"), art.meta_features, cfg.label, cfg.key, "meta",
                                 hidden=cfg.meta_hidden, max_iter=cfg.meta_iter[1], seed=cfg.seed,
                                 initial_weights=learners.mlp_weights(art.meta_phase1))
-    s1.unpersist()
-    s2.unpersist()
-    return art
 
 
 def score(df: DataFrame, art: Artifacts, mode: str | None = None, raw: bool = True) -> DataFrame:
@@ -177,12 +198,12 @@ def score(df: DataFrame, art: Artifacts, mode: str | None = None, raw: bool = Tr
     return out.withColumn("pred", threshold("p_meta"))
 
 
-def evaluate(df: DataFrame, art: Artifacts, mode: str | None = None) -> DataFrame:
+def evaluate(df: DataFrame, art: Artifacts, mode: str | None = None, raw: bool = False) -> DataFrame:
     """Per-model metrics on a scored frame: neural and meta by ``p > 0.5``,
     the others by their own class prediction (margins: sign of the decision
     value, not the normalised score).  One grouped aggregate over the long form."""
     cfg = art.cfg
-    scored = score(df, art, mode, raw=False)
+    scored = score(df, art, mode, raw)
     cols = [F.col(cfg.label).alias("label")]
     preds = {}
     for b in art.base:
@@ -203,8 +224,15 @@ def evaluate(df: DataFrame, art: Artifacts, mode: str | None = None) -> DataFram
 def evaluate_imputers(train: DataFrame, val: DataFrame, art: Artifacts) -> DataFrame:
     """R^2 / MSE of each imputer on rows where its target is known, on train
     (outliers removed) and validation (as given); earlier targets are filled
-    first, as in scoring.  Adds the overfit bucket of the R^2 gap."""
+    first, as in scoring.  Adds the overfit bucket of the R^2 gap.
+
+    Both frames hold raw units and their own gaps (``train_given`` and
+    ``test_given`` of :func:`prepare`); frames that were filled before are
+    refused, since their fills would pass for known values."""
     from tessera.operators.metrics import overfit_bucket, regression_metrics
+    filled = [s["target"] for s in art.cfg.impute_specs for f in (train, val) if impute.flag_name(s["target"]) in f.columns]
+    if filled:
+        raise ValueError(f"imputed before: {', '.join(sorted(set(filled)))}")
     out = None
     for split_name, frame in (("train", outliers.outlier_filter(train, art.bounds)), ("val", val)):
         cur = frame
@@ -222,9 +250,9 @@ def evaluate_imputers(train: DataFrame, val: DataFrame, art: Artifacts) -> DataF
 
 def save_artifacts(art: Artifacts, path: str) -> None:
     """Fitted pieces under one folder: ML models with their own writers,
-    small statistics as one JSON document, KNN training rows as Parquet."""
-    import json
-    meta = {"bounds": art.bounds, "scaler": art.scaler, "score_ranges": art.score_ranges,
+    configuration and small statistics as one JSON document, KNN training rows
+    as Parquet.  Phase 2 may be missing."""
+    meta = {"cfg": asdict(art.cfg), "models": [], "bounds": art.bounds, "scaler": art.scaler, "score_ranges": art.score_ranges,
             "centers": art.centers, "centers_phase1": art.centers_phase1, "base": []}
     for t, m in (art.imputers or {}).items():
         m.write().overwrite().save(f"{path}/imputer_{t}")
@@ -233,20 +261,28 @@ def save_artifacts(art: Artifacts, path: str) -> None:
                  "extra": {k: v for k, v in b.extra.items()}}
         if b.extra.get("family") == "knn":
             b.model.write.mode("overwrite").parquet(f"{path}/base_{b.name}")
-        else:
+        elif b.model is not None:
             b.model.write().overwrite().save(f"{path}/base_{b.name}")
         meta["base"].append(entry)
-    art.meta.model.write().overwrite().save(f"{path}/meta")
-    from pyspark.sql import SparkSession
+    for name, m in (("meta", art.meta), ("meta_phase1", art.meta_phase1)):
+        if m is not None:
+            m.model.write().overwrite().save(f"{path}/{name}")
+            meta["models"].append(name)
     ss = SparkSession.getActiveSession()
     ss.createDataFrame([(json.dumps(meta),)], "doc STRING").coalesce(1).write.mode("overwrite").json(f"{path}/stats")
 
 
-def load_artifacts(spark, path: str, cfg: StackConfig) -> Artifacts:
-    import json
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import LinearSVCModel
+def _config(saved: dict) -> StackConfig:
+    cfg = StackConfig(**saved)
+    cfg.meta_iter = tuple(cfg.meta_iter)
+    if isinstance(cfg.ann.get("class_copies"), dict):        # JSON keys are strings
+        cfg.ann["class_copies"] = {int(c): n for c, n in cfg.ann["class_copies"].items()}
+    return cfg
+
+
+def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     meta = json.loads(spark.read.json(f"{path}/stats").first()["doc"])
+    cfg = _config(meta["cfg"])
     art = Artifacts(cfg)
     art.bounds = {k: tuple(v) for k, v in meta["bounds"].items()}
     art.scaler = {k: tuple(v) for k, v in meta["scaler"].items()}
@@ -260,9 +296,11 @@ def load_artifacts(spark, path: str, cfg: StackConfig) -> Artifacts:
             model = spark.read.parquet(f"{path}/base_{e['name']}")
         elif fam == "rff":
             model = LinearSVCModel.load(f"{path}/base_{e['name']}")
+        elif fam == "given":
+            model = None
         else:
             model = PipelineModel.load(f"{path}/base_{e['name']}")
         art.base.append(learners.Fitted(e["name"], e["kind"], e["features"], e["key"], model, e["extra"]))
-    art.meta = learners.Fitted("meta", "probability", art.meta_features, cfg.key,
-                               PipelineModel.load(f"{path}/meta"), {"family": "mlp"})
+    for name in meta["models"]:
+        setattr(art, name, learners.Fitted("meta", "probability", art.meta_features, cfg.key, PipelineModel.load(f"{path}/{name}"), {"family": "mlp"}))
     return art

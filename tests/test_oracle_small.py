@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans.catalog import QUERIES
+from tessera.plans.models import MODEL_QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{SF}/lineitem.parquet"), reason="driver tables absent")
@@ -17,7 +19,8 @@ FAST = ["zero_as_missing_profile", "required_dropna", "iqr_bounds", "outlier_fil
         "confusion_matrix", "binary_metrics", "classification_report", "log_loss", "best_model_diff",
         "regression_metrics", "overfit_bucket", "domain_violations", "parse_inputs", "scored_export",
         "weighted_union", "fold_assignment", "predefined_split", "outlier_flags", "f1_stabilised",
-        "train_val_comparison", "head_rows", "quality_profile", "row_lookup"]
+        "train_val_comparison", "head_rows", "quality_profile", "row_lookup", "score_chain_batch", "score_chain_fitted",
+        "score_chain_metrics"]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +40,7 @@ def _norm(pdf):
 def test_every_query_has_oracle_or_is_model():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) <= {"gbt_impute", "base_scores", "stack_train_score"}
+    assert {*QUERIES, *MODEL_QUERIES} - set(o) <= {"gbt_impute", "base_scores", "stack_train_score"}
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -1,6 +1,7 @@
 """Search helpers, sources / sinks, imputer contracts."""
 
 import json
+import math
 import random
 import tempfile
 
@@ -11,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tessera.operators import clean, impute, outliers, search, split
+from tessera.operators import clean, impute, learners, outliers, search, split
 from tessera.sources import bounds_from_json, bounds_to_json, read_table, single_row, write_table
 
 
@@ -85,3 +86,29 @@ def test_required_columns_and_domains(spark):
     assert v == {1: [], 2: ["a"], 3: []}
     u = clean.unknown_as_missing(df.withColumn("unk", F.col("key") == 1), {"a": "unk"})
     assert u.where("key = 1").collect()[0]["a"] is None
+
+
+def test_log_axis():
+    assert search.log_axis(0.01, 100.0, 5) == pytest.approx([0.01, 0.1, 1.0, 10.0, 100.0])
+    assert search.log_axis(3.0, 9.0, 1) == [3.0]
+    with pytest.raises(ValueError):
+        search.log_axis(0.0, 1.0, 3)
+
+
+def test_learner_search_finds_the_kernel_that_separates_a_ring(spark):
+    rows = [(i, 2.0 * math.cos(i) * (i % 2 + 0.25), 2.0 * math.sin(i) * (i % 2 + 0.25), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, a double, b double, label int").repartition(3)
+    train, val = df.where("key % 4 > 0"), df.where("key % 4 = 0 or key % 8 = 1")
+    points = search.grid(C=[1.0, 50.0], gamma=search.log_axis(1e-6, 1.0, 2))
+    res = search.learner_search(learners.fit_rbf_svm, points, train, val, ["a", "b"], "label", "key").collect()
+    got = {r["params"]: r for r in res}
+    assert set(got) == {str(p) for p in points} and all(r["tp"] + r["fp"] + r["fn"] + r["tn"] == val.count() for r in res)
+    assert got[str({"C": 50.0, "gamma": 1.0})]["accuracy"] == 1.0
+    linear = search.learner_search(learners.fit_linear_svm, [{"C": 1.0}], train, val, ["a", "b"], "label", "key").first()
+    assert linear["accuracy"] < 0.9
+
+
+def test_imputer_search_prefers_enough_trees(spark):
+    df = spark.createDataFrame([(i, float(i % 30), None if i % 11 == 0 else 2.0 * (i % 30)) for i in range(300)], "key long, x double, y double")
+    best, r2 = search.imputer_search([dict(maxIter=1, maxDepth=1), dict(maxIter=3, maxDepth=5)], df, "y", ["x"], "key", folds=2)
+    assert r2[1] > r2[0] and r2[1] > 0.95 and best.getNumTrees == 3

@@ -62,15 +62,26 @@ def test_evaluate_tables(trained):
     assert set(ev) == {"ANN", "KNN", "LightGBM", "RSVM", "LinearSVM", "meta"}
     n = parts["test_set"].count()
     assert all(r["tp"] + r["fp"] + r["fn"] + r["tn"] == n for r in ev.values())
-    imp = stacking.evaluate_imputers(parts["train_set"], parts["test_set"], art).collect()
-    assert {r["target"] for r in imp} == {"digit_share", "upper_share"}
+    with pytest.raises(ValueError):
+        stacking.evaluate_imputers(parts["train_set"], parts["test_set"], art)
+    imp = {(r["target"], r["split"]): r for r in stacking.evaluate_imputers(parts["train_given"], parts["test_given"], art).collect()}
+    assert set(imp) == {(t, s) for t in ("digit_share", "upper_share") for s in ("train", "val")}
+    # by hand: the first imputer on the held-out rows whose target is known
+    known = parts["test_given"].where("digit_share is not null")
+    got = [(r["digit_share"], r["__pred"]) for r in art.imputers["digit_share"].transform(known).collect()]
+    mean = sum(y for y, _ in got) / len(got)
+    sse, sst = sum((y - p) ** 2 for y, p in got), sum((y - mean) ** 2 for y, _ in got)
+    assert imp["digit_share", "val"]["n"] == len(got)
+    assert imp["digit_share", "val"]["mse"] == pytest.approx(sse / len(got))
+    assert imp["digit_share", "val"]["r2"] == pytest.approx(1 - sse / sst)
 
 
 def test_persistence_and_single_row(spark, trained):
     _, parts, art = trained
     d = tempfile.mkdtemp(prefix="tessera-art-")
     stacking.save_artifacts(art, d)
-    back = stacking.load_artifacts(spark, d, art.cfg)
+    back = stacking.load_artifacts(spark, d)
+    assert back.cfg == art.cfg
     a = stacking.score(parts["test_set"], art, "fitted", raw=False).select("doc_id", "p_meta")
     b = stacking.score(parts["test_set"], back, "fitted", raw=False).select("doc_id", "p_meta")
     j = a.join(b.withColumnRenamed("p_meta", "p2"), "doc_id")
@@ -80,3 +91,23 @@ def test_persistence_and_single_row(spark, trained):
     one = single_row(spark, {k: float(v) for k, v in row.items() if k in art.cfg.features}, key="doc_id")
     r = stacking.score(one, back, "fitted", raw=False).collect()[0]
     assert 0.0 <= r["p_meta"] <= 1.0
+    # one raw row (a zero is a missing share) through the whole chain
+    given = parts["test_given"].select("doc_id", *art.cfg.features).limit(1).collect()[0].asDict()
+    one = single_row(spark, {c: float(given[c] or 0) if c != "digit_share" else 0.0 for c in art.cfg.features}, key="doc_id")
+    r = stacking.score(one, back, "fitted").collect()[0]
+    assert 0.0 <= r["p_meta"] <= 1.0 and r["digit_share_imputed"] and r["pred"] in (0, 1)
+
+
+def test_resume_after_phase_one(spark, trained):
+    _, parts, art = trained
+    d = tempfile.mkdtemp(prefix="tessera-phase1-")
+    half = stacking.Artifacts(**{**vars(art), "meta": None, "centers": None})
+    stacking.save_artifacts(half, d)
+    back = stacking.load_artifacts(spark, d)
+    assert back.meta is None and back.centers is None
+    base, phase1 = back.base, back.meta_phase1
+    stacking.train(parts, back)
+    assert back.base is base and back.meta_phase1 is phase1 and back.meta is not None
+    a = stacking.score(parts["test_set"], art, "fitted", raw=False).select("doc_id", "p_meta")
+    b = stacking.score(parts["test_set"], back, "fitted", raw=False).selectExpr("doc_id", "p_meta p2")
+    assert a.join(b, "doc_id").where("abs(p_meta - p2) > 1e-6").count() == 0
