@@ -49,7 +49,14 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a superseded table written by :meth:`write`."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Delete every table of the call, once what is read of them has been written elsewhere."""
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -143,10 +143,10 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resolve(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-            bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES) -> DataFrame:
-    """Per row: ``doc_id, text_key, keep_id, group_size, kept, text_sha256``."""
+            bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """Per row: ``doc_id, text_key, keep_id, group_size, kept, text_sha256``.  The result reads tables in ``scratch``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
+    scratch = scratch or Scratch(spark, "exact-dedup")
     rows = own(docs, doc_id, text).toDF("doc_id", "text").select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     rows = scratch.write(rows.mapInArrow(_entries, _ROWS), "rows")
@@ -174,16 +174,19 @@ def resolve(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", "text_key", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_rows(docs: DataFrame, verdict: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_rows(docs: DataFrame, verdict: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that ``verdict(doc_id, text_key, kept)``, one row per row of ``docs``, keeps; all columns.
 
     Rows are told apart by id and text.  Of rows equal in both, as many stay
     as ``verdict`` keeps: none (anti join), all, or the first (only those rows
-    are ranked).
+    are ranked).  ``scratch``: the tables that only the verdict reads; they
+    are deleted once the rows to drop are written.
     """
     v = verdict.groupBy("doc_id", "text_key").agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("rows")).where("stay < rows") \
         .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "stay")
     v = Scratch(docs.sparkSession, "verdict").write(v.withColumnRenamed("stay", "__stay"), "drop")
+    if scratch is not None:
+        scratch.clear()
     cols = docs.columns
     on = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__key"))
     whole = docs.join(v, on, "left_anti")
@@ -202,4 +205,5 @@ def is_none(df: DataFrame) -> bool:
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text another row keeps."""
-    return drop_rows(docs, resolve(docs, doc_id, text), doc_id, text)
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    return drop_rows(docs, resolve(docs, doc_id, text, scratch=scratch), doc_id, text, scratch)
