@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id stays."""
-    return exact_dedup.drop_rows(docs, near_dup.link(docs))
+    """Of each group of near copies (similarity 0.8 or more) the row with the smallest id stays."""
+    return exact_dedup.drop_rows(docs, near_dup.link(docs, percent=80))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

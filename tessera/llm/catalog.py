@@ -90,7 +90,7 @@ def op6_mixing(spark, sf):
 
 
 def op7_near_dup(spark, sf):
-    return near_dup.link(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return near_dup.link(table(spark, sf, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_token_counts(spark, sf):

@@ -258,3 +258,12 @@ def test_pipeline_stages(spark):
     clean = {r.doc_id for r in P.clean(spark, docs, SF).collect()}
     assert clean == {r.doc_id for r in rows if not brute_hits(r.text, bench)[4]}
     assert P.run(spark, SF).columns == [*docs.columns, "epoch", "leaf"]
+
+
+def test_near_stage_links_at_80_percent(spark, odd_texts):
+    """Near copies of similarity 0.80 to 0.85 go too."""
+    import corpus_pipeline as P
+    rows = odd_texts[:-4]                                    # unique ids
+    want = {percent: {d for d, _, c in brute_components(rows, percent) if d == c} for percent in (80, 85)}
+    got = [r.doc_id for r in P.near(spark, docs_of(spark, rows), SF).collect()]
+    assert sorted(got) == sorted(want[80]) and len(want[80]) < len(want[85])
