@@ -1,17 +1,21 @@
-"""Licence scan: TF-IDF cosine of lines and licence files to templates, then inheritance by directory.
+"""Licence scan: TF-IDF cosine of headers, licence files, lines and sentences to templates, then inheritance by directory.
 
-Units of a file are its lines; for a file whose name is a licence name
-(``LICENSE``, ``COPYING``, ``NOTICE``, ``UNLICENSE``, any suffix) the whole text is a unit too.  Terms are ``[a-z0-9]+``
-after lower-casing.  The vocabulary is the templates' terms, with
+The whole units of a file are its header (the comments it begins with, as one
+text) and, where its name is a licence name (``LICENSE``, ``COPYING``, ``NOTICE``, ``UNLICENSE``, any suffix), its whole text.
+The parts are the paragraphs of these, and every line and its sentences.  Terms are ``[a-z0-9]+`` after lower-casing, so comment marks
+are no terms.  The vocabulary is the templates' terms, with
 idf = ln((1 + N) / (1 + df)) + 1 over all N files; any other term counts with
 the largest idf there is, ln(1 + N) + 1, so unrelated words push the cosine down.  A file's
-licence is the template of its best unit at ``THRESHOLD`` or above.
+licence is the template of its best whole unit at ``THRESHOLD`` or above, else
+of its best part: BSD texts share clauses, which only the whole tells apart.
+Short licences have their full text as a template, long ones their title and
+their standard header.
 
-Only lines that can reach the threshold are scored.  With C a set of terms,
+Only units that can reach the threshold are scored.  With C a set of terms,
 a unit whose known terms all lie in C has a cosine of at most |t restricted
 to C| / |t| with template t (Cauchy-Schwarz).  The commonest terms form C as
 long as that bound stays below the threshold for every template; the rest are
-the signal terms, and a line without one is left out exactly.
+the signal terms, and a unit without one is left out exactly.
 
 A file without a licence of its own takes that of the licence file in its
 nearest ancestor directory, its own included, that has one (the best by score,
@@ -35,7 +39,25 @@ from tessera.llm._shared import Scratch, own
 
 THRESHOLD = 0.6
 
-# fixed values: the notices by which files commonly name these public licences
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by "
+        "the Free Software Foundation, either version {1} of the License, or (at your option) any later version.")
+_GNU_REST = (" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+             "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the "
+             "GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. ")
+_BSD_NAMES = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+              "this software without specific prior written permission. ")
+_BSD_REST = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+             "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+             "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+             "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+             "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+             "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+# fixed values: the notices by which files commonly name these public licences, their standard headers, titles and short texts
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -54,8 +76,49 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+                   "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+                   "implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    *[(lic, text.format(name, version)) for lic, name, version in (
+        ("GPL-3.0", "General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("LGPL-3.0", "Lesser General Public License", "3"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1"), ("AGPL-3.0", "Affero General Public License", "3")) for text in (_GNU, _GNU + _GNU_REST)],
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+                "You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("BSD-2-Clause", _BSD + _BSD_REST),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_REST),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+            "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+            "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+            "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+            "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+            "DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+            "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH "
+            "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+            "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+            "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
+# the comments at the start of a text, after a first #! line
+HEADER = (r"^(?:#![^\n]*\n)?\s*+(?:(?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\(\*[\s\S]*?\*\)|\{-[\s\S]*?-\}|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''"
+          r"|(?://|#|--|;|%|!|(?i:dnl|rem)\b)[^\n]*)\s*+)++")
+PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
+SENTENCE = r"(?<=[.;:!?])\s+(?=[A-Z])"
 
 
 def terms_of(text: Column) -> Column:
@@ -103,13 +166,23 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: st
     for k, name, t, c in terms:
         templates.setdefault(k, (name, {}))[1][t] = c * idf[t]
 
-    signal = "|".join(_signal(idf, threshold))
+    by_letter: dict[str, list[str]] = {}
+    for t in _signal(idf, threshold):
+        by_letter.setdefault(t[0], []).append(t[1:])
+    signal = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items())
     pattern = F.lit(f"(?<![a-z0-9])(?:{signal})(?![a-z0-9])")
     name = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
     is_file = name.rlike(LICENCE_FILE)
-    units = f.where(F.regexp_like(F.lower("text"), pattern)).select("doc_id", "path", F.explode(F.array_distinct(F.concat(
-        F.split("text", "\n"), F.when(is_file, F.array("text")).otherwise(F.array().cast("array<string>"))))).alias("unit"))
-    units = units.where(F.regexp_like(F.lower("unit"), pattern)).select("doc_id", "path", terms_of(F.col("unit")).alias("terms"))
+    none = F.array().cast("array<string>")
+    header = F.regexp_replace(F.regexp_extract("text", HEADER, 0), r"(?im)^[ \t]*(?:dnl|rem)\b", "")
+    whole = F.filter(F.concat(F.array(header), F.when(is_file, F.array("text")).otherwise(none)), lambda x: x != "")
+    units = f.where(F.regexp_like(F.lower("text"), pattern)).select("doc_id", "path", "text", whole.alias("whole"))
+    lines = F.concat(F.flatten(F.transform("whole", lambda x: F.split(x, PARAGRAPH))), F.split("text", "\n"))
+    lines = F.filter(lines, lambda x: F.regexp_like(F.lower(x), pattern))
+    parts = F.array_distinct(F.concat(lines, F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE)))))
+    tag = lambda xs, k: F.transform(xs, lambda x: F.struct(F.lit(k).alias("part"), x.alias("unit")))
+    units = units.select("doc_id", "path", F.explode(F.concat(tag(F.array_distinct("whole"), 0), tag(parts, 1))).alias("u")).select("doc_id", "path", "u.part", "u.unit")
+    units = units.where(F.regexp_like(F.lower("unit"), pattern)).select("doc_id", "path", "part", terms_of(F.col("unit")).alias("terms"))
     known = F.array_intersect("terms", words)
     count = lambda t: F.size(F.filter(F.col("terms"), lambda x: x == t))
     weight = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
@@ -123,8 +196,8 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: st
         best.append(F.struct(F.round(dot / (norm * math.sqrt(sum(w * w for w in vec.values()))), 6).alias("score"), F.lit(lic).alias("license")))
     better = lambda a, b: F.when((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["license"] < a["license"])), b).otherwise(a)
     top = F.aggregate(F.array(*best), F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("license")), better)
-    own_licence = units.select("doc_id", "path", top.alias("top")).where(F.col("top.score") >= threshold) \
-        .groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("top.score")).alias("low"), F.col("top.license").alias("license"))).alias("own"))
+    own_licence = units.select("doc_id", "path", "part", top.alias("top")).where(F.col("top.score") >= threshold) \
+        .groupBy("doc_id", "path").agg(F.min(F.struct("part", (-F.col("top.score")).alias("low"), F.col("top.license").alias("license"))).alias("own"))
     own_licence = scratch.write(own_licence.select("doc_id", "path", F.col("own.license").alias("license"), (-F.col("own.low")).alias("score")), "own")
 
     # inheritance: licence directories, one licence each, joined to every file's ancestors

@@ -267,3 +267,34 @@ def test_near_stage_links_at_80_percent(spark, odd_texts):
     want = {percent: {d for d, _, c in brute_components(rows, percent) if d == c} for percent in (80, 85)}
     got = [r.doc_id for r in P.near(spark, docs_of(spark, rows), SF).collect()]
     assert sorted(got) == sorted(want[80]) and len(want[80]) < len(want[85])
+
+
+def test_licenses_of_headers(spark):
+    """Headers over several lines, BSD texts and notices inside a line; scores against a brute-force cosine."""
+    import math
+    import textwrap
+    wrap = lambda text, mark: "\n".join(mark + x for x in textwrap.wrap(text, 70))
+    gnu = licenses._GNU.format
+    bsd2, bsd3 = licenses._BSD + licenses._BSD_REST, licenses._BSD + licenses._BSD_NAMES + licenses._BSD_REST
+    code = "\nint alpha = beta;\n"
+    heads = {1: ("GPL-3.0", "/*\n" + wrap(gnu("General Public License", "3"), " * ") + "\n */"), 2: ("AGPL-3.0", "#!/bin/sh\n" + wrap(gnu("Affero General Public License", "3"), "# ")),
+             3: ("BSD-2-Clause", "/*\n" + bsd2.replace("met: ", "met:\n").replace("disclaimer. ", "disclaimer.\n") + "\n*/"), 4: ("BSD-3-Clause", wrap(bsd3, "// ")),
+             5: ("LGPL-2.1", wrap(gnu("Lesser General Public License", "2.1"), "-- ")), 6: (None, "/* beta of alpha */")}
+    rows = [(i, f"src{i}/x.c", head + code) for i, (_, head) in heads.items()]
+    rows += [(7, "src7/x.c", "alpha beta gamma delta epsilon zeta eta theta iota kappa. This work is licensed under the GNU General Public License, version 2."),
+             (8, "t/COPYING", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "alpha beta " * 500), (9, "b/LICENSE", bsd2)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: r.license for i, r in got.items()} == {**{i: lic for i, (lic, _) in heads.items()}, 7: "GPL-2.0", 8: "GPL-3.0", 9: "BSD-2-Clause"}
+    terms = lambda t: re.findall("[a-z0-9]+", t.lower())
+    vocabulary = {x for _, t in licenses.TEMPLATES for x in terms(t)}
+    top, sets = math.log(1 + len(rows)) + 1, [set(terms(t)) for _, _, t in rows]
+    idf = {x: math.log((1 + len(rows)) / (1 + sum(x in s for s in sets))) + 1 for x in vocabulary}
+
+    def cosine(unit, text):
+        u, v = Counter(terms(unit)), Counter(terms(text))
+        norm = math.sqrt(sum((n * idf[x]) ** 2 if x in idf else n * top ** 2 for x, n in u.items()))
+        return sum(u[x] * v[x] * idf[x] ** 2 for x in v) / norm / math.sqrt(sum((n * idf[x]) ** 2 for x, n in v.items()))
+
+    for i in (1, 3, 4, 5):
+        score, lic = max((round(cosine(heads[i][1], t), 6), name) for name, t in licenses.TEMPLATES)
+        assert got[i].license == lic and abs(got[i].score - score) < 2e-6
