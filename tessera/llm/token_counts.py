@@ -70,8 +70,9 @@ class Counter:
         if len(known) + len(new) > PIECES:               # bounded: start over, with what is needed now
             known = self.pieces = {}
             new = list(set(chain.from_iterable(split.values())))
-        # a piece is its lower-cased stem and a tail of full stops and commas, where a letter or digit ends the stem
-        stems = {p: (p[:len(r)].lower(), p[len(r):]) for p in new if b"<" not in p and (r := p.rstrip(b".,")) and r[-1] < 128 and r[-1:].isalnum()}
+        # a piece is its lower-cased stem and a tail of full stops and commas, where the stem is ASCII (the tokenizer composes
+        # before it lowers) and a letter or digit ends it
+        stems = {p: (p[:len(r)].lower(), p[len(r):]) for p in new if b"<" not in p and (r := p.rstrip(b".,")) and r.isascii() and r[-1:].isalnum()}
         todo = list({x for p in new for x in stems.get(p, (p,)) if x and x not in known})
         for p, e in zip(todo, self.tokenizer.encode_batch_fast([p.decode() for p in todo], add_special_tokens=False)):
             known[p] = len(e)

@@ -298,3 +298,12 @@ def test_licenses_of_headers(spark):
     for i in (1, 3, 4, 5):
         score, lic = max((round(cosine(heads[i][1], t), 6), name) for name, t in licenses.TEMPLATES)
         assert got[i].license == lic and abs(got[i].score - score) < 2e-6
+
+
+def test_token_counts_compose_before_lower_case(spark):
+    from tokenizers import Tokenizer
+    file = catalog.tokenizer_file()
+    whole = Tokenizer.from_file(file)
+    texts = [(1, "J\u030culy"), (2, "AH\u0331MED"), (3, "July, AHMED.")]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs_of(spark, texts), file).collect()}
+    assert got == {i: len(whole.encode(t, add_special_tokens=False)) for i, t in texts}
