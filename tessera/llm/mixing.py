@@ -46,6 +46,9 @@ def shares(leaves: DataFrame, depth: int, weights: DataFrame, budget: Column, ma
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     total = leaves.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("cap"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     got = total.select(F.lit("").alias("parent"), F.least("cap", budget.cast("long")).alias("get"))
+    for k in range(1, depth + 1):                            # a leaf below a weight of 0 is no capacity of the nodes above
+        own = weights.select(F.col("path").alias(f"p{k}"), F.col("weight").cast("long").alias("w"))
+        leaves = leaves.join(own, f"p{k}", "left").where(F.coalesce("w", F.lit(default_weight)) > 0).drop("w")
     for k in range(1, depth + 1):
         parent = F.lit("") if k == 1 else F.col(f"p{k - 1}")
         nodes = leaves.groupBy(parent.alias("parent"), F.col(f"p{k}").alias("path")).agg(F.sum("cap").alias("cap"))

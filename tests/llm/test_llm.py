@@ -307,3 +307,12 @@ def test_token_counts_compose_before_lower_case(spark):
     texts = [(1, "J\u030culy"), (2, "AH\u0331MED"), (3, "July, AHMED.")]
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs_of(spark, texts), file).collect()}
     assert got == {i: len(whole.encode(t, add_special_tokens=False)) for i, t in texts}
+
+
+def test_mixing_gives_nothing_for_leaves_of_weight_zero(spark):
+    """x/a has weight 0: what x can not use goes to y."""
+    rows = [(i, "w " * 10, "x", "a") for i in range(10)] + [(100, "w " * 10, "x", "b")] + [(200 + i, "w " * 10, "y", "c") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d string, s string")
+    weights = spark.createDataFrame([("x", 1), ("y", 1), ("x/a", 0)], "path string, weight long")
+    got = mixing.mix(docs, ["d", "s"], weights, 0.48, max_epochs=1).groupBy("leaf").agg(F.count("*").alias("n")).collect()
+    assert {r.leaf: r.n for r in got} == {"x/b": 1, "y/c": 9}
