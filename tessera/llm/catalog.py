@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_trees, decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dup, quality_fm, token_counts, warc_index
+from tessera.llm import chat_trees, decontaminate, exact_dedup, language_id, licenses, line_dedup, merkle, mixing, near_dup, quality_fm, spelling, token_counts, warc_index
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -117,5 +117,22 @@ def op10_licenses(spark, sf):
     return licenses.scan(with_paths(table(spark, sf, "documents")))
 
 
+def op11_spelling(spark, sf):
+    return spelling.group_variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_merkle(spark, sf):
+    docs = table(spark, sf, "documents")
+    tamper = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = merkle.manifest(docs, altered={"n_chars": F.col("n_chars") + 1}, tamper=tamper)
+    proof = F.sha2(F.array_join(F.col("proof.digest"), "").cast("binary"), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language_id.predict(docs, language_id.fit(docs, tokenizer_file("piece_bpe_32k.model")))
+
+
 LLM_QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_trees, op3_quality_fm, op4_warc_index, op5_exact_dedup, op6_mixing, op7_near_dup,
-                                       op8_token_counts, op9_decontaminate, op10_licenses)}
+                                       op8_token_counts, op9_decontaminate, op10_licenses, op11_spelling, op12_merkle, op13_language_id)}

@@ -87,4 +87,77 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (uid) LEFT JOIN s USING (uid)
 """
 
-LLM_ORACLE = {"op1_line_dedup": OP1, "op2_chat_trees": OP2, "op4_warc_index": OP4, "op5_exact_dedup": OP5, "op6_mixing": OP6, "op9_decontaminate": OP9}
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, with the table ``crc.t``."""
+    return (f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(octet_length(encode({text}))), "
+            f"lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))")
+
+
+_CRC_TABLE = ("crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t "
+              "FROM range(256) r(i))")
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+g AS (SELECT d || ':' || run AS x, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32('x')} AS h FROM g, crc),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT DISTINCT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.less = w.word
+      UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.less = w.word),
+b AS (SELECT x, count(*)::BIGINT AS n_near, arg_max(struct_pack(y := y, n := n), (n, -k)) AS best FROM
+      (SELECT x, y, n, row_number() OVER (ORDER BY y) AS k FROM p JOIN w ON w.word = p.y) GROUP BY x),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * n THEN best.y END AS form, CASE WHEN best.n >= 5 * n THEN best.n END AS form_n
+      FROM w LEFT JOIN b ON b.x = w.word),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) JOIN f last ON last.word = walk.at WHERE last.form IS NULL
+"""
+
+
+def _said(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')" for v in values) + "))"
+
+
+#: Trees of up to 2 ** MERKLE_LEVELS leaves; a level in which a tree is one node leaves it as it is.
+MERKLE_LEVELS = 40
+
+
+def _tree(name: str, of: str) -> str:
+    """All nodes ``(tree, level, pos, digest)`` over ``of(tree, pos, digest)``."""
+    return f"""
+{name} AS (SELECT tree, 0 AS level, pos, digest, count(*) OVER (PARTITION BY tree) AS wide FROM {of}
+  UNION ALL SELECT tree, any_value(level) + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), any_value((wide + 1) // 2) FROM {name} WHERE wide > 1 AND level < {MERKLE_LEVELS}
+  GROUP BY tree, pos // 2)"""
+
+
+def _climb(at: str, nodes: str) -> str:
+    """Siblings of the rows ``at(uid, tree, pos)`` by level."""
+    return f"""(SELECT a.uid, n.level, s.digest, (a.pos >> n.level) % 2 = 1 AS is_left FROM {at} a
+  JOIN (SELECT DISTINCT tree, level FROM {nodes} WHERE wide > 1) n USING (tree) LEFT JOIN {nodes} s ON s.tree = a.tree AND s.level = n.level AND s.pos = xor(a.pos >> n.level, 1::BIGINT))"""
+
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce('1' || lang, '0') AS tree, {_said('doc_id::VARCHAR', 'source', 'lang', 'n_chars::VARCHAR', 'text')} AS digest,
+      CASE WHEN {_crc32('coalesce(doc_id::VARCHAR, chr(0))')} % 7 = 0 AND doc_id IS NOT NULL THEN {_said('doc_id::VARCHAR', 'source', 'lang', '(n_chars + 1)::VARCHAR', 'text')} END AS changed
+      FROM documents, crc),
+leaf AS (SELECT *, (row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1)::BIGINT AS pos FROM d),{_tree('low', 'leaf')},
+sub AS (SELECT '' AS tree, tree AS of, digest, (row_number() OVER (ORDER BY encode(tree)) - 1)::BIGINT AS pos FROM low WHERE wide = 1),{_tree('high', 'sub')},
+tops AS (SELECT of AS uid, tree, pos FROM sub),
+proofs AS (SELECT uid, level, digest, is_left FROM {_climb('leaf', 'low')}
+  UNION ALL SELECT leaf.uid, 1000 + x.level, x.digest, x.is_left FROM leaf JOIN {_climb('tops', 'high')} x ON x.uid = leaf.tree),
+steps AS (SELECT uid, list(struct_pack(digest := digest, is_left := is_left) ORDER BY level) AS steps, coalesce(string_agg(digest, '' ORDER BY level), '') AS said FROM proofs GROUP BY uid),
+o AS (SELECT leaf.uid, doc_id, leaf.digest AS leaf, sub.digest AS subroot, (SELECT digest FROM high WHERE wide = 1) AS root, sha256(coalesce(said, '')) AS proof_sha256,
+      coalesce(changed, leaf.digest) AS start, coalesce(steps, []) AS steps FROM leaf JOIN sub ON sub.of = leaf.tree LEFT JOIN steps USING (uid)),
+fold AS (SELECT uid, start AS node, steps, 1 AS k FROM o
+  UNION ALL SELECT uid, sha256(CASE WHEN steps[k].digest IS NULL THEN node WHEN steps[k].is_left THEN steps[k].digest || node ELSE node || steps[k].digest END), steps, k + 1
+  FROM fold WHERE k <= len(steps))
+SELECT doc_id, leaf, subroot, root, proof_sha256, node AS folded_root, node = root AS verified FROM o JOIN fold USING (uid) WHERE k > len(fold.steps)
+"""
+
+LLM_ORACLE = {"op1_line_dedup": OP1, "op2_chat_trees": OP2, "op4_warc_index": OP4, "op5_exact_dedup": OP5, "op6_mixing": OP6, "op9_decontaminate": OP9,
+              "op11_spelling": OP11, "op12_merkle": OP12}
