@@ -1,39 +1,44 @@
-"""Exact k-nearest-neighbour search and KNN classification, without a cross join.
-
-Two joins on grid-cell ids replace the all-pairs product:
-
-1. **Bound.** Training rows are bucketed on a coarse grid over the ``g`` most
-   spread dimensions.  Each cell keeps ``k`` representatives (smallest key
-   hash; ``row_number() <= k`` per cell, which Spark runs as a partial
-   ``WindowGroupLimit`` before the shuffle, so a hot cell never travels
-   whole).  A query meets the representatives of its own cell -- or, if that
-   cell has fewer than ``k`` rows, of a coarser level -- in a cogrouped numpy
-   block (queries salted per cell into blocks of at most ``block_rows``), and
-   the largest of those ``k`` distances is an upper bound ``r_q`` on its true
-   k-th distance.  With a single grid cell this phase is skipped.
-2. **Band.** Any neighbour within ``r_q`` differs by at most ``r_q`` in every
-   coordinate (true for every Minkowski metric; cosine works on unit vectors
-   where ``|a_j - b_j| <= sqrt(2 * cos_dist)``).  The query is exploded over
-   the grid cells that its band covers; per cell, queries and training rows
-   are salted into blocks of at most ``block_rows`` on both sides and met in
-   a cogrouped numpy block (chunks of 128 queries), which keeps the first
-   ``k`` by ``(distance, train_key)`` within ``r_q``; a final partial top-k
-   per query merges the blocks.
-
-The result is exact, ties broken by training key.  A hot cell (a third of
-all rows) becomes many bounded blocks; only ``k`` rows per query leave each
-task.  Tables broadcast here have one row per grid cell (bounded).
+"""Exact k-nearest-neighbour search and KNN classification over a pivot index, without a cross join.
+
+1. **Index.** Pivots are picked farthest-first from a bounded sample of the
+   training rows (``SAMPLE`` rows of the smallest key hash).  Every training
+   row belongs to the cell of its nearest pivot and keeps its distance to it.
+   A range sort by (cell, distance) cuts every cell, however hot, into blocks
+   of at most ``block_rows`` rows, each a ring ``lo .. hi`` around the pivot.
+2. **Bound.** The k-th distance to the sample bounds a query's true k-th
+   distance.  The query then meets the ring of its own cell that it lies in,
+   which gives a second bound; the smaller one counts.
+3. **Search.** By the triangle inequality a block with ``d(q, pivot) - hi`` or
+   ``lo - d(q, pivot)`` above the bound holds no neighbour: whole cells are
+   skipped by their largest distance, then single blocks.  A block and at most
+   ``block_rows`` of its visitors meet in one cogrouped numpy task, and a
+   partial top-k per query merges the blocks' best rows.
+
+The triangle inequality is that of the metric itself where it is one; for
+Minkowski with p < 1 the Chebyshev distance, never larger, stands in, and for
+cosine the Euclidean distance of unit vectors (``sqrt(2 * distance)``; a zero
+vector stays zero).  The result is exact, ties broken by training key.  The
+driver holds the sample, the pivots and one row per cell: all bounded by
+parameters.  Work follows the structure of the data: where every distance is
+alike, no exact search can skip much, and the blocks bound each task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
 
-_MAX_CELLS = 1 << 16
+SAMPLE = 4096
+PIVOTS = 256
+CELL_ROWS = 128
 _MINKOWSKI = ("chebyshev", "manhattan", "cityblock", "l1", "euclidean", "l2", "minkowski")
 
 
@@ -49,262 +54,229 @@ def as_vector(df: DataFrame, key: str, features: list[str] | str, label: str | N
     return df.select(*cols)
 
 
-def _unit(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    # a zero vector stays zero: at cosine distance 1 from everything, inside the band of any such bound
-    return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-
-
-def _plan_grid(train: DataFrame, k: int, max_dims: int = 3, per_cell: int = 4):
-    """Vector length, row count, grid dims (largest spread) and cells per dim,
-    from one grouped aggregate over (dimension, value) pairs."""
-    st = (train.select(F.posexplode("vec").alias("j", "x"))
-          .groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                            F.stddev_pop("x").alias("sd"))
-          .collect())
-    st = {r["j"]: r for r in st}
-    dim = len(st)
-    counts = {r["n"] for r in st.values()}
-    if len(counts) > 1 or (dim and max(st) != dim - 1):
-        raise ValueError("vectors of different lengths")
-    n = counts.pop() if counts else 0
-    order = sorted(st, key=lambda j: (-(st[j]["sd"] or 0.0), j))
-    dims = [j for j in order if (st[j]["mx"] or 0) > (st[j]["mn"] or 0)][:max_dims] or [0]
-    cells_total = min(max(1.0, n / float(per_cell * k)), float(_MAX_CELLS))
-    per_dim = max(1, int(math.floor(cells_total ** (1.0 / len(dims)))))
-    grid = []
-    for j in dims:
-        lo, hi = (st[j]["mn"], st[j]["mx"]) if j in st else (0.0, 0.0)
-        width = (hi - lo) / per_dim if hi > lo else 1.0
-        grid.append((j, lo, width, per_dim))
-    return n, dim, grid
-
-
-def _cell_index(x: Column, lo: float, width: float, cells: int) -> Column:
-    # clamp the coordinate first: an infinite band edge must not reach the cast
-    xc = F.least(F.greatest(x, F.lit(lo - width)), F.lit(lo + (cells + 1) * width))
-    i = F.floor((xc - F.lit(lo)) / F.lit(width)).cast("long")
-    return F.least(F.greatest(i, F.lit(0)), F.lit(cells - 1))
-
-
-def _cell_id(vec: Column, grid, level: int = 0) -> Column:
-    """Encode the cell at a level (2^level coarser per dim) as one long."""
-    code = F.lit(0).cast("long")
-    for j, lo, width, cells in grid:
-        c = F.shiftright(_cell_index(vec[j], lo, width, cells), level)
-        code = code * F.lit(cells + 1) + c
-    return code
-
-
-def _band_cells(vec: Column, radius: Column, grid) -> Column:
-    """Array of cell ids (level 0) that the band [x - r, x + r] covers."""
-    acc = None
-    for j, lo, width, cells in grid:
-        a = _cell_index(vec[j] - radius, lo, width, cells)
-        b = _cell_index(vec[j] + radius, lo, width, cells)
-        seq = F.sequence(a, b)
-        if acc is None:
-            acc = seq
+def _np_dist(metric: str, p: float, Q, T):
+    """Distances ``[query, row]``, one dimension after the other: no array beyond the result's size."""
+    if metric == "cosine":
+        nq = np.sqrt((Q * Q).sum(1))[:, None]
+        nt = np.sqrt((T * T).sum(1))[None, :]
+        return 1.0 - np.divide(Q @ T.T, nq * nt, out=np.zeros((len(Q), len(T))), where=nq * nt > 0)
+    out = np.zeros((len(Q), len(T)))
+    for j in range(Q.shape[1] if len(Q) else 0):
+        x = np.abs(Q[:, j:j + 1] - T[None, :, j])
+        if metric == "chebyshev":
+            np.maximum(out, x, out=out)
+        elif metric in ("manhattan", "cityblock", "l1"):
+            out += x
+        elif metric in ("euclidean", "l2"):
+            x *= x
+            out += x
+        elif p == int(p) and 1 <= p <= 8:
+            y = x.copy()
+            for _ in range(int(p) - 1):
+                y *= x
+            out += y
         else:
-            base = F.lit(cells + 1)
-            acc = F.flatten(F.transform(acc, lambda u: F.transform(seq, lambda v: u * base + v)))
-    return acc
+            out += x ** p
+    if metric in ("euclidean", "l2"):
+        return np.sqrt(out)
+    return out ** (1.0 / p) if metric == "minkowski" else out
+
+
+def _unit(V):
+    norm = np.sqrt((V * V).sum(1, keepdims=True))
+    return np.divide(V, norm, out=np.zeros_like(V), where=norm > 0)
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+class Gauge:
+    """The metric and the distance whose triangle inequality prunes."""
+
+    def __init__(self, metric: str, p: float):
+        self.metric, self.p = metric.lower(), p
+        if self.metric != "cosine" and self.metric not in _MINKOWSKI:
+            raise ValueError(metric)
+
+    def distance(self, Q, T):
+        return _np_dist(self.metric, self.p, Q, T)
+
+    def gauge(self, Q, T):
+        if self.metric == "cosine":
+            return _np_dist("euclidean", 2.0, _unit(Q), _unit(T))
+        if self.metric == "minkowski" and self.p < 1:
+            return _np_dist("chebyshev", 2.0, Q, T)
+        return self.distance(Q, T)
+
+    def reach(self, r):
+        """What the gauge may be at distance ``r``, rounding included (numpy arrays and columns alike)."""
+        if self.metric == "cosine":
+            r = (2.0 * r) ** 0.5 if not isinstance(r, Column) else F.sqrt(2.0 * r)
+        return r * (1 + 1e-9) + 1e-9
+
+
+def farthest_first(points: np.ndarray, m: int, gauge: Gauge) -> np.ndarray:
+    """At most ``m`` pivots: each next one is the point farthest from those before."""
+    if not len(points):
+        return points
+    chosen, near = [0], gauge.gauge(points[:1], points)[0]
+    while len(chosen) < m:
+        k = int(np.nanargmax(near)) if not np.isnan(near).all() else 0
+        if not near[k] > 0:
+            break
+        chosen.append(k)
+        near = np.minimum(near, gauge.gauge(points[k:k + 1], points)[0])
+    return points[chosen]
+
+
+class PivotIndex:
+    """``train(key, vec[, label])`` in cells and blocks around pivots."""
+
+    def __init__(self, train: DataFrame, metric: str = "chebyshev", p: float = 2.0, block_rows: int = 2048, pivots: int = PIVOTS):
+        self.train, self.block_rows, self.gauge = train, block_rows, Gauge(metric, p)
+        size = F.size("vec")
+        n, low, high = train.agg(F.count(F.lit(1)), F.min(size), F.max(size)).first()
+        if low != high:
+            raise ValueError("vectors of different lengths")
+        first = train.select("vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()      # bounded
+        self.rows, self.sample = n, _matrix(first.column("vec"))
+        self.pivots = farthest_first(self.sample, min(pivots, math.ceil(n / CELL_ROWS)), self.gauge)
+        self.key_type = dict(train.dtypes)["key"]
+        label = F.col("label").cast("double") if "label" in train.columns else F.lit(None).cast("double")
+        rows = train.select("key", "vec", label.alias("label"))
+        gauge, pv = self.gauge, self.pivots
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                d = np.nan_to_num(gauge.gauge(_matrix(b.column("vec")), pv), nan=np.inf) if b.num_rows else np.zeros((0, 1))
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])],
+                                                 names=["key", "vec", "label", "cell", "at"])
+
+        schema = f"key {self.key_type}, vec array<double>, label double, cell int, at double"
+        parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = rows.mapInArrow(assign, schema).repartitionByRange(parts, "cell", "at", "key").sortWithinPartitions("cell", "at", "key")
+        place = F.monotonically_increasing_id()          # partition, then row in it
+        row = place.bitwiseAND(F.lit((1 << 33) - 1))
+        self.table = cut_lineage(placed.withColumn("part", place - row + F.floor(row / block_rows)))
+        self.blocks = self.table.groupBy("cell", "part").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"))
+        # one row per pivot
+        far = {r[0]: r[1] for r in self.blocks.groupBy("cell").agg(F.max("hi")).collect()}
+        self.far = np.array([far.get(c, -np.inf) for c in range(len(self.pivots))])
+
+    def cells(self, queries: DataFrame, k: int, bounded: bool) -> DataFrame:
+        """``(q_key, qvec, r, cell, at, home)``: the cells within a query's bound; ``bounded``: ``queries`` bring their ``r``."""
+        gauge, pv, far, sample = self.gauge, self.pivots, self.far, self.sample
+        key_type = dict(queries.dtypes)["key"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in range(0, b.num_rows, 256):
+                    part = b.slice(s, 256)
+                    Q = _matrix(part.column("vec"))
+                    d = np.nan_to_num(gauge.gauge(Q, pv), nan=np.inf)
+                    if bounded:
+                        r = part.column("r").to_numpy(zero_copy_only=False)
+                    elif len(sample) >= k:
+                        r = np.partition(np.nan_to_num(gauge.distance(Q, sample), nan=np.inf), k - 1, axis=1)[:, k - 1]
+                    else:
+                        r = np.full(len(Q), np.inf)
+                    home = np.argmin(np.where(np.isfinite(far), d, np.inf), axis=1)
+                    q, cell = np.nonzero((d - far[None, :] <= gauge.reach(r)[:, None]) & (far[None, :] > -np.inf))
+                    at = pa.array(q)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("key").take(at), part.column("vec").take(at), pa.array(r[q], pa.float64()), pa.array(cell.astype(np.int32)),
+                         pa.array(d[q, cell]), pa.array(home[q] == cell)], names=["q_key", "qvec", "r", "cell", "at", "home"])
+
+        columns = ["key", "vec", "r"] if bounded else ["key", "vec"]
+        return queries.select(*columns).mapInArrow(run, f"q_key {key_type}, qvec array<double>, r double, cell int, at double, home boolean")
+
+    def meet(self, visits: DataFrame, k: int) -> DataFrame:
+        """The best ``k`` rows of each visited block: ``(q_key, n_key, distance, label)``."""
+        rows = self.block_rows
+        often = visits.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("salts"))
+        q = visits.join(often, ["cell", "part"]).withColumn("salt", F.pmod(F.xxhash64("q_key"), F.col("salts")).cast("int")) \
+            .select("cell", "part", "salt", "q_key", "qvec", "r")
+        t = self.table.join(often, ["cell", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))) \
+            .select("cell", "part", "salt", "key", "vec", "label").toDF("t_cell", "t_part", "t_salt", "n_key", "tvec", "label")
+        gauge = self.gauge
+        schema = f"q_key {dict(visits.dtypes)['q_key']}, n_key {self.key_type}, distance double, label double"
+        return q.groupBy("cell", "part", "salt").cogroup(t.groupBy("t_cell", "t_part", "t_salt")).applyInArrow(lambda a, b: _best(a, b, gauge, k), schema)
+
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """``(q_key, qvec, r, cell, part)``: every block that may hold one of a query's ``k`` neighbours."""
+        near = self.cells(queries, k, bounded=False)
+        ring = F.broadcast(self.blocks) if self.rows <= (1 << 16) * self.block_rows else self.blocks     # at most 65,536 + parts + pivots rows
+        if self.rows <= len(self.sample):                # the sample's bound is the distance itself
+            return self._within(near, ring)
+        home = near.where("home").join(ring.select("cell", "part", "lo", "hi"), "cell").where((F.col("lo") <= F.col("at")) & (F.col("at") <= F.col("hi")))
+        first = self.meet(home.select("cell", "part", "q_key", "qvec", "r"), k).groupBy("q_key").agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("m"))
+        first = cut_lineage(first.where(F.col("m") >= k).select("q_key", "d"))
+        return self._within(near.join(first, "q_key", "left").withColumn("r", F.least("r", F.coalesce("d", "r"))), ring)
+
+    def _within(self, near: DataFrame, ring: DataFrame) -> DataFrame:
+        reach = self.gauge.reach(F.col("r"))
+        seen = near.join(ring.select("cell", "part", "lo", "hi"), "cell").where((F.col("at") - F.col("hi") <= reach) & (F.col("lo") - F.col("at") <= reach))
+        return seen.select("cell", "part", "q_key", "qvec", "r")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """``(q_key, rank, n_key, distance[, label])``."""
+        if not len(self.pivots):
+            found = queries.sparkSession.createDataFrame([], f"q_key {dict(queries.dtypes)['key']}, n_key {self.key_type}, distance double, label double")
+        else:
+            found = self.meet(self.visits(queries, k), k)
+        w = Window.partitionBy("q_key").orderBy("distance", "n_key")
+        out = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+        if "label" in self.train.columns:
+            out = out.withColumn("label", F.col("label").cast(dict(self.train.dtypes)["label"]))
+            return out.select("q_key", "rank", "n_key", "distance", "label")
+        return out.select("q_key", "rank", "n_key", "distance")
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev", p: float = 2.0,
-        max_grid_dims: int = 3, block_rows: int = 2048) -> DataFrame:
+def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev", p: float = 2.0, block_rows: int = 2048) -> DataFrame:
     """Exact k nearest training rows for every query.
 
     ``train``: (key, vec[, label]); ``queries``: (key, vec).  Returns
     (q_key, rank 1..k, n_key, distance[, label]).  Ties by training key.  The
     cosine distance of a zero vector to any vector is 1.
     """
-    metric = metric.lower()
-    has_label = "label" in train.columns
-    if metric == "cosine":
-        tr = train.withColumn("gvec", _unit(F.col("vec")))
-        qs = queries.withColumn("gvec", _unit(F.col("vec")))
-    elif metric in _MINKOWSKI:
-        tr, qs = train.withColumn("gvec", F.col("vec")), queries.withColumn("gvec", F.col("vec"))
-    else:
-        raise ValueError(metric)
+    return PivotIndex(train, metric, p, block_rows).search(queries, k)
 
-    n, dim, grid = _plan_grid(tr.select(F.col("gvec").alias("vec")), k, max_grid_dims)
-    levels = max(c for _, _, _, c in grid).bit_length()          # level L: 2^L coarser
-    tr = tr.withColumn("h", F.xxhash64("key"))
-
-    if all(c == 1 for _, _, _, c in grid):
-        # one cell: every training row is a candidate anyway, no bound needed
-        bound = qs.select(F.col("key").alias("q_key"), F.lit(float("inf")).alias("r"))
-    else:
-        bound = _bound(tr, qs, grid, levels, k, n, metric, p, block_rows)
-    return _band(tr, qs, bound, grid, metric, p, k, block_rows, has_label, train)
-
-
-def _bound(tr, qs, grid, levels, k, n, metric, p, block_rows=2048):
-    """Phase 1: upper bound r_q on each query's k-th neighbour distance.
-
-    Per (level, cell): the query rows of the cell (salted into blocks of at
-    most ``block_rows``) meet the cell's <= k representatives in one
-    cogrouped numpy block; a query's bound is the largest distance to the k
-    representatives of the finest cell that has k of them."""
-    tr_lv = tr.select("key", "vec", "gvec", "h",
-                      F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lv"))
-    reps = (tr_lv.withColumn("cell", _level_cell(F.col("gvec"), grid, F.col("lv")))
-            .withColumn("rn", F.row_number().over(Window.partitionBy("lv", "cell").orderBy("h", "key")))
-            .where(F.col("rn") <= k)
-            .select("lv", "cell", F.col("vec").alias("rvec")))
-    q_lv = qs.select(F.col("key").alias("q_key"), F.col("vec").alias("qvec"), "gvec",
-                     F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lv"))
-    q_lv = q_lv.withColumn("cell", _level_cell(F.col("gvec"), grid, F.col("lv"))).drop("gvec")
-    # one row per (level, cell): at most about twice the level-0 grid
-    # (<= 2 * _MAX_CELLS rows by construction), so broadcasting is bounded
-    qcount = F.broadcast(q_lv.groupBy("lv", "cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("qs")))
-    q2 = (q_lv.join(qcount, ["lv", "cell"])
-          .withColumn("qsalt", F.pmod(F.xxhash64("q_key"), F.col("qs")).cast("int"))
-          .select("lv", "cell", "qsalt", "q_key", "qvec"))
-    r2 = (reps.join(qcount, ["lv", "cell"])
-          .withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-          .select("lv", "cell", "qsalt", "rvec"))
-    key_type = dict(qs.dtypes)["key"]
-    per_level = (q2.groupBy("lv", "cell", "qsalt").cogroup(r2.groupBy("lv", "cell", "qsalt"))
-                 .applyInPandas(_block_bound(metric, p), f"q_key {key_type}, lv INT, m LONG, r DOUBLE"))
-    # finest level whose cell holds >= k rows; the top level is one cell with all rows
-    return (per_level.where(F.col("m") >= F.lit(min(k, n)))
-            .groupBy("q_key").agg(F.min(F.struct("lv", "r")).alias("b"))
-            .select("q_key", F.col("b.r").alias("r")))
 
+def _best(q: pa.Table, t: pa.Table, gauge: Gauge, k: int, chunk: int = 128) -> pa.Table:
+    """Per block: distances in numpy, the first ``k`` per query by (distance, key) within its bound.
 
-def _np_dist(metric: str, p: float, Q, T):
-    import numpy as np
-    if metric == "cosine":
-        nq = np.sqrt((Q * Q).sum(1))[:, None]
-        nt = np.sqrt((T * T).sum(1))[None, :]
-        return 1.0 - np.divide(Q @ T.T, nq * nt, out=np.zeros((len(Q), len(T))), where=nq * nt > 0)
-    diff = np.abs(Q[:, None, :] - T[None, :, :])
-    if metric == "chebyshev":
-        return diff.max(axis=2)
-    if metric in ("manhattan", "cityblock", "l1"):
-        return diff.sum(axis=2)
-    if metric in ("euclidean", "l2"):
-        return np.sqrt((diff * diff).sum(axis=2))
-    return ((diff ** p).sum(axis=2)) ** (1.0 / p)
-
-
-def _block_bound(metric: str, p: float, chunk: int = 128):
-    import numpy as np
-    import pandas as pd
-
-    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(t) == 0:
-            return pd.DataFrame({"q_key": q["q_key"].iloc[:0], "lv": [], "m": [], "r": []})
-        T = np.stack(t["rvec"].to_numpy()).astype(np.float64)
-        Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
-        r = np.concatenate([_np_dist(metric, p, Q[s:s + chunk], T).max(axis=1) for s in range(0, len(Q), chunk)])
-        return pd.DataFrame({"q_key": q["q_key"].to_numpy(), "lv": q["lv"].to_numpy().astype(np.int32),
-                             "m": np.full(len(Q), len(T), dtype=np.int64), "r": r})
-    return fn
-
-
-def _band(tr, qs, bound, grid, metric, p, k, block_rows, has_label, train):
-    """Phase 2: band join on level-0 cells, exact distances, top-k per query."""
-    # ---- phase 2: band join on level-0 cells -----------------------------
-    r = F.col("r")
-    band_r = F.when(F.isnan(r) | (r == float("inf")), F.lit(float("inf"))).otherwise(
-        F.sqrt(2.0 * r) if metric == "cosine" else r)
-    qb = (qs.select(F.col("key").alias("q_key"), F.col("vec").alias("qvec"), "gvec")
-          .join(bound, "q_key")
-          .withColumn("cell", F.explode(_band_cells(F.col("gvec"), band_r * F.lit(1 + 1e-9) + F.lit(1e-12), grid)))
-          .select("cell", "q_key", "qvec", "r"))
-    tcols = [_cell_id(F.col("gvec"), grid, 0).alias("cell"), F.col("key").alias("n_key"), F.col("vec").alias("tvec")]
-    tcols.append(F.col("label").cast("double").alias("label") if has_label else F.lit(None).cast("double").alias("label"))
-    tb = tr.select(*tcols)
-    # per-cell block counts: one row per grid cell (<= _MAX_CELLS rows by
-    # construction of the grid), so this table is safe to broadcast
-    sizes = (tb.groupBy("cell").agg(F.count(F.lit(1)).alias("nt"))
-             .join(qb.groupBy("cell").agg(F.count(F.lit(1)).alias("nq")), "cell")
-             .select("cell", F.ceil(F.col("nt") / F.lit(block_rows)).cast("int").alias("ts"),
-                     F.ceil(F.col("nq") / F.lit(block_rows)).cast("int").alias("qs")))
-    sizes = F.broadcast(sizes)
-    qb2 = (qb.join(sizes, "cell")
-           .withColumn("qsalt", F.pmod(F.xxhash64("q_key"), F.col("qs")).cast("int"))
-           .withColumn("tsalt", F.explode(F.sequence(F.lit(0), F.col("ts") - 1)))
-           .select("cell", "tsalt", "qsalt", "q_key", "qvec", "r"))
-    tb2 = (tb.join(sizes, "cell")
-           .withColumn("tsalt", F.pmod(F.xxhash64("n_key"), F.col("ts")).cast("int"))
-           .withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-           .select("cell", "tsalt", "qsalt", "n_key", "tvec", "label"))
-    key_type = dict(qs.dtypes)["key"]
-    nkey_type = dict(tr.dtypes)["key"]
-    schema = f"q_key {key_type}, n_key {nkey_type}, distance DOUBLE, label DOUBLE"
-    local = (qb2.groupBy("cell", "tsalt", "qsalt")
-             .cogroup(tb2.groupBy("cell", "tsalt", "qsalt"))
-             .applyInPandas(_block_topk(metric, p, k), schema))
-    w = Window.partitionBy("q_key").orderBy("distance", "n_key")
-    out = local.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-    if has_label:
-        out = out.withColumn("label", F.col("label").cast(dict(train.dtypes)["label"]))
-        return out.select("q_key", "rank", "n_key", "distance", "label")
-    return out.select("q_key", "rank", "n_key", "distance")
-
-
-def _block_topk(metric: str, p: float, k: int, chunk: int = 128):
-    """Per (cell, salt) block: distances in numpy, first k per query.
-
-    Both sides of a block hold at most ``block_rows`` rows and queries are
-    processed ``chunk`` at a time, so memory per task is bounded; only k rows
-    per query leave the task.  Selection: ``np.partition`` finds each query's
-    k-th distance, then only the candidates up to it are ordered by
-    (distance, key).
+    ``np.partition`` finds each query's k-th distance; only the candidates up
+    to it are ordered.
     """
-    import numpy as np
-    import pandas as pd
-
-    def dist(Q, T):
-        return _np_dist(metric, p, Q, T)
-
-    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        cols = {"q_key": [], "n_key": [], "distance": [], "label": []}
-        if len(q) == 0 or len(t) == 0:
-            return pd.DataFrame(cols)
-        T = np.stack(t["tvec"].to_numpy()).astype(np.float64)
-        nkeys = t["n_key"].to_numpy()
-        labels = t["label"].to_numpy()
-        Qall = np.stack(q["qvec"].to_numpy()).astype(np.float64)
-        qkeys = q["q_key"].to_numpy()
-        radius = q["r"].to_numpy()
-        kk = min(k, len(t))
-        for s in range(0, len(q), chunk):
-            D = dist(Qall[s:s + chunk], T)
+    T, Q = _matrix(t.column("tvec")), _matrix(q.column("qvec"))
+    found: list[tuple] = []
+    if len(T) and len(Q):
+        radius = q.column("r").to_numpy()
+        rank = np.empty(len(T), dtype=np.int64)          # the keys' order, whatever their type
+        rank[pa.compute.sort_indices(t.column("n_key")).to_numpy()] = np.arange(len(T))
+        kk = min(k, len(T))
+        for s in range(0, len(Q), chunk):
+            D = gauge.distance(Q[s:s + chunk], T)
             r = radius[s:s + chunk, None]
             D = np.where(D <= r * (1 + 1e-9) + 1e-12, D, np.inf)
             kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-            qi, ti = np.nonzero(D <= kth[:, None])
-            if len(qi) == 0:
-                continue
+            qi, ti = np.nonzero((D <= kth[:, None]) & np.isfinite(D))
             d = D[qi, ti]
-            order = np.lexsort((nkeys[ti], d, qi))          # by query, distance, key
+            order = np.lexsort((rank[ti], d, qi))        # by query, distance, key
             qi, ti, d = qi[order], ti[order], d[order]
-            first = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-            pos = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
+            first = np.flatnonzero(np.concatenate(([True], qi[1:] != qi[:-1]))) if len(qi) else np.zeros(0, dtype=np.int64)
+            pos = np.arange(len(qi)) - np.repeat(first, np.diff(np.concatenate((first, [len(qi)]))))
             keep = pos < k
-            cols["q_key"].append(qkeys[s:s + chunk][qi[keep]])
-            cols["n_key"].append(nkeys[ti[keep]])
-            cols["distance"].append(d[keep])
-            cols["label"].append(labels[ti[keep]])
-        if not cols["q_key"]:
-            return pd.DataFrame({"q_key": qkeys[:0], "n_key": nkeys[:0], "distance": [], "label": []})
-        return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
-    return fn
-
-
-def _level_cell(gvec: Column, grid, level: Column) -> Column:
-    code = F.lit(0).cast("long")
-    for j, lo, width, cells in grid:
-        c = F.floor(_cell_index(gvec[j], lo, width, cells) / F.pow(F.lit(2.0), level)).cast("long")
-        code = code * F.lit(cells + 1) + c
-    return code
+            found.append((qi[keep] + s, ti[keep], d[keep]))
+    qi, ti, d = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, dtype=np.int64) for c in range(3))
+    return pa.table([q.column("q_key").take(pa.array(qi)), t.column("n_key").take(pa.array(ti)), pa.array(d, pa.float64()), t.column("label").take(pa.array(ti))],
+                    names=["q_key", "n_key", "distance", "label"])
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, k: int = 22, metric: str = "chebyshev",
@@ -327,13 +299,15 @@ def knn_classify(train: DataFrame, queries: DataFrame, k: int = 22, metric: str
             .withColumn("pred", (F.col("p_pos") > threshold).cast("int")))
 
 
-def knn_k_sweep(neighbors: DataFrame, truth: DataFrame, ks: list[int], weights: str = "uniform",
+def knn_k_sweep(neighbors: DataFrame, truth: DataFrame, ks: list[int], weights: list[str] | str = "uniform",
                 threshold: float = 0.5) -> DataFrame:
-    """Accuracy for every k from one ranked neighbour list (max k), via running sums.
+    """Accuracy for every k and vote weighting from one ranked neighbour list (max k), via running sums.
 
     ``neighbors``: (q_key, rank, distance, label); ``truth``: (key, label).
-    Returns (k, accuracy, n).  Running sums are windows per query (k rows each).
+    Returns (k, weights, accuracy, n).  Running sums are windows per query (k
+    rows each); all weightings come from the same pass.
     """
+    weights = [weights] if isinstance(weights, str) else weights
     w = Window.partitionBy("q_key").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     y = F.col("label").cast("double")
     zero = (F.col("distance") == 0).cast("double")
@@ -344,12 +318,9 @@ def knn_k_sweep(neighbors: DataFrame, truth: DataFrame, ks: list[int], weights:
         F.sum(F.when(F.col("distance") > 0, 1.0 / F.col("distance")).otherwise(0.0)).over(w).alias("sw"),
         F.sum(F.when(F.col("distance") > 0, y / F.col("distance")).otherwise(0.0)).over(w).alias("swy"))
     run = run.where(F.col("rank").isin(*ks))
-    if weights == "uniform":
-        prob = F.col("sy") / F.col("rank")
-    else:
-        prob = F.when(F.col("z") > 0, F.col("zy") / F.col("z")).otherwise(F.col("swy") / F.col("sw"))
+    share = {"uniform": F.col("sy") / F.col("rank"),
+             "distance": F.when(F.col("z") > 0, F.col("zy") / F.col("z")).otherwise(F.col("swy") / F.col("sw"))}
     t = truth.select(F.col("key").alias("q_key"), F.col("label").alias("y_true"))
-    scored = run.join(t, "q_key").withColumn("pred", (prob > threshold).cast("int"))
-    return (scored.groupBy(F.col("rank").alias("k"))
-            .agg(F.avg((F.col("pred") == F.col("y_true")).cast("double")).alias("accuracy"),
-                 F.count(F.lit(1)).alias("n")))
+    right = [F.avg(((share[x] > threshold).cast("int") == F.col("y_true")).cast("double")).alias(x) for x in weights]
+    scored = run.join(t, "q_key").groupBy(F.col("rank").alias("k")).agg(*right, F.count(F.lit(1)).alias("n"))
+    return scored.unpivot(["k", "n"], weights, "weights", "accuracy").select("k", "weights", "accuracy", "n")

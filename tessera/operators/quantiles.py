@@ -26,7 +26,7 @@ three rounds.
 from __future__ import annotations
 
 import math
-import sys
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -91,8 +91,6 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     Usually three passes: stats + sketch, bracket counts, exact resolve.
     Only one small row per column / per wanted rank reaches the driver.
     """
-    if max_exact < 32:
-        raise ValueError("max_exact must be 32 or more")
     spark = df.sparkSession
     long = to_long(df, columns)
     if persist:
@@ -117,7 +115,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     t.value = s["mn"]
                 elif r == n - 1 or s["mn"] == s["mx"]:
                     t.value = s["mx"]
-                elif s["ndv"] * 1.1 + 16 > max_exact:
+                elif n > max_exact and s["ndv"] * 1.1 + 16 > max_exact:
                     t.lo, t.hi = s["sk"][2 * qi], s["sk"][2 * qi + 1]     # sketch bracket, counts unknown
                     t.inside = -1
                 needed[(c, r)] = t
@@ -133,7 +131,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         if not open_:
             break
         rounds += 1
-        small = [t for t in open_ if t.ndv * 1.1 + 16 <= max_exact]
+        # few enough by the exact row count, or by the approximate count of distinct values with its error and some slack
+        small = [t for t in open_ if t.inside <= max_exact or t.ndv * 1.1 + 16 <= max_exact or not t.lo < _middle(t) < t.hi]
         large = [t for t in open_ if t not in small]
         for t in large:
             t.halve = t.halve or rounds > 12
@@ -215,9 +214,16 @@ def _resolve_small(long: DataFrame, spark, targets: list[_Target]) -> None:
                 break
 
 
+def _order(x: float) -> int:
+    """Doubles as integers of the same order."""
+    k = struct.unpack("<q", struct.pack("<d", x))[0]
+    return k if k >= 0 else -(k & (1 << 63) - 1)
+
+
 def _middle(t: _Target) -> float:
-    top = sys.float_info.max
-    return max(t.lo, -top) / 2 + min(t.hi, top) / 2
+    """The double in the middle of the doubles of a bracket: at most 64 halvings to one value."""
+    k = (_order(t.lo) + _order(t.hi)) // 2
+    return struct.unpack("<d", struct.pack("<Q", k if k >= 0 else -k | 1 << 63))[0]
 
 
 def _narrow(long: DataFrame, spark, targets: list[_Target]) -> None:
