@@ -143,10 +143,6 @@ def _signal(idf: dict[str, float], threshold: float) -> list[str]:
     return sorted(set(idf) - aside)
 
 
-def _dot(weights: Column):
-    return lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(weights, x["t"]), F.lit(0.0))
-
-
 def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: ``doc_id, path, license, score, origin (own / inherited / none), from_path``."""
     spark = files.sparkSession
@@ -176,28 +172,29 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: st
     none = F.array().cast("array<string>")
     header = F.regexp_replace(F.regexp_extract("text", HEADER, 0), r"(?im)^[ \t]*(?:dnl|rem)\b", "")
     whole = F.filter(F.concat(F.array(header), F.when(is_file, F.array("text")).otherwise(none)), lambda x: x != "")
-    units = f.where(F.regexp_like(F.lower("text"), pattern)).select("doc_id", "path", "text", whole.alias("whole"))
+    # written, so that nothing below is computed for the files that the signal terms leave out
+    files_left = scratch.write(f.where(F.regexp_like(F.lower("text"), pattern)), "candidates")
+    units = files_left.select("doc_id", "path", "text", whole.alias("whole"))
     lines = F.concat(F.flatten(F.transform("whole", lambda x: F.split(x, PARAGRAPH))), F.split("text", "\n"))
     lines = F.filter(lines, lambda x: F.regexp_like(F.lower(x), pattern))
     parts = F.array_distinct(F.concat(lines, F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE)))))
     tag = lambda xs, k: F.transform(xs, lambda x: F.struct(F.lit(k).alias("part"), x.alias("unit")))
     units = units.select("doc_id", "path", F.explode(F.concat(tag(F.array_distinct("whole"), 0), tag(parts, 1))).alias("u")).select("doc_id", "path", "u.part", "u.unit")
-    units = units.where(F.regexp_like(F.lower("unit"), pattern)).select("doc_id", "path", "part", terms_of(F.col("unit")).alias("terms"))
-    known = F.array_intersect("terms", words)
-    count = lambda t: F.size(F.filter(F.col("terms"), lambda x: x == t))
-    weight = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
-    units = units.withColumn("tf", F.transform(known, lambda t: F.struct(t.alias("t"), (count(t) * F.element_at(weight, t)).alias("w"))))
-    other = F.size("terms") - F.size(F.filter(F.col("terms"), lambda x: F.array_contains(words, x)))
-    norm = F.sqrt(F.aggregate("tf", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]) + other * F.lit(unknown ** 2))
-    best = []
-    for k, (lic, vec) in templates.items():
-        m = F.create_map(*[F.lit(x) for t, w in vec.items() for x in (t, w)])
-        dot = F.aggregate("tf", F.lit(0.0), _dot(m))
-        best.append(F.struct(F.round(dot / (norm * math.sqrt(sum(w * w for w in vec.values()))), 6).alias("score"), F.lit(lic).alias("license")))
-    better = lambda a, b: F.when((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["license"] < a["license"])), b).otherwise(a)
-    top = F.aggregate(F.array(*best), F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("license")), better)
-    own_licence = units.select("doc_id", "path", "part", top.alias("top")).where(F.col("top.score") >= threshold) \
-        .groupBy("doc_id", "path").agg(F.min(F.struct("part", (-F.col("top.score")).alias("low"), F.col("top.license").alias("license"))).alias("own"))
+    units = units.where(F.regexp_like(F.lower("unit"), pattern)).select("doc_id", "path", "part", "unit", F.md5("unit").alias("key"))
+    units = scratch.write(units, "units")
+    # equal units are scored once: a notice that a third of all files carry is one row
+    terms_in = units.select("key", "unit").dropDuplicates(["key"]).select("key", F.explode(terms_of(F.col("unit"))).alias("t"))
+    # both tables are fixed by the templates: (term, idf) and (term, template, weight)
+    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "t string, idf double"))
+    fixed = [(t, k, lic, w, math.sqrt(sum(x * x for x in vec.values()))) for k, (lic, vec) in templates.items() for t, w in vec.items()]
+    fixed = F.broadcast(spark.createDataFrame(fixed, "t string, template int, license string, tw double, size double"))
+    tf = terms_in.groupBy("key", "t").agg(F.count(F.lit(1)).alias("n")).join(known, "t", "left").withColumn("w", F.col("n") * F.col("idf"))
+    norm = tf.groupBy("key").agg(F.sqrt(F.sum(F.coalesce(F.col("w") * F.col("w"), F.col("n") * F.lit(unknown ** 2)))).alias("norm"))
+    dots = tf.where("idf is not null").join(fixed, "t").groupBy("key", "template", "license", "size").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    score = F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("score")
+    top = dots.join(norm, "key").select("key", "license", score).where(F.col("score") >= threshold) \
+        .groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("top"))
+    own_licence = units.select("doc_id", "path", "part", "key").join(top, "key").groupBy("doc_id", "path").agg(F.min(F.struct("part", "top.low", "top.license")).alias("own"))
     own_licence = scratch.write(own_licence.select("doc_id", "path", F.col("own.license").alias("license"), (-F.col("own.low")).alias("score")), "own")
 
     # inheritance: licence directories, one licence each, joined to every file's ancestors
