@@ -14,7 +14,7 @@ give the next probabilities, smoothed by ``ALPHA``.
 
 Long words are cut at ``RUN`` letters, in learning and scoring alike.  A
 character that the vocabulary lacks is the piece ``<unk>``.  Forward sums are
-kept relative to the last position, so no length underflows.
+kept as logarithms, so no length underflows.
 
 Cases: texts that are null or have no letter are ``und`` with score 0; so is
 every text if nothing was learned; a language is any non-null value of the
@@ -42,19 +42,23 @@ FOLDS, HELD_OUT = 4, 2
 ROUNDS = 2
 ALPHA = 0.01
 RUN = 256
-TABLE_WORDS = 100_000
-CACHE_WORDS = 300_000
-BLOCK = 1024
+TABLE_WORDS = 300_000
+CACHE_WORDS = 500_000
+BLOCK = 2048
 MARK = "▁"
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % RUN)
 
 
-def words_of(text: str, most: int = 200_000) -> Iterator[list[str]]:
-    """The words of a text, in lists of bounded length."""
-    found = (m.group() for m in _WORD.finditer(text.lower()))
-    while part := list(islice(found, most)):
+def words_of(text: str, most: int = 1 << 20) -> Iterator[list[str]]:
+    """The words of a text, in lists of at most ``most`` letters or words."""
+    low = text.lower()
+    if len(low) <= most:
+        yield _WORD.findall(low)
+        return
+    found = (m.group() for m in _WORD.finditer(low))
+    while part := list(islice(found, most // 8)):
         yield part
 
 
@@ -65,76 +69,104 @@ def pieces_of(file: str) -> list[str]:
     return [m.id_to_piece(i) for i in range(m.get_piece_size())]
 
 
+class Edges:
+    """The pieces that occur in some words, as edges between positions; positions count over all words."""
+
+    def __init__(self, start: np.ndarray, size: np.ndarray, piece: np.ndarray, first: np.ndarray, width: np.ndarray):
+        order = np.argsort((start - first[start] + size) * len(first) + start)       # by the edges' end within their word, then by word
+        self.start, self.piece = start[order], piece[order]
+        self.end = self.start + size[order]
+        self.first, self.width = np.unique(first), width               # a word's positions: first .. first + width
+        at = self.end - first[self.start]
+        new = np.flatnonzero(np.concatenate(([True], self.end[1:] != self.end[:-1]))) if len(at) else np.zeros(0, dtype=np.int64)
+        self.runs = self._steps(new, at)
+
+    @staticmethod
+    def _steps(new: np.ndarray, at: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """Per step: its edges ``a..z`` and where, from ``a``, each node's edges begin."""
+        bounds = np.concatenate((np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))), [len(at)])) if len(at) else [0]
+        cut = np.searchsorted(new, bounds)
+        return [(int(a), int(z), new[i:j] - a) for a, z, i, j in zip(bounds[:-1], bounds[1:], cut[:-1], cut[1:])]
+
+
 class Segmenter:
     """Forward sums and expected counts over all segmentations of many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces) + 1                         # the last is the piece that never occurs: probability 0
+        self.n = len(pieces)
         self.unknown = pieces.index("<unk>")
-        useful = {p: i for i, p in enumerate(pieces) if p and all(c.isalpha() or c == MARK for c in p)}
-        self.longest = max((len(p) for p in useful), default=1)
-        self.table = {p[:k]: -1 for p in useful for k in range(1, len(p))} | useful
-
-    def spans(self, words: list[str]) -> np.ndarray:
-        """``[word, end, length - 1]``: the piece that ends there, or the last id."""
-        width = max(map(len, words)) + 1
-        out = np.full((len(words), width + 1, self.longest), self.n - 1, dtype=np.int32)
-        at, ids, get, longest = [], [], self.table.get, self.longest
-        for k, w in enumerate(words):
-            s, base = MARK + w, k * (width + 1)
-            n = len(s)
-            for i in range(n):
-                for e in range(i + 1, min(n, i + longest) + 1):
-                    p = get(s[i:e])
-                    if p is None:
-                        if e == i + 1:
-                            at.append((base + e) * longest)
-                            ids.append(self.unknown)
-                        break
-                    if p >= 0:
-                        at.append((base + e) * longest + e - i - 1)
-                        ids.append(p)
-                    elif e == i + 1:                     # only longer pieces begin so
-                        at.append((base + e) * longest)
-                        ids.append(self.unknown)
-        out.reshape(-1)[at] = ids
-        return out
+        self.useful = {p: i for i, p in enumerate(pieces) if p and all(c.isalpha() or c == MARK for c in p)}
+        node = {"": 0}
+        for p in sorted({p[:k] for p in self.useful for k in range(1, len(p) + 1)}):
+            node[p] = len(node)
+        arcs = sorted(((node[p[:-1]] << 21) | ord(p[-1]), k, self.useful.get(p, -1)) for p, k in node.items() if p)
+        self.arcs, self.target, self.ends = (np.array(c, dtype=np.int64) for c in zip(*arcs)) if arcs else (np.zeros(0, dtype=np.int64),) * 3
+
+    def edges(self, words: list[str]) -> Edges:
+        width = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        code = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        upto = np.cumsum(width)
+        limit, base = np.repeat(upto, width), np.repeat(upto - width, width)
+        pos, node, found, k = np.arange(len(code)), np.zeros(len(code), dtype=np.int64), [], 0
+        while len(pos) and len(self.arcs):
+            want = (node << 21) | code[pos + k]
+            arc = np.minimum(np.searchsorted(self.arcs, want), len(self.arcs) - 1)
+            ok = self.arcs[arc] == want
+            piece = np.where(ok, self.ends[arc], -1)
+            k += 1
+            if k == 1:
+                piece[piece < 0] = self.unknown          # a character is a piece, known or not
+            hit = piece >= 0
+            found.append((pos[hit], np.full(int(hit.sum()), k), piece[hit]))
+            pos, node = pos[ok], self.target[arc[ok]]
+            more = pos + k < limit[pos]
+            pos, node = pos[more], node[more]
+        if not len(self.arcs):
+            found.append((pos, np.ones(len(pos), dtype=np.int64), np.full(len(pos), self.unknown)))
+        start, size, piece = (np.concatenate(c) for c in zip(*found))
+        # a word of width w has w + 1 positions
+        word = np.repeat(np.arange(len(words)), width)
+        return Edges(start + word[start], size, piece, *self._positions(base, word, width))
+
+    @staticmethod
+    def _positions(base: np.ndarray, word: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.cumsum(width + 1) - width - 1
+        return np.repeat(first, width + 1), width
 
     def forward(self, words: list[str], prob: np.ndarray, keep: bool = False):
-        """Log probabilities ``[word, language]``; ``keep``: also each span's share of the sum at its end."""
-        spans = self.spans(words)
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        langs = prob.shape[1]
-        window = np.zeros((len(words), self.longest, langs))       # sums at the last positions, relative to the last
-        window[:, 0] = 1
-        total = np.zeros((len(words), langs))
-        shares = np.zeros((len(words), spans.shape[1], self.longest, langs)) if keep else None
-        for i in range(1, spans.shape[1]):
-            on = size >= i
-            part = window * prob[spans[:, i]]
-            step = part.sum(axis=1)
-            step[~on] = 1
-            total += np.log(step)
+        """Log probabilities ``[word, language]``; ``keep``: also the edges, each with its share of the sum at its end."""
+        e = self.edges(words)
+        logs = np.zeros((int(e.width.sum()) + len(words), prob.shape[1]))        # log forward sums by position
+        shares = np.zeros((len(e.start), prob.shape[1])) if keep else None
+        for a, z, at in e.runs:
+            end = e.end[a:z]
+            part = prob[e.piece[a:z]] * np.exp(logs[e.start[a:z]] - logs[end - 1])
+            step = np.add.reduceat(part, at)
+            logs[end[at]] = logs[end[at] - 1] + np.log(step)
             if keep:
-                shares[:, i] = np.where(on[:, None, None], part / step[:, None], 0)
-            window[:, 1:] = window[:, :-1] / step[:, None]
-            window[:, 0] = 1
-        return (total, spans, size, shares) if keep else total
+                shares[a:z] = part / np.repeat(step, np.diff(np.concatenate((at, [z - a]))), axis=0)
+        total = logs[e.first + e.width]
+        return (total, e, shares) if keep else total
 
     def expected(self, words: list[str], weights: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected piece counts ``[piece, language]`` of words that occur ``weights[word, language]`` times."""
-        _, spans, size, shares = self.forward(words, prob, keep=True)
-        out = np.zeros(prob.shape)
-        mass = np.zeros((len(words), spans.shape[1], prob.shape[1]))
-        mass[np.arange(len(words)), size] = weights
-        for i in range(spans.shape[1] - 1, 0, -1):
-            part = shares[:, i] * mass[:, i][:, None]
-            for k in range(min(i, self.longest)):
-                mass[:, i - 1 - k] += part[:, k]
-            ids = spans[:, i].reshape(-1)
-            for lang in range(prob.shape[1]):
-                out[:, lang] += np.bincount(ids, weights=part[:, :, lang].reshape(-1), minlength=self.n)
-        return out
+        _, e, shares = self.forward(words, prob, keep=True)
+        positions, out = int(e.width.sum()) + len(words), []
+        for lang in range(prob.shape[1]):                # one language at a time: plain vectors
+            flow, mass = np.ascontiguousarray(shares[:, lang]), np.zeros(positions)
+            mass[e.first + e.width] = weights[:, lang]
+            for a, z, _ in reversed(e.runs):             # all that ends later has been passed down
+                flow[a:z] *= mass[e.end[a:z]]
+                np.add.at(mass, e.start[a:z], flow[a:z])
+            out.append(np.bincount(e.piece, weights=flow, minlength=self.n))
+        return np.stack(out, axis=1)
+
+
+def block_of(words: list[str], at: int, langs: int) -> list[str]:
+    """Words from ``at`` on, shorter ones first, as many as a bounded array of sums takes."""
+    end = at + BLOCK
+    longest = len(words[min(end, len(words)) - 1])
+    return words[at:at + max(1, min(BLOCK, (1 << 18) // (longest * langs)))]
 
 
 class Model:
@@ -148,19 +180,26 @@ class Model:
 
     def ready(self) -> None:
         if not hasattr(self, "known"):
-            self.segmenter, self.known, self.rows = Segmenter(self.pieces), {}, np.zeros((0, len(self.langs)))
+            self.segmenter, self.known, self.rows = Segmenter(self.pieces), {}, np.zeros((1 << 16, len(self.langs)))
 
     def log_probs(self, words: list[str]) -> np.ndarray:
-        """``[distinct word, language]`` for the cache, filled for ``words``; positions are in ``known``."""
-        new = {w for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS and self.known:
-            self.known, self.rows, new = {}, self.rows[:0], set(words)
-        if new:
-            todo = sorted(new, key=len)
-            got = [self.segmenter.forward(todo[s:s + BLOCK], self.prob) for s in range(0, len(todo), BLOCK)]
-            self.known.update(zip(todo, range(len(self.known), len(self.known) + len(todo))))
-            self.rows = np.concatenate([self.rows, *got])
-        return self.rows
+        """``[word, language]``, through a bounded table of known words."""
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = {w for w, k in zip(words, at) if k is None}
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known, new = {}, set(words)
+            todo, done = sorted(new, key=len), 0
+            while len(self.known) + len(todo) > len(self.rows):
+                self.rows = np.concatenate([self.rows, self.rows])
+            while done < len(todo):
+                part = block_of(todo, done, len(self.langs))
+                n = len(self.known)
+                self.rows[n:n + len(part)] = self.segmenter.forward(part, self.prob)
+                self.known.update(zip(part, range(n, n + len(part))))
+                done += len(part)
+            at = list(map(self.known.__getitem__, words))
+        return self.rows[at]
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         if not self.langs:
@@ -169,12 +208,15 @@ class Model:
         sums = np.zeros((len(texts), len(self.langs)))
         letters = np.zeros(len(texts), dtype=bool)
         short: list[tuple[int, list[str]]] = []
+        waiting = 0
         for k, t in enumerate(texts):
             for part in words_of(t.decode()):
-                letters[k] = letters[k] or any(c.isalpha() for w in part for c in w)
+                letters[k] = letters[k] or any(map(str.isalpha, part)) or any(c.isalpha() for w in part for c in w)
                 short.append((k, part))
-                if sum(len(p) for _, p in short) > TABLE_WORDS:
+                waiting += len(part)
+                if waiting > TABLE_WORDS:
                     self._add(short, sums)
+                    waiting = 0
         self._add(short, sums)
         z = self.prior + sums
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -185,10 +227,9 @@ class Model:
     def _add(self, parts: list[tuple[int, list[str]]], sums: np.ndarray) -> None:
         every = [w for _, p in parts for w in p]
         if every:
-            rows = self.log_probs(every)
-            at = np.fromiter(map(self.known.__getitem__, every), dtype=np.int64, count=len(every))
-            who = np.repeat([k for k, _ in parts], [len(p) for _, p in parts])
-            np.add.at(sums, who, rows[at])
+            some = [(k, len(p)) for k, p in parts if p]
+            first = np.cumsum([0] + [n for _, n in some[:-1]])
+            np.add.at(sums, [k for k, _ in some], np.add.reduceat(self.log_probs(every), first))
         parts.clear()
 
 
@@ -220,18 +261,16 @@ def _expect(batches: Iterator[pa.RecordBatch], pieces: list[str], langs: list[st
     s, total = Segmenter(pieces), np.zeros(prob.shape)
     number = {x: k for k, x in enumerate(langs)}
     for b in slices(batches, 4 * BLOCK):
-        rows = sorted(zip(b.column("word").to_pylist(), b.column("counts").to_pylist()), key=lambda r: len(r[0]))
-        at = 0
-        while at < len(rows):
-            # long words in smaller blocks: the shares of a block are bounded
-            end = at + max(1, min(BLOCK // 4, (1 << 17) // (len(rows[min(at + BLOCK // 4, len(rows)) - 1][0]) * len(langs))))
-            block = rows[at:end]
-            weights = np.zeros((len(block), len(langs)))
-            for k, (_, counts) in enumerate(block):
-                for c in counts:
+        counts = dict(zip(b.column("word").to_pylist(), b.column("counts").to_pylist()))
+        todo, at = sorted(counts, key=len), 0
+        while at < len(todo):
+            part = block_of(todo, at, len(langs))
+            weights = np.zeros((len(part), len(langs)))
+            for k, w in enumerate(part):
+                for c in counts[w]:
                     weights[k, number[c["lang"]]] = c["n"]
-            total += s.expected([w for w, _ in block], weights, prob)
-            at = end
+            total += s.expected(part, weights, prob)
+            at += len(part)
     piece, lang = np.nonzero(total)
     if len(piece):
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(total[piece, lang])], names=["piece", "lang", "count"])
@@ -250,17 +289,13 @@ def fit(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text",
     types = rows.where("text is not null").select("lang", "text").mapInArrow(_count, "lang string, word string, n long") \
         .groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("counts"))
     types = scratch.write(types, "types")
-    n = len(pieces) + 1
-    prob = np.full((n, len(langs)), 1 / len(pieces))
-    prob[-1] = 0
+    prob = np.full((len(pieces), len(langs)), 1 / len(pieces))
     for _ in range(rounds):
         now = prob
         sums = types.mapInArrow(lambda it: _expect(it, pieces, langs, now), "piece long, lang long, count double") \
             .groupBy("piece", "lang").agg(F.sum("count").alias("count")).toArrow()      # at most pieces x languages
-        count = np.zeros((n, len(langs)))
-        count[sums["piece"].to_numpy(), sums["lang"].to_numpy()] = sums["count"].to_numpy()
-        count[:-1] += alpha
-        count[-1] = 0
+        count = np.full(prob.shape, alpha)
+        count[sums["piece"].to_numpy(), sums["lang"].to_numpy()] += sums["count"].to_numpy()
         prob = count / count.sum(axis=0)
     scratch.clear()
     prior = np.array([share[x] for x in langs], dtype=np.float64)
