@@ -5,7 +5,7 @@
    equal sets are one class from here on; only classes are joined.
 2. Trees.  The root of a tree branches each class on one of its minwise
    tokens, and a node is the classes that share the tokens on its path.  Nodes
-   of one class, or whose classes are all linked already, end.  A node of at most ``LEAF`` classes is
+   of one class, or whose pairs are all decided already, end.  A node of at most ``LEAF`` classes is
    compared exhaustively on the full sets.  A larger one branches each class
    on two more tokens, chosen by a hash of the path, so two classes of
    similarity s share 2s children on average and stay together with
@@ -14,7 +14,13 @@
 3. Independent trees repeat until a link at the threshold is missed with
    probability ``(1 - s * q) ** trees <= 1 - recall``.  The first tree compares its large
    nodes in random blocks that share one pivot, which joins big groups of
-   copies early; the later trees skip what is already one component.
+   copies early.  The nodes come in waves (the first tree, the
+   large nodes of the first two, the rest).
+   After each, a class has a mark: the largest node in which all pairs were
+   decided, else its component.  Classes of one mark are not compared again,
+   nodes of one mark end, and a larger node's most frequent mark is the side
+   that need not meet itself.  So a group of similar texts, linked or not, is
+   compared with itself once and not once a tree.
 4. Links are confirmed on full sets where they are found.  Connected components by large-star / small-star.
 
 Cases: null text is empty; a text without words has an empty set, is linked
@@ -45,6 +51,7 @@ LEAF = 512
 NODE = 2048
 DEPTH = 6
 RECALL = 0.99999
+FEW = 200_000
 
 _U = np.uint64
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, TOKENS, dtype=np.uint64) * _U(2) + _U(1)
@@ -52,9 +59,14 @@ _SIGNED = "uid long, doc_id long, text_key long, n long, key binary, tokens arra
 
 
 def trees_for(similarity: float, recall: float) -> int:
-    """Trees that find a link at ``similarity`` with probability ``recall`` or more."""
-    q = min(1.0, (2 * similarity - 1) / similarity ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity * q)))
+    """Trees that find a link at ``similarity`` with probability ``recall`` or more; at most ``TOKENS``, each with a root token of its own."""
+    if not 0.5 < similarity <= 1 or not 0 < recall < 1:
+        raise ValueError("the similarity must be above 0.5 and at most 1, the recall between 0 and 1")
+    found = similarity * min(1.0, (2 * similarity - 1) / similarity ** 2)
+    trees = 1 if found >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+    if trees > TOKENS:
+        raise ValueError(f"recall {recall} at similarity {similarity} needs {trees} trees, more than the {TOKENS} tokens")
+    return trees
 
 
 def _sets(texts: list[bytes], k: int):
@@ -172,32 +184,38 @@ class _Join:
 
     def __init__(self, spark, scratch: Scratch, rows: DataFrame, classes: DataFrame, percent: int, recall: float, k: int):
         self.spark, self.scratch, self.classes, self.percent, self.k = spark, scratch, classes, percent, k
-        self.trees = min(TOKENS, trees_for(percent / 100, recall))
+        self.trees = trees_for(percent / 100, recall)
         # similarity >= p / 100 between different sets needs a union of 1 / (1 - p / 100) shingles at least
         least = math.ceil(percent / (100 - percent)) if percent < 100 else 1
         roots = classes.where(F.col("n") >= least).select(
             "id", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), _step(F.lit(t).cast("long"), F.col("tokens"), F.lit(t)).alias("node"))
                                       for t in range(self.trees)])).alias("x")).select("id", "x.tree", "x.node")
-        self.roots = scratch.write(self.several(roots, same=None), "roots")
+        self.roots = scratch.write(self.several(roots, marks=None), "roots")
         wanted = self.roots.select("id").distinct().join(classes.select("id", "key", "text_key"), "id")
         texts = rows.join(wanted, "text_key").select("id", "key", "text")
         self.sets = scratch.write(texts.mapInArrow(lambda it: _shingled(it, k), "id long, set binary").dropDuplicates(["id"]), "sets")
         self.links: list[DataFrame] = []
+        self.decided: list[DataFrame] = []               # (id, size, node) of nodes in which every pair was decided
 
-    @staticmethod
-    def several(at: DataFrame, same: DataFrame | None) -> DataFrame:
-        """The rows of nodes with two or more classes that are not one component yet, with the node's ``size`` and ``low``."""
-        if same is not None:
-            at = at.select("id", "tree", "node").join(same, at.id == same.node_, "left").select("id", "tree", "node", F.coalesce("root_", "id").alias("root"))
+    def several(self, at: DataFrame, marks: DataFrame | None) -> DataFrame:
+        """The rows of nodes with classes of two or more marks, with the node's ``size`` and ``first`` class."""
+        if marks is not None:
+            at = at.select("id", "tree", "node").join(marks, at.id == marks.id_, "left").select(
+                "id", "tree", "node", F.coalesce("root_", "id").alias("root"), F.coalesce("mark_", F.xxhash64("id")).alias("mark"))
         else:
-            at = at.select("id", "tree", "node", F.col("id").alias("root"))
-        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("first"))
-        return at.join(sizes.where("low < high").select("node", "size", "low", "first"), "node")
+            at = at.select("id", "tree", "node", F.col("id").alias("root"), F.xxhash64("id").alias("mark"))
+        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.min("id").alias("first"))
+        # written: a join of two plain exchanges, whose hot nodes Spark may split
+        sizes = self.scratch.write(sizes.where("low < high").select("node", "size", "first"), "sizes")
+        return at.join(sizes, "node")
 
     def compare(self, at: DataFrame) -> None:
         """``at(node, id, side, root)``: each node's sets meet in one task, streamed node by node."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         percent = self.percent
+        at = self.scratch.write(at, "meet")
+        if at.count() <= FEW:                            # 32 bytes a row: broadcast, and the sets stay where they lie
+            at = F.broadcast(at)
         at = at.join(self.sets, "id").repartition(n, "node").sortWithinPartitions("node").select("node", "id", "side", "root", "set")
         self.links.append(self.scratch.write(at.mapInArrow(lambda it: _compare(it, percent), "a long, b long"), "links"))
 
@@ -209,10 +227,13 @@ class _Join:
         return mine.unionByName(pivot).select(F.xxhash64("node", "block").alias("node"), "id", F.lit(-1).alias("side"), "root")
 
     def pairs(self, at: DataFrame) -> DataFrame:
-        """Larger nodes block by block.  The component of the smallest root has blocks of its own, which need not meet each other."""
-        main = F.col("root") == F.col("low")
-        of = at.groupBy("node").agg(F.ceil(F.count_if(main) / (LEAF // 2)).alias("p"), F.ceil(F.count_if(~main) / (LEAF // 2)).alias("q"))
-        at = at.select("node", "id", "root", "low").join(of, "node")
+        """Larger nodes block by block.  The classes of the most frequent mark have blocks of their own, which need not meet each other."""
+        of = at.groupBy("node", "mark").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "mark")).alias("top"), F.sum("k").alias("size"))
+        half = LEAF // 2
+        of = self.scratch.write(of.select("node", F.col("top.mark").alias("most"), F.ceil(F.col("top.k") / half).alias("p"),
+                                          F.ceil((F.col("size") - F.col("top.k")) / half).alias("q")), "halves")
+        at = at.select("node", "id", "root", "mark").join(of, "node")
+        main = F.col("mark") == F.col("most")
         block = F.when(main, F.pmod(F.xxhash64("id", "node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id", "node"), F.col("q")))
         at = at.select("node", "id", "root", block.alias("block"), F.explode(F.sequence(F.when(main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)).alias("other"))
         lo, hi = F.least("block", "other"), F.greatest("block", "other")
@@ -226,24 +247,43 @@ class _Join:
             edges = edges.unionByName(x)
         return components(self.spark, self.scratch, edges).select(F.col("node").alias("node_"), F.col("root").alias("root_"))
 
-    def run(self) -> DataFrame:
-        first = self.roots.where("tree = 0")
-        small = first.where(F.col("size") <= LEAF).select("node", "id", F.lit(-1).alias("side"), "root")
-        self.compare(small.unionByName(self.blocks(first.where(F.col("size") > LEAF))))
-        same = self.scratch.write(self.together(), "same")
-        at = self.several(self.roots.select("id", "tree", "node"), same).where((F.col("tree") > 0) | (F.col("size") > LEAF))
+    def marks(self) -> DataFrame:
+        """``(id_, root_, mark_)``: each class's component and the largest node in which its pairs were decided, else its component."""
+        done = self.decided[0]
+        for x in self.decided[1:]:
+            done = done.unionByName(x)
+        done = done.groupBy("id").agg(F.max(F.struct("size", "node")).alias("d")).select("id", F.xxhash64(F.lit("node"), "d.node").alias("mark"))
+        same = self.together()
+        both = done.join(same, done.id == same.node_, "full")
+        return self.scratch.write(both.select(F.coalesce("id", "node_").alias("id_"), "root_", F.coalesce("mark", F.xxhash64(F.lit("root"), "root_")).alias("mark_")), "marks")
+
+    def wave(self, at: DataFrame, marks: DataFrame) -> None:
+        """Nodes ``(id, tree, node)`` and what grows below them."""
+        at = self.several(at, marks)
         for depth in range(DEPTH + 1):
             at = self.scratch.write(at, "nodes")
             down = F.col("size") > (NODE if depth < DEPTH else 1 << 62)
             small = at.where(F.col("size") <= LEAF).select("node", "id", F.lit(-1).alias("side"), "root")
             self.compare(small.unionByName(self.pairs(at.where((F.col("size") > LEAF) & ~down))))
+            self.decided.append(at.where(~down).select("id", "size", "node"))
             large = at.where(down)
             if not large.take(1):
                 break
             j = [F.pmod(F.xxhash64("node", F.lit(s)), F.lit(TOKENS)).cast("int") for s in (1, 2)]
             j[1] = F.when(j[0] == j[1], F.pmod(j[1] + 1, F.lit(TOKENS))).otherwise(j[1])
             large = large.select("id", "tree", "node").join(self.classes.select("id", "tokens"), "id")
-            at = self.several(large.select("id", "tree", F.explode(F.array(*[_step(F.col("node"), F.col("tokens"), x) for x in j])).alias("node")), same)
+            at = self.several(large.select("id", "tree", F.explode(F.array(*[_step(F.col("node"), F.col("tokens"), x) for x in j])).alias("node")), marks)
+
+    def run(self) -> DataFrame:
+        first = self.roots.where("tree = 0")
+        small = first.where(F.col("size") <= LEAF)
+        self.compare(small.select("node", "id", F.lit(-1).alias("side"), "root").unionByName(self.blocks(first.where(F.col("size") > LEAF))))
+        self.decided.append(small.select("id", "size", "node"))
+        rest = self.roots.select("id", "tree", "node", "size")
+        # the large nodes of the first two trees decide most pairs of big groups before the other nodes come
+        large = (F.col("tree") <= 1) & (F.col("size") > LEAF)
+        self.wave(rest.where(large), self.marks())
+        self.wave(rest.where(~large & (F.col("tree") > 0)), self.marks())
         return self.together()
 
 

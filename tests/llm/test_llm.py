@@ -102,6 +102,37 @@ def test_near_dup_against_brute_force(spark, odd_texts, monkeypatch, leaf, node,
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(odd_texts)
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_near_dup_at_other_similarities(spark, odd_texts, percent, monkeypatch):
+    for k, v in (("LEAF", 8), ("NODE", 16), ("DEPTH", 2)):
+        monkeypatch.setattr(near_dup, k, v)
+    recall = 0.999 if percent == 60 else near_dup.RECALL
+    got = near_dup.link(docs_of(spark, odd_texts), percent=percent, recall=recall).collect()
+    want = brute_components(odd_texts, percent)
+    missed = sum((want - Counter((r.doc_id, r.n_shingles, r.component_id) for r in got)).values())
+    assert missed <= 0.02 * len(odd_texts)
+
+
+@pytest.mark.parametrize("percent", [40, 50, 52, 101])
+def test_near_dup_refuses_what_it_can_not_reach(percent):
+    with pytest.raises(ValueError):
+        near_dup.trees_for(percent / 100, near_dup.RECALL)
+
+
+def test_near_dup_of_many_similar_unlinked_texts(spark):
+    """A group of alike texts, few of them linked, larger than a node: every link is found, and pairs are not compared once a tree."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(rng.randrange(3, 8)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10 ** 6)}"
+        texts.append((i, " ".join(w)))
+    got = near_dup.link(docs_of(spark, texts)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(texts)
+
+
 def brute_hits(text, items, window=10):
     find = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     w, hit, found = find(text), set(), set()
@@ -252,7 +283,7 @@ def test_pipeline_stages(spark):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     assert exact.columns == docs.columns and Counter(norm(r.text) for r in exact.collect()) == Counter({norm(r.text) for r in rows})
     near = P.near(spark, docs, SF)
-    want = brute_components([(r.doc_id, r.text) for r in rows])
+    want = brute_components([(r.doc_id, r.text) for r in rows], 80)
     assert {r.doc_id for r in near.collect()} == {d for d, _, c in want if d == c}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in P.clean(spark, docs, SF).collect()}
