@@ -415,6 +415,32 @@ def q_class_copies(spark, sf):
 QUERIES["class_copies"] = q_class_copies
 
 
+DIMS = 64
+NOISE = 0.01            # embedding readings nearer to 0 than this count as missing
+
+
+def embedding_columns(spark, sf) -> DataFrame:
+    """Embeddings as 64 columns ``d00`` .. ``d63``, readings below the noise floor NULL, and the label."""
+    def reading(k):
+        x = F.col("embedding")[k].cast("double")
+        return F.when(F.abs(x) >= NOISE, x).alias(f"d{k:02d}")
+    return _t(spark, sf, "embeddings").select("vec_id", "label", *[reading(k) for k in range(DIMS)])
+
+
+def q_corr_wide(spark, sf):
+    """All 2,016 pairs of the embedding dimensions, pairwise complete, in one scan."""
+    from tessera.operators import gram
+    return gram.corr_wide(embedding_columns(spark, sf), [f"d{k:02d}" for k in range(DIMS)])
+
+
+def q_corr_wide_with_label(spark, sf):
+    from tessera.operators import gram
+    return gram.corr_wide_with_label(embedding_columns(spark, sf), [f"d{k:02d}" for k in range(DIMS)], "label")
+
+
+QUERIES.update({"corr_wide": q_corr_wide, "corr_wide_with_label": q_corr_wide_with_label})
+
+
 # the scoring chain with given models: the weights are inputs of the query
 CHAIN = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CHAIN_IMPUTERS = {"l_tax": (["l_quantity", "l_extendedprice"], [0.0004, 1e-7], 0.025),

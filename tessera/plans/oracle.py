@@ -602,3 +602,23 @@ def score_chain_metrics():
 
 
 ORACLE.update({"score_chain_batch": score_chain("batch"), "score_chain_fitted": score_chain("fitted"), "score_chain_metrics": score_chain_metrics()})
+
+
+_EMBEDDED = (f"select vec_id, label, unnest(range({C.DIMS})) as k, unnest(embedding)::double as x from embeddings")
+_READINGS = f"select vec_id, label, 'd' || lpad(k::varchar, 2, '0') as name, x from ({_EMBEDDED}) where abs(x) >= {C.NOISE}"
+
+
+def corr_wide():
+    names = f"select 'd' || lpad(k::varchar, 2, '0') as name from (select unnest(range({C.DIMS})) as k)"
+    return (f"with r as ({_READINGS}), n as ({names}), "
+            "p as (select a.name as a, b.name as b, count(*) as n, corr(a.x, b.x) as c from r a join r b using (vec_id) where a.name < b.name group by 1, 2)\n"
+            "select x.name as column_a, y.name as column_b, coalesce(p.n, 0) as n_complete, round(p.c, 6) as corr "
+            "from n x join n y on x.name < y.name left join p on p.a = x.name and p.b = y.name")
+
+
+def corr_wide_with_label():
+    return (f"select name as column_name, count(*) filter (where label is not null) as n_complete, round(corr(x, label::double), 6) as corr "
+            f"from ({_READINGS}) group by 1")
+
+
+ORACLE.update({"corr_wide": corr_wide(), "corr_wide_with_label": corr_wide_with_label()})

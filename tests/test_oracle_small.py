@@ -20,7 +20,7 @@ FAST = ["zero_as_missing_profile", "required_dropna", "iqr_bounds", "outlier_fil
         "regression_metrics", "overfit_bucket", "domain_violations", "parse_inputs", "scored_export",
         "weighted_union", "fold_assignment", "predefined_split", "outlier_flags", "f1_stabilised",
         "train_val_comparison", "head_rows", "quality_profile", "row_lookup", "score_chain_batch", "score_chain_fitted",
-        "score_chain_metrics"]
+        "score_chain_metrics", "corr_wide", "corr_wide_with_label"]
 
 
 @pytest.fixture(scope="module")
