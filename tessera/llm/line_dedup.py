@@ -10,8 +10,8 @@ on the host are salted ``FAN`` ways (the small side is repeated), as one host
 may hold a third of all pages.
 
 Cases: a null url has the empty host, which is a host like any other; null
-html has no lines; hosts of fewer than ``min_pages`` pages drop nothing, as
-every line there is frequent; repeated pages count each time; an empty table
+html has no lines; a line of a
+single page is never boilerplate, so hosts of one page drop nothing; repeated pages count each time; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import own
 
 RATIO = 0.3
-MIN_PAGES = 5
 FAN = 16
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
@@ -42,9 +41,9 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """``(host, common)`` from ``pages(host, lines)``: the digests of lines on more than ``ratio`` of the host's pages."""
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     keys = pages.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))).alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = counts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(FAN)).cast("int"))
@@ -57,11 +56,11 @@ def _fanned(df: DataFrame) -> DataFrame:
 
 
 def drop_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-               ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+               ratio: float = RATIO) -> DataFrame:
     """Per page: ``page_id, host, n_lines, n_dropped, text`` (the lines that stay)."""
     p = own(pages, page_id, url, html).toDF("page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
     salted = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(FAN)).cast("int"))
-    out = salted.join(_fanned(boilerplate(p, ratio, min_pages)), ["host", "salt"], "left")
+    out = salted.join(_fanned(boilerplate(p, ratio)), ["host", "salt"], "left")
     none = F.array().cast("array<binary>")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.coalesce("common", none), F.unhex(F.md5(x))))
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(

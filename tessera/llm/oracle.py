@@ -12,7 +12,7 @@ OP1 = f"""
 WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{L.HOST}', 1)) AS host, {_LINES} AS lines FROM pages),
 t AS (SELECT host, count(*) AS n FROM p GROUP BY host),
 k AS (SELECT host, line, count(*) AS c FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
-b AS (SELECT host, list(line) AS common FROM k JOIN t USING (host) WHERE n >= {L.MIN_PAGES} AND c > 1 AND c > {L.RATIO}::DOUBLE * n GROUP BY host),
+b AS (SELECT host, list(line) AS common FROM k JOIN t USING (host) WHERE c > 1 AND c > {L.RATIO}::DOUBLE * n GROUP BY host),
 o AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x)) AS kept FROM p LEFT JOIN b USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
        sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM o

@@ -239,6 +239,8 @@ def test_line_dedup(spark):
     got = {(r.page_id, r.host): (r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_lines(pages).collect()}
     assert got[(4, "a.com")] == (3, 1, "page 4 says\nagain 2") and got[(20, "b.com")][1] == 0 and got[(21, "")][1] == 0 and got[(22, "a.com")] == (0, 0, "")
     assert line_dedup.drop_lines(pages.limit(0)).count() == 0
+    small = spark.createDataFrame([(n, f"http://c.com/{n}", page(n)) for n in range(4)] + [(9, "http://d.com", page(9) + "<p>" + "x" * 300_000 + "</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.n_dropped for r in line_dedup.drop_lines(small).collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 9: 0}
 
 
 def test_mixing_shares_siblings_first(spark):
