@@ -13,8 +13,10 @@ The pattern tables are broadcast in parts of at most ``part_bytes`` of
 benchmark text; a larger benchmark takes more parts, each searched over all
 documents, and the parts' hits are merged per document.
 
-Cases: null or wordless text has no words and no hits; null or wordless items
-are no patterns; repeated items count once per item id; a document repeated
+Cases: null or wordless text has no words and no hits; items of null or
+wordless text are no patterns; items without an id are searched like any other
+(hits, contamination) and count together as one item that has no place in the
+digest of ids; repeated items count once per item id; a document repeated
 in the table gives a row each time; an empty benchmark leaves every document
 clean; extra columns are ignored.
 """
@@ -22,7 +24,7 @@ clean; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ _PIECE = "uid long, doc_id long, n_words long, runs binary, items array<string>"
 class Patterns:
     """Shift tables and buckets of one part of the benchmark; one table per pattern length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         w = Words([t for _, t in items], ALNUM)
         first = np.searchsorted(w.doc, np.arange(len(items)))
         by: dict[int, dict[bytes, set[str]]] = {}
@@ -58,7 +60,7 @@ class Patterns:
         self.by_length = []
         for m, found in by.items():
             texts = list(found)
-            self.by_length.append((m, *self._tables(m, np.array([hs[m][t] for t in texts])), texts, [sorted(found[t]) for t in texts]))
+            self.by_length.append((m, *self._tables(m, np.array([hs[m][t] for t in texts])), texts, [list(found[t]) for t in texts]))
 
     @staticmethod
     def _tables(m: int, h: np.ndarray):
@@ -132,13 +134,13 @@ def _hits(patterns: Patterns, batches: Iterator[pa.RecordBatch]) -> Iterator[tup
                 else:
                     out.append([s, e])
             merged.append(out)
-        yield b, w, merged, [sorted(items.get(d, ())) for d in range(len(texts))]
+        yield b, w, merged, [_in_order(items.get(d, ())) for d in range(len(texts))]
 
 
 def parts_of(benchmark: DataFrame, item_id: str, text: str, window: int, part_bytes: int) -> list:
     """One broadcast of patterns per part; a part holds about ``part_bytes`` of item text."""
     spark = benchmark.sparkSession
-    b = own(benchmark, item_id, text).toDF("item_id", "text").where("text is not null and item_id is not null") \
+    b = own(benchmark, item_id, text).toDF("item_id", "text").where("text is not null") \
         .select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // part_bytes)
@@ -175,8 +177,12 @@ def _batch(cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def _in_order(items: Iterable[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def _digest(items: list[str | None]) -> str:
+    return hashlib.sha256(",".join(x for x in items if x is not None).encode()).hexdigest()
 
 
 def _rows(found) -> Iterator[pa.RecordBatch]:
@@ -200,7 +206,7 @@ def _merge(p):
     for s, e in spans:
         hit += max(0, e - max(s, upto))
         upto = max(upto, e)
-    items = sorted({x for r in p["items"] for x in r})
+    items = _in_order({x for r in p["items"] for x in r})
     return pd.DataFrame([[p["doc_id"].iloc[0], p["n_words"].iloc[0], hit, len(items), _digest(items), hit > 0, items]],
                         columns=[x.split()[0] for x in _OUT.split(", ")])
 
