@@ -1,13 +1,8 @@
-"""Token counts as a public tokenizer file gives them, with overlap resynchronisation for huge texts.
+"""Token counts as a public tokenizer file gives them, by overlap resynchronisation.
 
-Ordinary texts.  The tokenizer drops white space and never lets a token cross
-it, so an ASCII white-space byte is a stable boundary: a text's count is the
-sum over the pieces between such bytes.  A task encodes each distinct piece
-once (the library does the encoding) and keeps a bounded table of counts.
-
-Huge texts (over ``HUGE`` characters) are cut into overlapping chunks, which
-the library encodes with offsets.  Neighbouring encodings are spliced at a
-position in the overlap that is a token boundary in both, lies at least
+A text is cut into overlapping chunks of ``CHUNK`` characters, which the
+library encodes with offsets; a text within one chunk is that chunk's
+encoding.  Neighbouring encodings are spliced at a position in the overlap that is a token boundary in both, lies at least
 ``MARGIN`` characters from either chunk's edge, and is provably stable: white
 space, or an ASCII letter or digit followed by ASCII that is no letter, where
 the pre-tokenizer always cuts.  If an overlap holds no such position it is
@@ -25,7 +20,6 @@ from __future__ import annotations
 import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain
 from operator import itemgetter
 
 import pyarrow as pa
@@ -35,12 +29,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import own, small_batches
 
-HUGE = 65_536
-CHUNK = 16_384
+CHUNK = 4_096
 OVERLAP = 256
 MARGIN = 32
 LIMIT = 2048
-PIECES = 1_200_000
 
 _start, _end = itemgetter(0), itemgetter(1)
 
@@ -48,45 +40,25 @@ _start, _end = itemgetter(0), itemgetter(1)
 class Counter:
     """Counts with one loaded tokenizer; lives in a Python worker."""
 
-    def __init__(self, file: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, file: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.huge, self.chunk, self.overlap = huge, chunk, overlap
-        self.pieces: dict[bytes, int] = {}
+        self.chunk, self.overlap = chunk, overlap
         self.widened = 0
 
-    def counts(self, texts: list[bytes]) -> list[int]:
-        out, split = [0] * len(texts), {}
-        for i, t in enumerate(texts):
-            if len(t) > self.huge and len(s := t.decode()) > self.huge:
-                out[i] = self.spliced(s)
-            else:
-                split[i] = t.split()                     # ASCII white space
-        known = self.pieces
-        new = list({p for p in chain.from_iterable(split.values()) if p not in known})
-        if len(known) + len(new) > PIECES:               # bounded: start over, with what is needed now
-            known = self.pieces = {}
-            new = list(set(chain.from_iterable(split.values())))
-        # a piece is its lower-cased stem and a tail of full stops and commas, where the stem is ASCII (the tokenizer composes
-        # before it lowers) and a letter or digit ends it
-        stems = {p: (p[:len(r)].lower(), p[len(r):]) for p in new if b"<" not in p and (r := p.rstrip(b".,")) and r.isascii() and r[-1:].isalnum()}
-        todo = list({x for p in new for x in stems.get(p, (p,)) if x and x not in known})
-        for p, e in zip(todo, self.tokenizer.encode_batch_fast([p.decode() for p in todo], add_special_tokens=False)):
-            known[p] = len(e)
-        for p, (stem, tail) in stems.items():
-            known[p] = known[stem] + (known[tail] if tail else 0)
-        for i, ps in split.items():
-            out[i] = sum(map(known.__getitem__, ps))
-        return out
+    def counts(self, texts: list[str]) -> list[int]:
+        short = [t for t in texts if len(t) <= self.chunk]
+        one = iter(self.tokenizer.encode_batch_fast(short, add_special_tokens=False))
+        return [len(next(one)) if len(t) <= self.chunk else self.spliced(t) for t in texts]
 
     def offsets(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
         return [(a + s, a + e) for s, e in self.tokenizer.encode(text[a:b], add_special_tokens=False).offsets]
 
     def spliced(self, text: str) -> int:
-        """Tokens of a huge text: chunk by chunk, each spliced to the one before."""
+        """Tokens of a text of several chunks, each spliced to the one before."""
         n, at, done = len(text), 0, 0                    # ``done`` tokens end at or before the splice ``at``
         end = min(n, self.chunk)
         left = self.offsets(text, 0, end)
@@ -129,22 +101,22 @@ class Counter:
 _counters: dict[tuple, Counter] = {}
 
 
-def _run(batches: Iterator[pa.RecordBatch], file: str, huge: int, chunk: int, overlap: int, limit: int) -> Iterator[pa.RecordBatch]:
-    key = (file, huge, chunk, overlap)
+def _run(batches: Iterator[pa.RecordBatch], file: str, chunk: int, overlap: int, limit: int) -> Iterator[pa.RecordBatch]:
+    key = (file, chunk, overlap)
     if key not in _counters:
         _counters[key] = Counter(*key)
     c = _counters[key]
     for b in batches:
         texts = b.column(1)
         size = pc.fill_null(pc.binary_length(texts.cast(pa.binary())), 0)
-        n = c.counts([t or b"" for t in texts.cast(pa.binary()).to_pylist()])
+        n = c.counts([t or "" for t in texts.to_pylist()])
         yield pa.RecordBatch.from_arrays([b.column(0), size.cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                                          names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
 def count_tokens(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT,
-                 huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+                 chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_tokens, over_limit``.  ``file``: a tokenizer file that every executor has."""
     small_batches(docs.sparkSession)
     rows = own(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda it: _run(it, file, huge, chunk, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lambda it: _run(it, file, chunk, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
