@@ -176,6 +176,16 @@ def test_token_counts(spark):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == Counter((i, len((t or "").encode()), n(t), n(t) > 20) for i, t in texts)
 
 
+def test_quality_fm_on_the_held_out_fold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_fm.score(docs, quality_fm.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    accuracy = sum(r.predicted == r.quality for r in rows) / len(rows)
+    print("held out:", len(rows), accuracy, auc)
+    assert len(rows) > 50 and accuracy >= 0.9 and auc >= 0.98
+
+
 def test_quality_fm(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     machine = quality_fm.fit(docs, labels)
