@@ -7,7 +7,8 @@ a raw decision value when ``kind == "decision"``; the stack normalises those).
 * linear margin   -- ``LinearSVC`` with ``regParam = 1 / (C * n)``
 * kernel margin   -- random Fourier features ``sqrt(2/D) cos(Wx + b)``,
   ``W ~ N(0, 2*gamma)``, ``b ~ U[0, 2pi)`` (Rahimi & Recht), then ``LinearSVC``;
-  ``W`` and ``b`` are D x d literals in one array expression
+  the map is one matrix product an Arrow batch; grids of C and gamma in one
+  scan a step are ``tessera.operators.margins``
 * neural          -- ``MultilayerPerceptronClassifier``; class weights by row
   replication (it has no weight column)
 * nearest neighbours -- the exact grid KNN of ``tessera.operators.neighbors``
@@ -21,15 +22,17 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tessera.functions.numeric import sigmoid
-from tessera.operators import neighbors, profile
+from tessera.operators import margins, neighbors, profile
 from tessera.operators.stack import replicate_by_weight
 from tessera.session import checkpoint_dir
 
@@ -117,24 +120,20 @@ def fit_linear_svm(df: DataFrame, features: list[str], label: str, key: str, nam
 
 
 def rff_params(d: int, D: int, gamma: float, seed: int = 42) -> tuple[list[list[float]], list[float]]:
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(D, d))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=D)
-    return W.tolist(), b.tolist()
+    W, b = margins.frequencies(d, D, seed)
+    return (math.sqrt(gamma) * W).tolist(), b.tolist()
 
 
 def rff_transform(df: DataFrame, features: list[str], W, b, out: str) -> DataFrame:
-    """z = sqrt(2/D) cos(W x + b) as a vector column (one array expression)."""
-    D = len(b)
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in W])
-    bias = F.array(*[F.lit(float(v)) for v in b])
-    scale = math.sqrt(2.0 / D)
-    z = F.transform(F.arrays_zip(rows.alias("w"), bias.alias("b")),
-                    lambda wb: F.lit(scale) * F.cos(
-                        F.aggregate(F.zip_with(wb["w"], x, lambda a, y: a * y), F.lit(0.0), lambda s, v: s + v)
-                        + wb["b"]))
-    return df.withColumn(out, array_to_vector(z))
+    """z = sqrt(2/D) cos(W x + b) as a vector column: one matrix product an Arrow batch."""
+    W, b = np.asarray(W), np.asarray(b)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def mapped(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
+        return pd.Series(list(math.sqrt(2.0 / len(b)) * np.cos(x @ W.T + b)))
+
+    return df.withColumn(out, array_to_vector(mapped(*[F.col(c).cast("double") for c in features])))
 
 
 def fit_rbf_svm(df: DataFrame, features: list[str], label: str, key: str, name: str = "RSVM",
