@@ -29,6 +29,16 @@ def sigmoid(c: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(c)))
 
 
+def relu(c: Column | str) -> Column:
+    """``max(c, 0)``; NULL stays NULL (``greatest`` alone would give 0)."""
+    c = _c(c)
+    return F.when(c.isNotNull(), F.greatest(c.cast("double"), F.lit(0.0)))
+
+
+def tanh(c: Column | str) -> Column:
+    return F.tanh(_c(c))
+
+
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 

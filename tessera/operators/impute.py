@@ -87,9 +87,9 @@ def chained_impute(df: DataFrame, specs: list[dict]) -> tuple[DataFrame, dict]:
 
 
 def group_mean_fill(df: DataFrame, targets: list[str], by: str) -> DataFrame:
-    """Fill each target with the mean of its known values in the row's group."""
-    means = df.groupBy(by).agg(*[F.avg(t).alias(f"__m_{t}") for t in targets])
-    out = df.join(means, by, "left")
+    """Fill each target with the mean of its known values in the row's group; the rows without a group are one group."""
+    means = df.groupBy(F.col(by).alias("__by")).agg(*[F.avg(t).alias(f"__m_{t}") for t in targets])
+    out = df.join(means, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
     for t in targets:
         out = (out.withColumn(flag_name(t), F.col(t).isNull())
                .withColumn(t, F.coalesce(F.col(t), F.col(f"__m_{t}"))))

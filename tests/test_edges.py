@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import numeric
 from tessera.operators import impute, learners, neighbors, quantiles, split
 
 
@@ -112,3 +113,16 @@ def test_thresholds_by_joins_equal_thresholds_by_broadcast(spark, monkeypatch):
     assert {tuple(r) for r in split.stratified_split(df, "key", "y", 0.25, 1).collect()} == a
     empty = split.stratified_split(df.where("key < 0"), "key", "y")
     assert empty.count() == 0 and empty.columns == ["key", "y", "split"]
+
+
+def test_group_mean_fill_fills_the_rows_without_a_group(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, None, 4.0), (4, None, None), (5, "b", None)], "key long, g string, t double")
+    got = {r["key"]: (r["t"], r["t_imputed"]) for r in impute.group_mean_fill(df, ["t"], "g").collect()}
+    assert got == {1: (1.0, False), 2: (1.0, True), 3: (4.0, False), 4: (4.0, True), 5: (None, True)}
+
+
+def test_activations(spark):
+    df = spark.createDataFrame([(-2.0,), (0.0,), (3.0,), (None,)], "x double")
+    got = df.select(numeric.relu("x"), numeric.tanh("x")).collect()
+    assert [r[0] for r in got] == [0.0, 0.0, 3.0, None]
+    assert [r[1] for r in got][:3] == pytest.approx([math.tanh(v) for v in (-2.0, 0.0, 3.0)]) and got[3][1] is None
