@@ -6,20 +6,25 @@
    A range sort by (cell, distance) cuts every cell, however hot, into blocks
    of at most ``block_rows`` rows, each a ring ``lo .. hi`` around the pivot.
 2. **Bound.** The k-th distance to the sample bounds a query's true k-th
-   distance.  The query then meets the ring of its own cell that it lies in,
-   which gives a second bound; the smaller one counts.
-3. **Search.** By the triangle inequality a block with ``d(q, pivot) - hi`` or
-   ``lo - d(q, pivot)`` above the bound holds no neighbour: whole cells are
-   skipped by their largest distance, then single blocks.  A block and at most
-   ``block_rows`` of its visitors meet in one cogrouped numpy task, and a
-   partial top-k per query merges the blocks' best rows.
+   distance.  By the triangle inequality a block with ``d(q, pivot) - hi`` or
+   ``lo - d(q, pivot)`` above the bound holds no neighbour.
+3. **Search.** Queries of neighbouring cells form groups of bounded size, and a
+   block goes once to each group in which a query may need it.  A task holds
+   its group's queries and their best ``k`` rows so far and streams the blocks
+   past them, nearest first, so the bounds tighten on the way and blocks are
+   skipped query by query.  What is written grows with the rows times the number of
+   groups, never with query-block pairs, and each query leaves ``k`` rows.
+4. **Screen.** Within a block, Chebyshev candidates are the rows inside the
+   query's box, by bit sets over cuts of every dimension; Euclidean and cosine
+   candidates come from one matrix product.  Both only err on the side of more
+   candidates; distances themselves are then computed as defined.
 
 The triangle inequality is that of the metric itself where it is one; for
 Minkowski with p < 1 the Chebyshev distance, never larger, stands in, and for
 cosine the Euclidean distance of unit vectors (``sqrt(2 * distance)``; a zero
 vector stays zero).  The result is exact, ties broken by training key.  The
-driver holds the sample, the pivots and one row per cell: all bounded by
-parameters.  Work follows the structure of the data: where every distance is
+driver holds the sample, the pivots and one row per block (at most ``BLOCKS``
+and a few per partition and cell): all bounded by parameters.  Work follows the structure of the data: where every distance is
 alike, no exact search can skip much, and the blocks bound each task.
 """
 
@@ -39,6 +44,12 @@ from tessera.session import cut_lineage
 SAMPLE = 4096
 PIVOTS = 256
 CELL_ROWS = 128
+BLOCKS = 1 << 16
+GROUP_ROWS = 1 << 16         # queries a task holds,
+GROUP_BEST = 1 << 22         # and rows found for them
+PIECE = 8192                 # training rows screened at once
+CUTS = 64
+FEW = 200_000
 _MINKOWSKI = ("chebyshev", "manhattan", "cityblock", "l1", "euclidean", "l2", "minkowski")
 
 
@@ -145,6 +156,7 @@ class PivotIndex:
             raise ValueError("vectors of different lengths")
         first = train.select("vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()      # bounded
         self.rows, self.sample = n, _matrix(first.column("vec"))
+        self.block_rows = block_rows = max(block_rows, math.ceil(n / BLOCKS))
         self.pivots = farthest_first(self.sample, min(pivots, math.ceil(n / CELL_ROWS)), self.gauge)
         self.key_type = dict(train.dtypes)["key"]
         label = F.col("label").cast("double") if "label" in train.columns else F.lit(None).cast("double")
@@ -153,7 +165,8 @@ class PivotIndex:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                d = np.nan_to_num(gauge.gauge(_matrix(b.column("vec")), pv), nan=np.inf) if b.num_rows else np.zeros((0, 1))
+                V = _matrix(b.column("vec"))
+                d = np.nan_to_num(np.concatenate([gauge.gauge(V[a:a + 256], pv) for a in range(0, len(V), 256)]), nan=np.inf) if b.num_rows else np.zeros((0, 1))
                 cell = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])],
                                                  names=["key", "vec", "label", "cell", "at"])
@@ -165,71 +178,142 @@ class PivotIndex:
         row = place.bitwiseAND(F.lit((1 << 33) - 1))
         self.table = cut_lineage(placed.withColumn("part", place - row + F.floor(row / block_rows)))
         self.blocks = self.table.groupBy("cell", "part").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"))
-        # one row per pivot
-        far = {r[0]: r[1] for r in self.blocks.groupBy("cell").agg(F.max("hi")).collect()}
-        self.far = np.array([far.get(c, -np.inf) for c in range(len(self.pivots))])
+        held = self.blocks.select("cell", "part", "lo", "hi").orderBy("cell", "part").toArrow()          # bounded
+        self.cell, self.part, self.lo, self.hi = (held.column(c).to_numpy() for c in ("cell", "part", "lo", "hi"))
+        self.far = np.full(len(self.pivots), -np.inf)
+        np.maximum.at(self.far, self.cell, self.hi)
 
-    def cells(self, queries: DataFrame, k: int, bounded: bool) -> DataFrame:
-        """``(q_key, qvec, r, cell, at, home)``: the cells within a query's bound; ``bounded``: ``queries`` bring their ``r``."""
+    def bound(self, queries: DataFrame, k: int) -> DataFrame:
+        """``(q_key, vec, r, home)``: each query's bound by the sample and the cell of its nearest pivot."""
         gauge, pv, far, sample = self.gauge, self.pivots, self.far, self.sample
-        key_type = dict(queries.dtypes)["key"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for s in range(0, b.num_rows, 256):
-                    part = b.slice(s, 256)
+                for s in range(0, b.num_rows, 64):       # 64 x 512: what a core's cache holds
+                    part = b.slice(s, 64)
                     Q = _matrix(part.column("vec"))
                     d = np.nan_to_num(gauge.gauge(Q, pv), nan=np.inf)
-                    if bounded:
-                        r = part.column("r").to_numpy(zero_copy_only=False)
-                    elif len(sample) >= k:
-                        r = np.partition(np.nan_to_num(gauge.distance(Q, sample), nan=np.inf), k - 1, axis=1)[:, k - 1]
+                    if len(sample) >= k:
+                        d_s = np.concatenate([gauge.distance(Q, sample[a:a + 512]) for a in range(0, len(sample), 512)], axis=1)
+                        r = np.partition(np.nan_to_num(d_s, nan=np.inf), k - 1, axis=1)[:, k - 1]
                     else:
                         r = np.full(len(Q), np.inf)
                     home = np.argmin(np.where(np.isfinite(far), d, np.inf), axis=1)
-                    q, cell = np.nonzero((d - far[None, :] <= gauge.reach(r)[:, None]) & (far[None, :] > -np.inf))
-                    at = pa.array(q)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("key").take(at), part.column("vec").take(at), pa.array(r[q], pa.float64()), pa.array(cell.astype(np.int32)),
-                         pa.array(d[q, cell]), pa.array(home[q] == cell)], names=["q_key", "qvec", "r", "cell", "at", "home"])
-
-        columns = ["key", "vec", "r"] if bounded else ["key", "vec"]
-        return queries.select(*columns).mapInArrow(run, f"q_key {key_type}, qvec array<double>, r double, cell int, at double, home boolean")
-
-    def meet(self, visits: DataFrame, k: int) -> DataFrame:
-        """The best ``k`` rows of each visited block: ``(q_key, n_key, distance, label)``."""
-        rows = self.block_rows
-        often = visits.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("salts"))
-        q = visits.join(often, ["cell", "part"]).withColumn("salt", F.pmod(F.xxhash64("q_key"), F.col("salts")).cast("int")) \
-            .select("cell", "part", "salt", "q_key", "qvec", "r")
-        t = self.table.join(often, ["cell", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))) \
-            .select("cell", "part", "salt", "key", "vec", "label").toDF("t_cell", "t_part", "t_salt", "n_key", "tvec", "label")
-        gauge = self.gauge
-        schema = f"q_key {dict(visits.dtypes)['q_key']}, n_key {self.key_type}, distance double, label double"
-        return q.groupBy("cell", "part", "salt").cogroup(t.groupBy("t_cell", "t_part", "t_salt")).applyInArrow(lambda a, b: _best(a, b, gauge, k), schema)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(r, pa.float64()), pa.array(home.astype(np.int32))], names=["q_key", "vec", "r", "home"])
+
+        parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))          # a file may be one split
+        return queries.select("key", "vec").repartition(parts).mapInArrow(run, f"q_key {dict(queries.dtypes)['key']}, vec array<double>, r double, home int")
+
+    def _seen(self, Q: np.ndarray, r: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Cell by cell: ``(cell, queries, blocks, gap)``, the queries whose bound reaches the cell and their gaps ``[query, block]`` (within reach: 0 or more, else NaN)."""
+        d = np.nan_to_num(self.gauge.gauge(Q, self.pivots), nan=np.inf)
+        reach = self.gauge.reach(r)
+        first = np.searchsorted(self.cell, np.arange(len(self.pivots) + 1))
+        near = (d - self.far[None, :] <= reach[:, None]) & (self.far[None, :] > -np.inf)
+        for c in np.flatnonzero(near.any(axis=0)):
+            q, blocks = np.flatnonzero(near[:, c]), np.arange(first[c], first[c + 1])
+            gap = _gap(d[q, c][:, None], self.lo[blocks][None, :], self.hi[blocks][None, :])
+            yield int(c), q, blocks, np.where(gap <= reach[q][:, None], gap, np.nan)
+
+    def cells(self, queries: DataFrame, k: int, bounded: bool = False) -> DataFrame:
+        """``(q_key, cell)``: the cells within a query's bound; ``bounded``: ``queries`` bring their ``r``."""
+        return self._each(queries, k, bounded, lambda c, q, blocks, gap: (q, np.full(len(q), c)), "cell")
 
     def visits(self, queries: DataFrame, k: int) -> DataFrame:
-        """``(q_key, qvec, r, cell, part)``: every block that may hold one of a query's ``k`` neighbours."""
-        near = self.cells(queries, k, bounded=False)
-        ring = F.broadcast(self.blocks) if self.rows <= (1 << 16) * self.block_rows else self.blocks     # at most 65,536 + parts + pivots rows
-        if self.rows <= len(self.sample):                # the sample's bound is the distance itself
-            return self._within(near, ring)
-        home = near.where("home").join(ring.select("cell", "part", "lo", "hi"), "cell").where((F.col("lo") <= F.col("at")) & (F.col("at") <= F.col("hi")))
-        first = self.meet(home.select("cell", "part", "q_key", "qvec", "r"), k).groupBy("q_key").agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("m"))
-        first = cut_lineage(first.where(F.col("m") >= k).select("q_key", "d"))
-        return self._within(near.join(first, "q_key", "left").withColumn("r", F.least("r", F.coalesce("d", "r"))), ring)
-
-    def _within(self, near: DataFrame, ring: DataFrame) -> DataFrame:
-        reach = self.gauge.reach(F.col("r"))
-        seen = near.join(ring.select("cell", "part", "lo", "hi"), "cell").where((F.col("at") - F.col("hi") <= reach) & (F.col("lo") - F.col("at") <= reach))
-        return seen.select("cell", "part", "q_key", "qvec", "r")
+        """``(q_key, part)``: every block within a query's bound."""
+        part = self.part
+
+        def of(c, q, blocks, gap):
+            i, j = np.nonzero(gap >= 0)
+            return q[i], part[blocks[j]]
+
+        return self._each(queries, k, False, of, "part")
+
+    def _each(self, queries: DataFrame, k: int, bounded: bool, of, name: str) -> DataFrame:
+        key_type = dict(queries.dtypes)["key"]
+        rows = queries.select(F.col("key").alias("q_key"), "vec", "r") if bounded else self.bound(queries, k).select("q_key", "vec", "r")
+        index = self._light()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in range(0, b.num_rows, 256):
+                    part = b.slice(s, 256)
+                    for seen in index._seen(_matrix(part.column("vec")), part.column("r").to_numpy(zero_copy_only=False)):
+                        q, x = of(*seen)
+                        yield pa.RecordBatch.from_arrays([part.column("q_key").take(pa.array(q)), pa.array(x.astype(np.int64))], names=["q_key", name])
+
+        return rows.mapInArrow(run, f"q_key {key_type}, {name} long")
+
+    def _light(self) -> PivotIndex:
+        """The index without its frames, for tasks."""
+        out = object.__new__(PivotIndex)
+        for name in ("gauge", "pivots", "cell", "part", "lo", "hi", "far"):
+            setattr(out, name, getattr(self, name))
+        return out
+
+    def grouped(self, queries: DataFrame, k: int) -> tuple[DataFrame, int]:
+        """``(group, q_key, vec, r)``, written once, and the number of groups: a small cell's queries stay together, a large one's are dealt by key."""
+        spark = queries.sparkSession
+        rows = cut_lineage(self.bound(queries, k))
+        count = np.zeros(len(self.pivots), dtype=np.int64)
+        for r in rows.groupBy("home").count().collect():                 # one row per pivot
+            count[r[0]] = r[1]
+        n = int(count.sum())
+        most = max(1, min(GROUP_ROWS, GROUP_BEST // k))
+        groups = max(math.ceil(n / most), min(2 * spark.sparkContext.defaultParallelism, math.ceil(n / 256)), 1)
+        size = max(1, math.ceil(n / groups))
+        start, width = np.zeros(len(count), dtype=np.int64), np.ones(len(count), dtype=np.int64)
+        group, room = 0, size
+        for c in _chain(self.pivots, self.gauge):
+            if count[c] > room and room < size:
+                group, room = group + 1, size
+            start[c], width[c] = group, max(1, math.ceil(count[c] / size))
+            if count[c] >= room:
+                group, room = group + int(width[c]), size
+            else:
+                room -= count[c]
+        first, wide = (F.element_at(F.lit([int(x) for x in v]), F.col("home") + 1) for v in (start, width))
+        return rows.select((first + F.pmod(F.xxhash64("q_key"), wide)).cast("int").alias("group"), "q_key", "vec", "r"), group + 1
+
+    def wanted(self, rows: DataFrame) -> DataFrame:
+        """``(group, cell, part, gap)``: the blocks that a query of the group may need, with the smallest gap."""
+        index = self._light()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                of = b.column("group").to_numpy()
+                for g in np.unique(of):
+                    mine = np.flatnonzero(of == g)
+                    Q, r = _matrix(b.column("vec").take(pa.array(mine))), b.column("r").to_numpy()[mine]
+                    least = np.full(len(index.part), np.inf)
+                    for s in range(0, len(Q), 256):
+                        for _, _, blocks, gap in index._seen(Q[s:s + 256], r[s:s + 256]):
+                            least[blocks] = np.fmin(least[blocks], np.fmin.reduce(gap, axis=0))
+                    at = np.flatnonzero(least < np.inf)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, dtype=np.int32)), pa.array(index.cell[at]), pa.array(index.part[at]), pa.array(least[at])],
+                                                     names=["group", "cell", "part", "gap"])
+
+        return rows.mapInArrow(run, "group int, cell int, part long, gap double").groupBy("group", "cell", "part").agg(F.min("gap").alias("gap"))
+
+    def meet(self, rows: DataFrame, groups: int, k: int) -> DataFrame:
+        """The best ``k`` rows of every query: ``(q_key, n_key, distance, label)``."""
+        key_type = dict(rows.dtypes)["q_key"]
+        blank = F.lit(None)
+        wanted = cut_lineage(self.wanted(rows))
+        if wanted.count() <= FEW:                        # 24 bytes a row: the blocks stay where they lie
+            wanted = F.broadcast(wanted)
+        t = self.table.join(wanted, ["cell", "part"]).select("group", "gap", "cell", "part", blank.cast(key_type).alias("q_key"), F.col("key").alias("n_key"), "vec", blank.cast("double").alias("r"), "label")
+        q = rows.select("group", F.lit(-1.0).alias("gap"), F.lit(-1).alias("cell"), F.lit(-1).cast("long").alias("part"), "q_key", blank.cast(self.key_type).alias("n_key"), "vec", "r", blank.cast("double").alias("label"))
+        dealt = q.unionByName(t).repartitionById(groups, "group").sortWithinPartitions("group", "gap", "cell", "part")
+        index = self._light()
+        return dealt.mapInArrow(lambda it: _stream(it, index, k), f"q_key {key_type}, n_key {self.key_type}, distance double, label double")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """``(q_key, rank, n_key, distance[, label])``."""
         if not len(self.pivots):
             found = queries.sparkSession.createDataFrame([], f"q_key {dict(queries.dtypes)['key']}, n_key {self.key_type}, distance double, label double")
         else:
-            found = self.meet(self.visits(queries, k), k)
+            found = self.meet(*self.grouped(queries, k), k)
         w = Window.partitionBy("q_key").orderBy("distance", "n_key")
         out = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
         if "label" in self.train.columns:
@@ -248,35 +332,195 @@ def knn(train: DataFrame, queries: DataFrame, k: int, metric: str = "chebyshev",
     return PivotIndex(train, metric, p, block_rows).search(queries, k)
 
 
-def _best(q: pa.Table, t: pa.Table, gauge: Gauge, k: int, chunk: int = 128) -> pa.Table:
-    """Per block: distances in numpy, the first ``k`` per query by (distance, key) within its bound.
-
-    ``np.partition`` finds each query's k-th distance; only the candidates up
-    to it are ordered.
-    """
-    T, Q = _matrix(t.column("tvec")), _matrix(q.column("qvec"))
-    found: list[tuple] = []
-    if len(T) and len(Q):
-        radius = q.column("r").to_numpy()
-        rank = np.empty(len(T), dtype=np.int64)          # the keys' order, whatever their type
-        rank[pa.compute.sort_indices(t.column("n_key")).to_numpy()] = np.arange(len(T))
-        kk = min(k, len(T))
-        for s in range(0, len(Q), chunk):
-            D = gauge.distance(Q[s:s + chunk], T)
-            r = radius[s:s + chunk, None]
-            D = np.where(D <= r * (1 + 1e-9) + 1e-12, D, np.inf)
-            kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-            qi, ti = np.nonzero((D <= kth[:, None]) & np.isfinite(D))
-            d = D[qi, ti]
-            order = np.lexsort((rank[ti], d, qi))        # by query, distance, key
-            qi, ti, d = qi[order], ti[order], d[order]
-            first = np.flatnonzero(np.concatenate(([True], qi[1:] != qi[:-1]))) if len(qi) else np.zeros(0, dtype=np.int64)
-            pos = np.arange(len(qi)) - np.repeat(first, np.diff(np.concatenate((first, [len(qi)]))))
-            keep = pos < k
-            found.append((qi[keep] + s, ti[keep], d[keep]))
-    qi, ti, d = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, dtype=np.int64) for c in range(3))
-    return pa.table([q.column("q_key").take(pa.array(qi)), t.column("n_key").take(pa.array(ti)), pa.array(d, pa.float64()), t.column("label").take(pa.array(ti))],
-                    names=["q_key", "n_key", "distance", "label"])
+def _gap(at, lo, hi):
+    """The least distance that the triangle inequality leaves between a query at ``at`` from a pivot and the ring ``lo .. hi``."""
+    return np.maximum(np.maximum(at - hi, lo - at), 0.0)
+
+
+def _chain(pivots: np.ndarray, gauge: Gauge) -> list[int]:
+    """The pivots in an order in which each is followed by the nearest one left."""
+    out, left = [0], set(range(1, len(pivots)))
+    d = gauge.gauge(pivots, pivots)
+    while left:
+        out.append(min(left, key=lambda c: d[out[-1], c]))
+        left.remove(out[-1])
+    return out
+
+
+def _pairs(gauge: Gauge, Q, T):
+    """Distances of rows ``Q[i]`` and ``T[i]``, term by term as in :func:`_np_dist`."""
+    if gauge.metric == "cosine":
+        n = np.sqrt((Q * Q).sum(1)) * np.sqrt((T * T).sum(1))
+        return 1.0 - np.divide((Q * T).sum(1), n, out=np.zeros(len(Q)), where=n > 0)
+    out = np.zeros(len(Q))
+    for s in range(0, len(Q), PIECE):
+        x = np.abs(Q[s:s + PIECE] - T[s:s + PIECE])
+        out[s:s + PIECE] = _np_dist(gauge.metric, gauge.p, x, np.zeros((1, x.shape[1])))[:, 0]
+    return out
+
+
+class _Screen:
+    """Candidate pairs within the queries' bounds among the rows ``T`` of a piece."""
+
+    def __init__(self, gauge: Gauge, T: np.ndarray, queries: int):
+        self.gauge, self.T = gauge, T
+        self.box = gauge.metric == "chebyshev" and len(T) >= 256 and queries >= 64 and T.shape[1] > 0 and np.isfinite(T).all()
+        if self.box:                                     # bit sets of the rows below each cut, dimension by dimension
+            inner = np.sort(T, axis=0)[np.linspace(0, len(T) - 1, CUTS).astype(int)[1:-1]]
+            self.cuts = np.vstack([np.full(T.shape[1], -np.inf), inner, np.full(T.shape[1], np.inf)])
+            wide = -(-len(T) // 64) * 64
+            below = np.zeros((T.shape[1], len(self.cuts), wide), dtype=bool)
+            for j in range(T.shape[1]):
+                np.less(T[None, :, j], self.cuts[:, j:j + 1], out=below[j, :, :len(T)])
+            self.below = np.packbits(below, axis=-1, bitorder="little").view(np.uint64)
+        elif gauge.metric in ("euclidean", "l2"):
+            self.V, self.norm = T, (T * T).sum(1)
+        elif gauge.metric == "cosine":
+            self.V, self.norm = _unit(T), None
+
+    def within(self, Q: np.ndarray, r: np.ndarray):
+        """``(query, row, distance)`` of the pairs within ``r``."""
+        limit = r * (1 + 1e-9) + 1e-12
+        parts = [self._box(Q, limit)] if self.box else [self._dense(Q[s:s + 128], limit[s:s + 128], s) for s in range(0, len(Q), 128)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _checked(self, Q, limit, q, t):
+        found = []
+        for s in range(0, len(q), 1 << 16):              # bounded, whatever the bounds let through
+            i, j = q[s:s + (1 << 16)], t[s:s + (1 << 16)]
+            d = _pairs(self.gauge, Q[i], self.T[j])
+            ok = (d <= limit[i]) & np.isfinite(d)
+            found.append((i[ok], j[ok], d[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (q, t, np.zeros(0))
+
+    def _box(self, Q, limit):
+        dims = np.arange(Q.shape[1])
+        reach = (limit * (1 + 1e-9) + 1e-300)[:, None]
+        low, high = Q - reach, Q + reach
+        low, high = low - np.abs(low) * 1e-15, high + np.abs(high) * 1e-15
+        lo, hi = (np.empty(Q.shape, dtype=np.int64) for _ in range(2))
+        for j in dims:
+            lo[:, j] = np.maximum(np.searchsorted(self.cuts[:, j], low[:, j], side="right") - 1, 0)
+            hi[:, j] = np.minimum(np.searchsorted(self.cuts[:, j], high[:, j], side="right"), len(self.cuts) - 1)
+        found, qs, ts, held = [], [], [], 0
+        for i in range(len(Q)):
+            inside = np.bitwise_and.reduce(self.below[dims, hi[i]] ^ self.below[dims, lo[i]], axis=0)
+            words = np.flatnonzero(inside)
+            if not len(words):
+                continue
+            bits = np.unpackbits(inside[words].view(np.uint8).reshape(len(words), 8), axis=1, bitorder="little")
+            w, bit = np.nonzero(bits)
+            qs.append(np.full(len(w), i))
+            ts.append(words[w] * 64 + bit)
+            held += len(w)
+            if held >= 1 << 16:
+                found.append(self._checked(Q, limit, np.concatenate(qs), np.concatenate(ts)))
+                qs, ts, held = [], [], 0
+        if held:
+            found.append(self._checked(Q, limit, np.concatenate(qs), np.concatenate(ts)))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _dense(self, Q, limit, at: int):
+        gauge = self.gauge
+        if not hasattr(self, "V"):
+            D = gauge.distance(Q, self.T)
+            q, t = np.nonzero((D <= limit[:, None]) & np.isfinite(D))
+            return q + at, t, D[q, t]
+        if gauge.metric == "cosine":
+            far = (1.0 - _unit(Q) @ self.V.T) > (limit + 1e-9)[:, None]
+        else:
+            own = (Q * Q).sum(1)[:, None] + self.norm[None, :]
+            far = own - 2.0 * (Q @ self.V.T) - 1e-9 * own > (limit * limit)[:, None]
+        q, t = np.nonzero(~far)                          # not-a-number stays a candidate
+        q, t, d = self._checked(Q, limit, q, t)
+        return q + at, t, d
+
+
+class _Group:
+    """A group's queries and the best ``k`` rows of each so far, by (distance, key)."""
+
+    def __init__(self, index: PivotIndex, k: int, batches: list[pa.RecordBatch]):
+        q = pa.Table.from_batches(batches)
+        self.index, self.k, self.keys, self.Q = index, k, q.column("q_key").combine_chunks(), _matrix(q.column("vec"))
+        self.r = q.column("r").to_numpy().copy()
+        self.at = np.nan_to_num(index.gauge.gauge(self.Q, index.pivots), nan=np.inf)
+        self.best: list[tuple] = []                      # (query, distance, key, label)
+        self.pending, self.held, self.open = 0, 0, []
+        self.share = 16 if index.gauge.metric in ("chebyshev", "euclidean", "l2", "cosine") else 2
+
+    def add(self, cell: int, block: int, piece: pa.RecordBatch) -> None:
+        """Rows of one block.  Where many queries need them they are gathered to ``PIECE`` rows first: screens are cheap, bare distances are not."""
+        gap = _gap(self.at[:, cell], self.index.lo[block], self.index.hi[block])
+        active = np.flatnonzero(gap <= self.index.gauge.reach(self.r))
+        if self.share * len(active) > len(self.Q):
+            self.open.append(piece)
+            if sum(p.num_rows for p in self.open) >= PIECE:
+                self.flush()
+        elif len(active):
+            self.screen(active, pa.Table.from_batches([piece]))
+
+    def flush(self) -> None:
+        if self.open:
+            self.screen(np.arange(len(self.Q)), pa.Table.from_batches(self.open))
+            self.open = []
+
+    def screen(self, active: np.ndarray, rows: pa.Table) -> None:
+        screen = _Screen(self.index.gauge, _matrix(rows.column("vec")), len(active))
+        for s in range(0, len(active), 1024):
+            mine = active[s:s + 1024]
+            q, t, d = screen.within(self.Q[mine], self.r[mine])
+            if len(q):
+                t = pa.array(t)
+                self.best.append((mine[q], d, rows.column("n_key").take(t).combine_chunks(), rows.column("label").take(t).combine_chunks()))
+                self.pending += len(q)
+                if self.pending >= max(self.held, 1 << 18):
+                    self.settle()
+
+    def settle(self) -> None:
+        """Keep the best ``k``; a query that has ``k`` is bounded by its last."""
+        if not self.pending:
+            return
+        q, d = (np.concatenate([b[c] for b in self.best]) for c in (0, 1))
+        key, label = (pa.concat_arrays([b[c] for b in self.best]) for c in (2, 3))
+        rank = np.empty(len(q), dtype=np.int64)          # the keys' order, whatever their type
+        rank[pa.compute.sort_indices(key, null_placement="at_start").to_numpy()] = np.arange(len(q))
+        order = np.lexsort((rank, d, q))
+        q, d = q[order], d[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        pos = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate((first, [len(q)]))))
+        keep = pos < self.k
+        last = pos == self.k - 1
+        self.r[q[last]] = np.minimum(self.r[q[last]], d[last])
+        at = pa.array(order[keep])
+        self.best, self.pending, self.held = [(q[keep], d[keep], key.take(at), label.take(at))], 0, int(keep.sum())
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        self.flush()
+        self.settle()
+        for q, d, key, label in self.best:
+            yield pa.RecordBatch.from_arrays([self.keys.take(pa.array(q)), key, pa.array(d, pa.float64()), label], names=["q_key", "n_key", "distance", "label"])
+
+
+def _stream(batches: Iterator[pa.RecordBatch], index: PivotIndex, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (group, gap, cell, part), a group's queries before its blocks."""
+    now, queries, group = None, [], None
+    block = {(int(c), int(p)): i for i, (c, p) in enumerate(zip(index.cell, index.part))}
+    for b in batches:
+        g, cell, part = (b.column(c).to_numpy() for c in ("group", "cell", "part"))
+        edge = np.flatnonzero((np.diff(g) != 0) | (np.diff(cell) != 0) | (np.diff(part) != 0)) + 1
+        for s, e in zip(np.concatenate(([0], edge)), np.concatenate((edge, [b.num_rows]))) if b.num_rows else ():
+            if g[s] != now:
+                if group is not None:
+                    yield from group.result()
+                now, queries, group = g[s], [], None
+            piece = b.slice(s, e - s)
+            if cell[s] < 0:
+                queries.append(piece)
+                continue
+            group = group or _Group(index, k, queries)
+            group.add(int(cell[s]), block[int(cell[s]), int(part[s])], piece)
+    if group is not None:
+        yield from group.result()
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, k: int = 22, metric: str = "chebyshev",

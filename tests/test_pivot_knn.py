@@ -73,3 +73,31 @@ def test_string_keys(spark):
     train = spark.createDataFrame([("b", [0.0], 1), ("a", [0.0], 0), ("c", [1.0], 1)], "key STRING, vec ARRAY<DOUBLE>, label INT")
     got = neighbors.knn(train, spark.createDataFrame([("q", [0.0])], "key STRING, vec ARRAY<DOUBLE>"), 2).collect()
     assert sorted((r["rank"], r["n_key"]) for r in got) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("metric,p", [("chebyshev", 2.0), ("euclidean", 2.0)])
+def test_structureless_rows_are_streamed_past_groups(spark, metric, p):
+    """Every query needs nearly every block: blocks go once to a group, and each query leaves k rows, not k a block."""
+    rng = np.random.default_rng(3)
+    pts = rng.integers(-24, 24, size=(900, 16)) / 8      # exact in binary: ties are ties
+    pts[700:740] = pts[0]
+    index = neighbors.PivotIndex(frame(spark, pts), metric, p, block_rows=100)
+    q = frame(spark, pts[:400], 9000, False)
+    rows, groups = index.grouped(q, 7)
+    assert groups <= 4 and rows.count() == 400
+    assert index.wanted(rows).count() <= groups * index.blocks.count()
+    met = index.meet(rows, groups, 7)
+    assert met.count() == 400 * 7
+    assert found(index.search(q, 7), 400, 9000) == brute(pts, pts[:400], 7, metric, p)
+
+
+def test_box_screen_finds_every_pair_within_its_bound():
+    rng = np.random.default_rng(4)
+    gauge = neighbors.Gauge("chebyshev", 2.0)
+    T, Q = rng.integers(-9, 9, size=(700, 5)) / 7, rng.integers(-9, 9, size=(80, 5)) / 7
+    r = rng.choice([0.0, 1 / 7, 3 / 7, 1.0, np.inf], size=80)
+    screen = neighbors._Screen(gauge, T, len(Q))
+    q, t, d = screen.within(Q, r)
+    D = gauge.distance(Q, T)
+    want = {(i, j) for i, j in zip(*np.nonzero(D <= r[:, None] * (1 + 1e-9) + 1e-12))}
+    assert screen.box and set(zip(q.tolist(), t.tolist())) == want and (d == D[q, t]).all()
