@@ -260,7 +260,7 @@ class PivotIndex:
             count[r[0]] = r[1]
         n = int(count.sum())
         most = max(1, min(GROUP_ROWS, GROUP_BEST // k))
-        groups = max(math.ceil(n / most), min(2 * spark.sparkContext.defaultParallelism, math.ceil(n / 256)), 1)
+        groups = max(math.ceil(n / most), min(spark.sparkContext.defaultParallelism, math.ceil(n / 256)), 1)
         size = max(1, math.ceil(n / groups))
         start, width = np.zeros(len(count), dtype=np.int64), np.ones(len(count), dtype=np.int64)
         group, room = 0, size
