@@ -5,8 +5,9 @@
    equal sets are one class from here on; only classes are joined.
 2. Trees.  The root of a tree branches each class on one of its minwise
    tokens, and a node is the classes that share the tokens on its path.  Nodes
-   of one class, or whose pairs are all decided already, end.  A node of at most ``LEAF`` classes is
-   compared exhaustively on the full sets.  A larger one branches each class
+   of one class, or whose pairs are all decided already, end.  A node of at most ``NODE`` classes is
+   compared exhaustively on the full sets, each of which travels to it once (in blocks
+   against blocks only if it has more than ``LEAF`` classes and ``HELD`` shingles).  A larger one branches each class
    on two more tokens, chosen by a hash of the path, so two classes of
    similarity s share 2s children on average and stay together with
    probability q = (2s - 1) / s**2 however deep the tree is.  At ``DEPTH`` the
@@ -18,7 +19,7 @@
    large nodes of the first two, the rest).
    After each, a class has a mark: the largest node in which all pairs were
    decided, else its component.  Classes of one mark are not compared again,
-   nodes of one mark end, and a larger node's most frequent mark is the side
+   nodes of one mark end, and a node's most frequent mark is the side
    that need not meet itself.  So a group of similar texts, linked or not, is
    compared with itself once and not once a tree.
 4. Links are confirmed on full sets where they are found.  Connected components by large-star / small-star.
@@ -49,6 +50,7 @@ SHINGLE = 5
 TOKENS = 32
 LEAF = 512
 NODE = 2048
+HELD = 1 << 21
 DEPTH = 6
 RECALL = 0.99999
 FEW = 200_000
@@ -108,8 +110,13 @@ def _shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 def _linked(ids: np.ndarray, sides: np.ndarray, roots: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Links between the sets of one node, as a forest: exhaustive comparison by a matrix product.
 
-    sides: only pairs of different sides count where both sides are given (-1: any pair).
+    sides: only pairs of different sides count; roots: sets of one root are linked already.
     """
+    _, side, k = np.unique(sides, return_inverse=True, return_counts=True)
+    main = side == k.argmax()                                # the largest side need not meet itself: its sets are columns only
+    order = np.argsort(main, kind="stable")
+    ids, side, roots, sets = ids[order], side[order], roots[order], [sets[i] for i in order.tolist()]
+    rows = len(sets) - int(main.sum()) or 1
     vals = [np.frombuffer(s, dtype="<u8") for s in sets]
     n = np.array([len(v) for v in vals])
     flat, inv = np.unique(np.concatenate(vals), return_inverse=True)
@@ -118,37 +125,30 @@ def _linked(ids: np.ndarray, sides: np.ndarray, roots: np.ndarray, sets: list[by
     keep = shared[inv]
     col = (np.cumsum(shared) - 1)[inv[keep]]
     who = who[keep]
-    inter = np.zeros((len(vals), len(vals)), dtype=np.int64)
+    inter = np.zeros((rows, len(vals)), dtype=np.int32)
     order = np.argsort(col, kind="stable")
     col, who = col[order], who[order]
-    step = 4096                                              # columns at a time: bounded memory whatever the texts' length
+    step = 1024                                              # columns at a time: bounded memory whatever the texts' length
     for c in range(0, int(shared.sum()), step):
         a, z = np.searchsorted(col, (c, c + step))
         x = np.zeros((len(vals), step), dtype=np.float32)
         x[who[a:z], col[a:z] - c] = 1
-        inter += (x @ x.T).astype(np.int64)
-    union = n[:, None] + n[None, :] - inter
-    ok = np.triu(100 * inter >= percent * union, 1) & (roots[:, None] != roots[None, :])
-    ok &= (sides[:, None] < 0) | (sides[:, None] != sides[None, :])
-    up = list(range(len(vals)))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+        inter += (x[:rows] @ x.T).astype(np.int32)
+    part = np.unique(roots, return_inverse=True)[1]
     out = []
-    for i, j in np.argwhere(ok).tolist():
-        a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((int(ids[i]), int(ids[j])))
+    for i in range(rows):
+        both = inter[i].astype(np.int64)
+        ok = (100 * both >= percent * (n[i] + n - both)) & (side != side[i])
+        parts, at = np.unique(part[ok], return_index=True)
+        for p, j in zip(parts.tolist(), np.flatnonzero(ok)[at].tolist()):
+            if p != part[i]:
+                part[part == p] = part[i]
+                out.append((int(ids[i]), int(ids[j])))
     return out
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``(node, id, side, root, set)`` sorted by node; a node has at most ``LEAF`` rows and a pivot."""
+    """Rows ``(node, id, side, root, set)`` sorted by node; a node's rows are held together."""
     now, rows = None, []
 
     def close():
@@ -179,6 +179,11 @@ def _step(node: Column, tokens: Column, j: Column) -> Column:
     return F.xxhash64(node, j, F.element_at(tokens, j + 1))
 
 
+def _small() -> Column:
+    """Whether a node's classes all meet in one task, which holds their sets."""
+    return (F.col("size") <= LEAF) | ((F.col("size") <= NODE) & (F.col("held") <= HELD))
+
+
 class _Join:
     """The join of one call: classes ``(id, n, key, text_key, tokens)`` in, links between class ids out."""
 
@@ -188,25 +193,26 @@ class _Join:
         # similarity >= p / 100 between different sets needs a union of 1 / (1 - p / 100) shingles at least
         least = math.ceil(percent / (100 - percent)) if percent < 100 else 1
         roots = classes.where(F.col("n") >= least).select(
-            "id", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), _step(F.lit(t).cast("long"), F.col("tokens"), F.lit(t)).alias("node"))
-                                      for t in range(self.trees)])).alias("x")).select("id", "x.tree", "x.node")
+            "id", "n", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), _step(F.lit(t).cast("long"), F.col("tokens"), F.lit(t)).alias("node"))
+                                      for t in range(self.trees)])).alias("x")).select("id", "n", "x.tree", "x.node")
         self.roots = scratch.write(self.several(roots, marks=None), "roots")
         wanted = self.roots.select("id").distinct().join(classes.select("id", "key", "text_key"), "id")
-        texts = rows.join(wanted, "text_key").select("id", "key", "text")
-        self.sets = scratch.write(texts.mapInArrow(lambda it: _shingled(it, k), "id long, set binary").dropDuplicates(["id"]), "sets")
+        # each text travels once; texts of one key (more than one only where hashes collide) are told apart by their digests
+        texts = rows.groupBy("text_key").agg(F.collect_set("text").alias("texts")).join(wanted, "text_key").select("id", "key", F.explode("texts").alias("text"))
+        self.sets = scratch.write(texts.mapInArrow(lambda it: _shingled(it, k), "id long, set binary"), "sets")
         self.links: list[DataFrame] = []
         self.decided: list[DataFrame] = []               # (id, size, node) of nodes in which every pair was decided
 
     def several(self, at: DataFrame, marks: DataFrame | None) -> DataFrame:
-        """The rows of nodes with classes of two or more marks, with the node's ``size`` and ``first`` class."""
+        """The rows of nodes with classes of two or more marks, with the node's ``size``, ``held`` shingles and ``first`` class."""
         if marks is not None:
-            at = at.select("id", "tree", "node").join(marks, at.id == marks.id_, "left").select(
-                "id", "tree", "node", F.coalesce("root_", "id").alias("root"), F.coalesce("mark_", F.xxhash64("id")).alias("mark"))
+            at = at.select("id", "n", "tree", "node").join(marks, at.id == marks.id_, "left").select(
+                "id", "n", "tree", "node", F.coalesce("root_", "id").alias("root"), F.coalesce("mark_", F.xxhash64("id")).alias("mark"))
         else:
-            at = at.select("id", "tree", "node", F.col("id").alias("root"), F.xxhash64("id").alias("mark"))
-        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.min("id").alias("first"))
+            at = at.select("id", "n", "tree", "node", F.col("id").alias("root"), F.xxhash64("id").alias("mark"))
+        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.min("id").alias("first"))
         # written: a join of two plain exchanges, whose hot nodes Spark may split
-        sizes = self.scratch.write(sizes.where("low < high").select("node", "size", "first"), "sizes")
+        sizes = self.scratch.write(sizes.where("low < high").select("node", "size", "held", "first"), "sizes")
         return at.join(sizes, "node")
 
     def compare(self, at: DataFrame) -> None:
@@ -219,15 +225,19 @@ class _Join:
         at = at.join(self.sets, "id").repartition(n, "node").sortWithinPartitions("node").select("node", "id", "side", "root", "set")
         self.links.append(self.scratch.write(at.mapInArrow(lambda it: _compare(it, percent), "a long, b long"), "links"))
 
+    def whole(self, at: DataFrame) -> DataFrame:
+        """Nodes that meet in one task, one row a class; classes of one mark need not meet."""
+        return at.select("node", "id", F.col("mark").alias("side"), "root")
+
     def blocks(self, at: DataFrame) -> DataFrame:
         """Large nodes in random blocks of about ``LEAF / 2``, the node's first class in each."""
         parts = F.ceil(F.col("size") / (LEAF // 2))
         mine = at.where("id <> first").select("node", "id", "root", F.pmod(F.xxhash64("id", "node"), parts).alias("block"))
         pivot = at.where("id = first").select("node", "id", "root", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("block"))
-        return mine.unionByName(pivot).select(F.xxhash64("node", "block").alias("node"), "id", F.lit(-1).alias("side"), "root")
+        return mine.unionByName(pivot).select(F.xxhash64("node", "block").alias("node"), "id", F.col("id").alias("side"), "root")
 
     def pairs(self, at: DataFrame) -> DataFrame:
-        """Larger nodes block by block.  The classes of the most frequent mark have blocks of their own, which need not meet each other."""
+        """Nodes too large to meet whole, block by block.  The classes of the most frequent mark have blocks of their own, which need not meet each other."""
         of = at.groupBy("node", "mark").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "mark")).alias("top"), F.sum("k").alias("size"))
         half = LEAF // 2
         of = self.scratch.write(of.select("node", F.col("top.mark").alias("most"), F.ceil(F.col("top.k") / half).alias("p"),
@@ -238,7 +248,7 @@ class _Join:
         at = at.select("node", "id", "root", block.alias("block"), F.explode(F.sequence(F.when(main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)).alias("other"))
         lo, hi = F.least("block", "other"), F.greatest("block", "other")
         return at.select(F.xxhash64("node", lo, hi).alias("node"), "id",
-                         F.when(F.col("block") == F.col("other"), F.lit(-1)).when(F.col("block") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"), "root")
+                         F.when(F.col("block") == F.col("other"), F.col("id")).when(F.col("block") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"), "root")
 
     def together(self) -> DataFrame:
         """``(node_, root_)``: components of the links so far."""
@@ -263,25 +273,24 @@ class _Join:
         for depth in range(DEPTH + 1):
             at = self.scratch.write(at, "nodes")
             down = F.col("size") > (NODE if depth < DEPTH else 1 << 62)
-            small = at.where(F.col("size") <= LEAF).select("node", "id", F.lit(-1).alias("side"), "root")
-            self.compare(small.unionByName(self.pairs(at.where((F.col("size") > LEAF) & ~down))))
+            self.compare(self.whole(at.where(_small())).unionByName(self.pairs(at.where(~_small() & ~down))))
             self.decided.append(at.where(~down).select("id", "size", "node"))
             large = at.where(down)
             if not large.take(1):
                 break
             j = [F.pmod(F.xxhash64("node", F.lit(s)), F.lit(TOKENS)).cast("int") for s in (1, 2)]
             j[1] = F.when(j[0] == j[1], F.pmod(j[1] + 1, F.lit(TOKENS))).otherwise(j[1])
-            large = large.select("id", "tree", "node").join(self.classes.select("id", "tokens"), "id")
-            at = self.several(large.select("id", "tree", F.explode(F.array(*[_step(F.col("node"), F.col("tokens"), x) for x in j])).alias("node")), marks)
+            large = large.select("id", "n", "tree", "node").join(self.classes.select("id", "tokens"), "id")
+            at = self.several(large.select("id", "n", "tree", F.explode(F.array(*[_step(F.col("node"), F.col("tokens"), x) for x in j])).alias("node")), marks)
 
     def run(self) -> DataFrame:
         first = self.roots.where("tree = 0")
-        small = first.where(F.col("size") <= LEAF)
-        self.compare(small.select("node", "id", F.lit(-1).alias("side"), "root").unionByName(self.blocks(first.where(F.col("size") > LEAF))))
+        small = first.where(_small())
+        self.compare(self.whole(small).unionByName(self.blocks(first.where(~_small()))))
         self.decided.append(small.select("id", "size", "node"))
-        rest = self.roots.select("id", "tree", "node", "size")
+        rest = self.roots.select("id", "n", "tree", "node", "size", "held")
         # the large nodes of the first two trees decide most pairs of big groups before the other nodes come
-        large = (F.col("tree") <= 1) & (F.col("size") > LEAF)
+        large = (F.col("tree") <= 1) & ~_small()
         self.wave(rest.where(large), self.marks())
         self.wave(rest.where(~large & (F.col("tree") > 0)), self.marks())
         return self.together()

@@ -102,6 +102,26 @@ def test_near_dup_against_brute_force(spark, odd_texts, monkeypatch, leaf, node,
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(odd_texts)
 
 
+@pytest.mark.parametrize("held", [near_dup.HELD, 0])
+def test_near_dup_sends_each_set_once_to_a_node(spark, monkeypatch, held):
+    """A group of alike, mostly unlinked texts larger than ``LEAF`` meets whole; only one with more than ``HELD`` shingles in blocks."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(240):
+        w = [f"w{k}" for k in range(60)]
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10 ** 6)}"
+        texts.append((i, " ".join(w)))
+    met, compare = [], near_dup._Join.compare
+    monkeypatch.setattr(near_dup, "LEAF", 20)
+    monkeypatch.setattr(near_dup, "HELD", held)
+    monkeypatch.setattr(near_dup._Join, "compare", lambda self, at: (met.append(at.count()), compare(self, at)))
+    got = near_dup.link(docs_of(spark, texts)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(texts)
+    if held:
+        assert sum(met) <= 7 * len(texts)
+
+
 @pytest.mark.parametrize("percent", [60, 80])
 def test_near_dup_at_other_similarities(spark, odd_texts, percent, monkeypatch):
     for k, v in (("LEAF", 8), ("NODE", 16), ("DEPTH", 2)):
