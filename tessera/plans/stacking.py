@@ -86,7 +86,8 @@ def prepare(df: DataFrame, cfg: StackConfig) -> tuple[dict, Artifacts]:
     ``test_given`` (for :func:`evaluate_imputers`)."""
     art = Artifacts(cfg)
     z = clean.zero_as_missing(df, cfg.zero_missing)
-    z = clean.drop_missing(z, cfg.required)
+    # written once: the split and the bounds pass over it many times, and the columns may be costly to make
+    z = cut_lineage(clean.drop_missing(z, cfg.required))
     s = split.stratified_split(z, cfg.key, cfg.label, cfg.test_fraction, cfg.seed)
     train, test = s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
     art.bounds = outliers.bounds_dict(outliers.iqr_bounds(train, cfg.features))

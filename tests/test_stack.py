@@ -111,3 +111,35 @@ def test_resume_after_phase_one(spark, trained):
     a = stacking.score(parts["test_set"], art, "fitted", raw=False).select("doc_id", "p_meta")
     b = stacking.score(parts["test_set"], back, "fitted", raw=False).selectExpr("doc_id", "p_meta p2")
     assert a.join(b, "doc_id").where("abs(p_meta - p2) > 1e-6").count() == 0
+
+
+def test_prepare_makes_its_input_once(spark):
+    """Split, bounds and imputers pass over a written table, not over the plan that makes the columns (a checkpoint runs it twice)."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(i):
+        made.add(1)
+        return float(i % 17)
+
+    rows = 300
+    df = spark.range(0, rows, 1, 2).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("label"),
+                                           costly("id").alias("a"), (F.col("id") % 13).cast("double").alias("b"))
+    cfg = stacking.StackConfig(features=["a", "b"], key="key", label="label", zero_missing=["b"], required=["a"],
+                               impute_specs=[dict(target="b", features=["a"], max_iter=1, max_depth=1)])
+    parts, _ = stacking.prepare(df, cfg)
+    assert parts["train_set"].count() + parts["test_set"].count() == rows
+    assert made.value <= 2 * rows
+
+
+def test_shares_count_characters(spark):
+    texts = ["", "a1B2, \U0001F600-Ü9", "...", "AB\n\n cd", "é1é2"]
+    text = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    path = tempfile.mkdtemp()
+    text.write.parquet(f"{path}/documents.parquet")
+    text.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{path}/labels.parquet")
+    got = {r.doc_id: r for r in models.doc_table(spark, path).collect()}
+    for i, t in enumerate(texts):
+        n = max(len(t), 1)
+        for name, chars in (("digit_share", "0123456789"), ("upper_share", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("punct_share", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")):
+            assert got[i][name] == pytest.approx(sum(c in chars for c in t) / n), (t, name)
