@@ -16,6 +16,10 @@ from tessera.session import checkpoint_dir
 
 
 BATCH_ROWS = 1000
+#: tables of at most so many narrow rows are broadcast; a task of a table of known length gets so many rows
+FEW = 200_000
+TASK_ROWS = 25_000
+LEAST_TASKS = 8
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -39,9 +43,11 @@ class Scratch:
         self._n += 1
         return f"{self.base}/{name}-{self._n}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: one job, no lineage behind the result."""
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: one job, no lineage behind the result.  ``rows``: at most so many, not worth more tasks than they need."""
         p = self.path(name)
+        if rows is not None:
+            df = df.coalesce(tasks(rows))
         df.write.parquet(p)
         out = self.spark.read.schema(df.schema).parquet(p)
         out._scratch_path = p
@@ -60,6 +66,10 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tasks(rows: int) -> int:
+    return max(LEAST_TASKS, -(-rows // TASK_ROWS))
+
+
 def own(df: DataFrame, *wanted: str) -> DataFrame:
     """The wanted columns only, so that extra columns can not clash with an operator's own names."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
@@ -74,26 +84,33 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataF
 
     Alternating large-star and small-star steps.  Both only take minima and
     rewire edges, so each is one grouped minimum and one join, whatever the
-    degree of a node.  Ends when a round changes no edge.
+    degree of a node.  Ends when a round changes no edge.  The minima of at most
+    ``FEW`` edges (16 bytes each) are broadcast, and no step has more tasks than its edges need.
     """
     e = scratch.write(edges.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    rows = e.count()
+
+    def minima(x: DataFrame) -> DataFrame:
+        # both directions of an edge at most
+        return F.broadcast(x.coalesce(tasks(2 * rows))) if rows <= FEW else x
+
     before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = minima(low.select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.write(large, "large", rows)
+        low = minima(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         ).select("x.u", "x.v").where("u > v").distinct()
-        new = scratch.write(small, "small")
+        new = scratch.write(small, "small", 2 * rows)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(large)
         scratch.drop(e)
-        e = new
+        e, rows = new, state[0]
         if state == before:
             break
         before = state

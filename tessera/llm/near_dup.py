@@ -6,7 +6,7 @@
 2. Trees.  The root of a tree branches each class on one of its minwise
    tokens, and a node is the classes that share the tokens on its path.  Nodes
    of one class, or whose pairs are all decided already, end.  A node of at most ``NODE`` classes is
-   compared exhaustively on the full sets, each of which travels to it once (in blocks
+   compared exhaustively on the full sets, each of which travels to it once, if a class of about its size is there (in blocks
    against blocks only if it has more than ``LEAF`` classes and ``HELD`` shingles).  A larger one branches each class
    on two more tokens, chosen by a hash of the path, so two classes of
    similarity s share 2s children on average and stay together with
@@ -40,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Scratch, components, own
+from tessera.llm._shared import FEW, Scratch, components, own
 from tessera.llm._words import NOT_SPACE, Words, chunks, shingles, slices
 
 SHINGLE = 5
@@ -53,7 +53,6 @@ NODE = 2048
 HELD = 1 << 21
 DEPTH = 6
 RECALL = 0.99999
-FEW = 200_000
 
 _U = np.uint64
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, TOKENS, dtype=np.uint64) * _U(2) + _U(1)
@@ -226,8 +225,14 @@ class _Join:
         self.links.append(self.scratch.write(at.mapInArrow(lambda it: _compare(it, percent), "a long, b long"), "links"))
 
     def whole(self, at: DataFrame) -> DataFrame:
-        """Nodes that meet in one task, one row a class; classes of one mark need not meet."""
-        return at.select("node", "id", F.col("mark").alias("side"), "root")
+        """Nodes that meet in one task, one row a class; classes of one mark need not meet.
+
+        A link needs set sizes of a ratio of ``percent`` at least, so a class whose neighbours in
+        order of size are both too small or too large is linked with nothing in the node and stays away."""
+        w = Window.partitionBy("node").orderBy("n")
+        at = at.withColumn("less", F.lag("n").over(w)).withColumn("more", F.lead("n").over(w))
+        near = (100 * F.col("less") >= self.percent * F.col("n")) | (100 * F.col("n") >= self.percent * F.col("more"))
+        return at.where(F.coalesce(near, F.lit(False))).select("node", "id", F.col("mark").alias("side"), "root")
 
     def blocks(self, at: DataFrame) -> DataFrame:
         """Large nodes in random blocks of about ``LEAF / 2``, the node's first class in each."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import catalog, chat_trees, decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dup, quality_fm, token_counts, warc_index
+from tessera.llm import _shared, catalog, chat_trees, decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dup, quality_fm, token_counts, warc_index
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid long, node string, label int, path string"
@@ -380,3 +381,44 @@ def test_mixing_gives_nothing_for_leaves_of_weight_zero(spark):
     weights = spark.createDataFrame([("x", 1), ("y", 1), ("x/a", 0)], "path string, weight long")
     got = mixing.mix(docs, ["d", "s"], weights, 0.48, max_epochs=1).groupBy("leaf").agg(F.count("*").alias("n")).collect()
     assert {r.leaf: r.n for r in got} == {"x/b": 1, "y/c": 9}
+
+
+def test_near_whole_nodes_hold_sizes_that_can_link(spark):
+    """In a node that meets whole, a class far from every other in size stays away; those at the ratio stay."""
+    join = near_dup._Join.__new__(near_dup._Join)
+    join.percent = 85
+    sizes = {1: [85, 100, 200], 2: [10, 20], 3: [7, 7], 4: [84, 100], 5: [9], 6: [10, 11, 12, 14]}
+    rows = [(node, 100 * node + i, n, 100 * node + i, 100 * node + i) for node, ns in sizes.items() for i, n in enumerate(ns)]
+    at = spark.createDataFrame(rows, "node long, id long, n long, mark long, root long")
+    assert sorted(r.id for r in join.whole(at).collect()) == [100, 101, 300, 301, 600, 601, 602, 603]
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_need_few_tasks(spark, monkeypatch, few):
+    monkeypatch.setattr(_shared, "FEW", few)
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(30)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        scratch = _shared.Scratch(spark, "test-components")
+        monkeypatch.setattr(scratch, "drop", lambda df: None)
+        found = _shared.components(spark, scratch, spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.root for r in found.collect()} == {x: find(x) for x in linked}
+        steps = [p for p in pathlib.Path(scratch.base.removeprefix("file:")).iterdir() if p.name.startswith(("large", "small"))]
+        assert steps and all(len(list(p.glob("part-*"))) <= _shared.LEAST_TASKS for p in steps)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
