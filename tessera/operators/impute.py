@@ -1,7 +1,8 @@
 """Model-based imputation with per-row flags.
 
 * ``fit_imputer`` / ``apply_imputer`` -- boosted regression trees
-  (``pyspark.ml`` ``GBTRegressor``) fitted on rows where the target is known,
+  (``pyspark.ml`` ``GBTRegressor``; with few features the same trees over the
+  cells of their bins, ``tessera.operators.binned``) fitted on rows where the target is known,
   applied with ``coalesce(target, prediction)`` so known cells never change.
 * ``chained_impute`` -- several targets in order, each later imputer seeing
   the earlier filled columns (the second target's model uses the first
@@ -21,6 +22,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import binned
 from tessera.operators.learners import linear
 from tessera.session import checkpoint_dir
 
@@ -39,6 +41,11 @@ def fit_imputer(df: DataFrame, target: str, features: list[str], *, max_iter: in
     """
     checkpoint_dir(df.sparkSession)          # the trees' periodic checkpoints need the shared folder
     known = df.where(F.col(target).isNotNull())
+    cells = binned.fit_cells(known, target, features, max_iter, subsampling, seed)
+    if cells is not None:
+        model = binned.pipeline(cells, binned.boost(cells, max_iter, max_depth, step_size, min_instances))
+        cells.done()
+        return model
     va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="error")
     gbt = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="__pred", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step_size, minInstancesPerNode=min_instances,
@@ -49,9 +56,10 @@ def fit_imputer(df: DataFrame, target: str, features: list[str], *, max_iter: in
 def apply_imputer(df: DataFrame, model: PipelineModel, target: str) -> DataFrame:
     """target := coalesce(target, prediction); adds ``<target>_imputed``."""
     out = model.transform(df)
+    made = [c for c in out.columns if c.startswith("__") and c not in df.columns]
     return (out.withColumn(flag_name(target), F.col(target).isNull())
             .withColumn(target, F.coalesce(F.col(target), F.col("__pred")))
-            .drop("__x", "__pred"))
+            .drop(*made))
 
 
 @dataclass
