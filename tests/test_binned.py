@@ -36,8 +36,14 @@ def test_cells_give_the_row_trees(spark, rows, monkeypatch):
     assert out.where("t IS NULL").count() == 0
 
 
-def test_search_over_cells_equals_row_fits(spark, rows):
-    got = search.imputer_tree_search([SETTING], [2, 4], rows, "t", ["a", "b"], "key", 2).collect()
+def test_search_over_cells_equals_row_fits(spark, rows, monkeypatch):
+    fitted = []
+    fit = GBTRegressor.fit
+    with monkeypatch.context() as m:
+        m.setattr(GBTRegressor, "fit", lambda self, df, *a: (fitted.append(self.getMaxIter()), fit(self, df, *a))[1])
+        got = search.imputer_tree_search([SETTING, dict(SETTING, maxDepth=2)], [2, 4], rows, "t", ["a", "b"], "key", 2).collect()
+    assert fitted == [1] * 4                 # the edges of two features and folds, shared by both settings
+    got = [r for r in got if r["setting"] == 0]
     known = split.hash_folds(rows.where("t IS NOT NULL"), "key", 2, 42)
     x = VectorAssembler(inputCols=["a", "b"], outputCol="__x").transform(known).cache()
     for r in got:
