@@ -5,70 +5,43 @@ rows whose features lie in the same bins take the same way in every tree and
 always carry the same prediction.  For few features there are few such cells,
 whatever the number of rows, and what a squared-error tree needs of a cell is
 the number and the sum of the targets drawn for it.  ``fit_cells`` therefore
-passes over the rows a fixed number of times instead of some times a tree and
-level, and ``boost`` grows the trees with ``DecisionTreeRegressor`` on the
-weighted cells.
+passes over the rows three times (their number, the sample of the candidate
+splits, the sums) instead of some times a tree and level, and ``boost`` grows
+the trees in one task on the sums.
 
 The model is the one ``GBTRegressor`` gives with the same seed on the same
-rows (up to the rounding of sums, which decides between splits of equal gain):
-
-* bin edges: the thresholds of a tree of Spark ML grown in full on one feature;
-  both take their candidate splits from the same seeded sample,
-* subsample: tree ``m`` draws a row where ``rand(seed + m + 1)`` lies below the
-  rate, which is the learner's own stream of each input partition,
-* ``minInstancesPerNode`` holds for drawn rows, as a weight of the node.
+rows (up to the rounding of sums, which decides between splits of equal gain);
+bin edges, draws and gains are those of ``tessera.operators.trees``, and
+``minInstancesPerNode`` holds for drawn rows, as a weight of the node.
 
 ``fit_cells`` returns None where it does not apply (more than ``MAX_FEATURES`` features, more cells than
-``MAX_VALUES`` allows, a feature without finite spread); callers then use ``GBTRegressor``.
+``MAX_VALUES`` allows, no rows or no finite bins); callers then grow the trees on rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
-from pyspark.ml.wrapper import JavaWrapper
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import staged
+from tessera.operators import trees as grown
 from tessera.session import checkpoint_dir, cut_lineage
 
-BINS = 32                       # maxBins of the trees
-FULL_DEPTH = 30                 # the deepest tree Spark ML grows
+BINS = grown.BINS
 MAX_FEATURES = 3                # with more, cells are about as many as rows
 MAX_VALUES = 1 << 23            # cells x trees held by a task (two doubles each)
-WORD = 60                       # draws packed in one long
+PIECE = 1 << 25                 # rows x trees summed at once (a byte each)
 OUT_ROWS = 1 << 16
 
 
-def bin_edges(known: DataFrame, features: list[str], seed: int) -> list[list[float]] | None:
-    """The candidate splits of each feature, as ``GBTRegressor`` takes them with this seed; None if they cannot be read off."""
-    row = known.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(f"`{c}`")).alias(f"{name}{i}") for i, c in enumerate(features)
-                                                    for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    out = []
-    for i, c in enumerate(features):
-        mean, spread = row[f"m{i}"], row[f"s{i}"]
-        if not row["n"] or mean is None or not math.isfinite(spread):
-            return None
-        if spread == 0:
-            out.append([])
-            continue
-        x = VectorAssembler(inputCols=[c], outputCol="__x", handleInvalid="error").transform(
-            known.select(c, ((F.col(f"`{c}`") - F.lit(mean)) / F.lit(spread)).alias("__y")))
-        tree = GBTRegressor(featuresCol="__x", labelCol="__y", maxIter=1, maxDepth=FULL_DEPTH, maxBins=BINS, seed=seed).fit(x)
-        if tree.trees[0].depth >= FULL_DEPTH:
-            return None
-        grown = staged.ensemble(known.sparkSession, tree)
-        out.append(sorted({float(t) for t in grown.threshold[grown.feature >= 0]}))
-    return out
-
-
 def bin_names(features: list[str]) -> list[str]:
     return [f"__b{i}" for i in range(len(features))]
 
@@ -80,64 +53,62 @@ def bucketizer(features: list[str], edges: list[list[float]]) -> Bucketizer:
     return Bucketizer(splitsArray=splits, inputCols=features, outputCols=bin_names(features), handleInvalid="error")
 
 
-def assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=bin_names(features), outputCol="__x", handleInvalid="error")
-
-
 @dataclass
 class Cells:
-    """Nonempty cells: ``__x`` (bins), arrays ``w`` and ``s`` (number and target sum of the rows drawn for each tree; one entry if all rows are)."""
+    """Nonempty cells: rows ``(cell, tree, w, s)``, the number and target sum of the rows drawn for each tree (tree 0 only if all rows are)."""
 
     table: DataFrame
     features: list[str]
     edges: list[list[float]]
-    totals: list[float]
+    columns: int
     trees: int
 
-    def done(self) -> None:
-        self.table.unpersist()
+    @property
+    def shape(self) -> list[int]:
+        return [len(e) + 1 for e in self.edges]
 
 
-def _words(draws: list[str]) -> list[Column]:
-    """Boolean columns packed into longs."""
-    out = []
-    for lo in range(0, len(draws), WORD):
-        word = F.lit(0).cast("long")
-        for i, d in enumerate(draws[lo:lo + WORD]):
-            word = word.bitwiseOR(F.when(F.col(d), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-        out.append(word.alias(f"w{lo // WORD}"))
-    return out
-
-
-def _cell_sums(edges: list[list[float]], trees: int, words: int):
-    """Arrow batches (y, features, the draws in ``words`` longs; none: all rows are drawn) -> rows (cell, tree, w, s), one a task, cell and tree."""
+def _cell_sums(edges: list[list[float]], seeds: list[int], rate: float):
+    """Arrow batches (partition, y, features) -> rows (cell, tree, w, s), one a task, cell and tree; without ``seeds`` all rows are drawn."""
     shape = [len(e) + 1 for e in edges]
     bounds = [np.array(e, dtype=np.float64) for e in edges]
+    trees = max(1, len(seeds))
+
+    piece = max(1, PIECE // trees)
 
-    def of(batches):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros((math.prod(shape), trees))
         s = np.zeros_like(w)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            y = b.column(0).to_numpy(zero_copy_only=False)
-            x = [b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(shape))]
-            if any(np.isnan(c).any() for c in x):
-                raise ValueError("features must not be NULL or NaN")
-            cell = np.ravel_multi_index([np.searchsorted(e, c) for e, c in zip(bounds, x)], shape) if shape else np.zeros(len(y), dtype=np.int64)
+        draws, held, rows = None, [], 0
+
+        def add() -> None:
+            cell, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             order = np.argsort(cell, kind="stable")
             at, first = np.unique(cell[order], return_index=True)
             y = y[order]
-            if not words:
+            if draws is None:
                 w[at, 0] += np.diff(np.append(first, len(y)))
                 s[at, 0] += np.add.reduceat(y, first)
-            for k in range(words):
-                lo, n = k * WORD, min(WORD, trees - k * WORD)
-                word = b.column(1 + len(shape) + k).to_numpy(zero_copy_only=False)[order]
-                drawn = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=n).astype(np.float64)
-                w[at, lo:lo + n] += np.add.reduceat(drawn, first, axis=0)
-                drawn *= y[:, None]
-                s[at, lo:lo + n] += np.add.reduceat(drawn, first, axis=0)
+                return
+            drawn, each = draws.take(len(y))[order], np.vstack([np.ones(len(y)), y])
+            for c, lo, hi in zip(at, first, np.append(first[1:], len(y))):   # one small product a cell
+                n, total = each[:, lo:hi] @ drawn[lo:hi].astype(np.float64)
+                w[c] += n
+                s[c] += total
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if draws is None and seeds:
+                draws = grown.Draws(seeds, rate, b.column(0)[0].as_py())
+            bins = grown.binned_batch(b, 2, bounds)
+            held.append((np.ravel_multi_index(bins, shape) if shape else np.zeros(b.num_rows, dtype=np.int64), b.column(1).to_numpy(zero_copy_only=False)))
+            rows += b.num_rows
+            if rows >= piece:
+                add()
+                held, rows = [], 0
+        if held:
+            add()
         for lo in range(0, w.shape[0], max(1, OUT_ROWS // trees)):
             ws, ss = w[lo:lo + max(1, OUT_ROWS // trees)], s[lo:lo + max(1, OUT_ROWS // trees)]
             at, tree = np.nonzero(ws)
@@ -154,59 +125,51 @@ def fit_cells(known: DataFrame, target: str, features: list[str], trees: int, su
     columns = 1 if subsampling == 1.0 else trees
     if len(features) > MAX_FEATURES or BINS ** len(features) * columns > MAX_VALUES:
         return None                 # before any pass over the rows
-    edges = bin_edges(known, features, seed)
-    if edges is None or math.prod(len(e) + 1 for e in edges) * columns > MAX_VALUES:
+    _, edges = grown.bin_edges(known, features, seed)
+    if edges is None:
         return None
-    draws = [] if subsampling == 1.0 else [(F.rand(seed + m + 1) < subsampling).alias(f"d{m}") for m in range(trees)]
-    rows = known.select(F.col(f"`{target}`").cast("double").alias("y"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)], *draws)
-    words = _words([f"d{m}" for m in range(len(draws))])
-    rows = rows.select("y", *[f"x{i}" for i in range(len(features))], *words)
-    sums = (rows.mapInArrow(_cell_sums(edges, columns, len(words)), "cell long, tree int, w double, s double")
+    rows = known.select(F.spark_partition_id().alias("p"), F.col(f"`{target}`").cast("double").alias("y"),
+                        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    seeds = [] if subsampling == 1.0 else [seed + m + 1 for m in range(trees)]
+    sums = (rows.mapInArrow(_cell_sums(edges, seeds, subsampling), "cell long, tree int, w double, s double")
             .groupBy("cell", "tree").agg(F.sum("w").alias("w"), F.sum("s").alias("s")))
-    found = sums.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("tree", "w"))).alias("w"),
-                                     F.map_from_entries(F.collect_list(F.struct("tree", "s"))).alias("s"))
-    bins, rest = [], F.col("cell")
-    for i in reversed(range(len(features))):
-        k = F.lit(len(edges[i]) + 1)
-        bins.append(((rest % k) + 1).cast("double").alias(bin_names(features)[i]))
-        rest = F.floor(rest / k)
+    return Cells(cut_lineage(sums), features, edges, columns, trees)
+
+
+def _cell_points(batches: Iterator[pa.RecordBatch], shape: list[int], columns: int) -> grown.Points:
+    w = np.zeros((columns, math.prod(shape)))
+    s = np.zeros_like(w)
+    for b in batches:
+        cell, tree, n, total = (c.to_numpy() for c in b.columns)
+        w[tree, cell], s[tree, cell] = n, total
+    full = np.flatnonzero(w.any(axis=0))
+    w, s = w[:, full], s[:, full]
+    bins = np.array(np.unravel_index(full, shape), dtype=np.uint8).reshape(len(shape), len(full))
+
+    def drawn(m: int):
+        n = w[m if columns > 1 else 0]
+        at = np.flatnonzero(n)
+        return at, n[at]
 
-    def by_tree(c: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda m: F.coalesce(F.try_element_at(F.col(c), m), F.lit(0.0))).alias(c)
+    def targets(m: int, at, prediction):
+        k = m if columns > 1 else 0
+        return s[k, at] if m == 0 else 2.0 * (s[k, at] - w[k, at] * prediction[at])
 
-    table = cut_lineage(found.select(*bins, by_tree("w"), by_tree("s")))
-    table = assembler(features).transform(table.coalesce(1 + math.prod(len(e) + 1 for e in edges) * columns // (1 << 20))).select("__x", "w", "s").persist()
-    totals = {r["m"]: r["t"] for r in table.select(F.posexplode("w").alias("m", "w")).groupBy("m").agg(F.sum("w").alias("t")).collect()}
-    return Cells(table, features, edges, [totals.get(m, 0.0) for m in range(columns)], trees)
+    return grown.Points(bins, shape, drawn, targets)
 
 
-def _ensemble(models: list, weights: list[float], spark: SparkSession) -> GBTRegressionModel:
-    """``GBTRegressionModel`` has a public constructor, which PySpark does not wrap."""
-    jvm = spark.sparkContext._jvm
-    trees = JavaWrapper._new_java_array([m._java_obj for m in models], jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel)
-    scale = JavaWrapper._new_java_array([float(w) for w in weights], jvm.double)
-    made = JavaWrapper._new_java_obj("org.apache.spark.ml.regression.GBTRegressionModel", f"gbtr_{models[0].uid}", trees, scale)
-    return GBTRegressionModel(made).setFeaturesCol("__x").setPredictionCol("__pred")
+def _boosted(cells: Cells, trees: int, max_depth: int, step_size: float, min_instances: int, thresholds: list[list[float]]) -> GBTRegressionModel:
+    shape, columns, least = cells.shape, cells.columns, float(max(1, min_instances))
+    # one task: what it holds is bounded by MAX_VALUES
+    nodes = cut_lineage(cells.table.coalesce(1).mapInArrow(
+        lambda it: grown.boosted(_cell_points(it, shape, columns), trees, max_depth, step_size, least), grown.NODES))
+    form = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="__pred", maxIter=trees, maxDepth=max_depth, stepSize=step_size, minInstancesPerNode=min_instances)
+    return grown.spark_model(nodes, thresholds, trees, step_size, form)
 
 
 def boost(cells: Cells, trees: int, max_depth: int, step_size: float, min_instances: int) -> GBTRegressionModel:
     """The first ``trees`` trees over the bins of ``cells`` (squared error, the first tree at full weight)."""
-    spark = cells.table.sparkSession
-    # so many bins that every bin of a feature is a candidate split and no cell is left out of the sample these come from
-    most = max(BINS, *[len(e) + 2 for e in cells.edges], math.isqrt(math.prod(len(e) + 1 for e in cells.edges)) + 1)
-    models, weights = [], []
-    for m in range(trees):
-        at = m if len(cells.totals) > 1 else 0
-        here = cells.table if m == 0 else _ensemble(models, weights, spark).transform(cells.table)
-        w = F.col("w")[at]
-        mean = F.when(w > 0, F.col("s")[at] / w).otherwise(F.lit(0.0))
-        data = here.select("__x", w.alias("__w"), (mean if m == 0 else 2.0 * (mean - F.col("__pred"))).alias("__y"))
-        least = (min_instances - 0.5) / max(cells.totals[at], 0.5)
-        tree = DecisionTreeRegressor(featuresCol="__x", labelCol="__y", weightCol="__w", maxDepth=max_depth if least < 0.5 else 0, maxBins=most,
-                                     minWeightFractionPerNode=least if least < 0.5 else 0.0)
-        models.append(tree.fit(data))
-        weights.append(1.0 if m == 0 else step_size)
-    return _ensemble(models, weights, spark)
+    return _boosted(cells, trees, max_depth, step_size, min_instances, [[j + 1.5 for j in range(len(e))] for e in cells.edges])
 
 
 def moments(rows: DataFrame, target: str, cells: Cells) -> DataFrame:
@@ -218,6 +181,7 @@ def moments(rows: DataFrame, target: str, cells: Cells) -> DataFrame:
     return cut_lineage(found)
 
 
-def pipeline(cells: Cells, model: GBTRegressionModel) -> PipelineModel:
-    """Rows with the features -> ``__pred`` (and the bins, ``__x``)."""
-    return PipelineModel([bucketizer(cells.features, cells.edges), assembler(cells.features), model])
+def pipeline(cells: Cells, trees: int, max_depth: int, step_size: float, min_instances: int) -> PipelineModel:
+    """Rows with the features -> ``__pred`` (and ``__x``)."""
+    model = _boosted(cells, trees, max_depth, step_size, min_instances, cells.edges)
+    return PipelineModel([VectorAssembler(inputCols=cells.features, outputCol="__x", handleInvalid="error"), model])

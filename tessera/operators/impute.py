@@ -1,9 +1,10 @@
 """Model-based imputation with per-row flags.
 
 * ``fit_imputer`` / ``apply_imputer`` -- boosted regression trees
-  (``pyspark.ml`` ``GBTRegressor``; with few features the same trees over the
-  cells of their bins, ``tessera.operators.binned``) fitted on rows where the target is known,
-  applied with ``coalesce(target, prediction)`` so known cells never change.
+  (those of ``pyspark.ml`` ``GBTRegressor``; with few features grown over the
+  cells of their bins, ``tessera.operators.binned``, with more over packed rows,
+  ``tessera.operators.trees``, and by ``GBTRegressor`` itself where these pass a
+  task's bound) fitted on rows where the target is known, applied with ``coalesce(target, prediction)`` so known cells never change.
 * ``chained_impute`` -- several targets in order, each later imputer seeing
   the earlier filled columns (the second target's model uses the first
   target as a feature).
@@ -22,7 +23,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import binned
+from tessera.operators import binned, trees
 from tessera.operators.learners import linear
 from tessera.session import checkpoint_dir
 
@@ -43,13 +44,14 @@ def fit_imputer(df: DataFrame, target: str, features: list[str], *, max_iter: in
     known = df.where(F.col(target).isNotNull())
     cells = binned.fit_cells(known, target, features, max_iter, subsampling, seed)
     if cells is not None:
-        model = binned.pipeline(cells, binned.boost(cells, max_iter, max_depth, step_size, min_instances))
-        cells.done()
-        return model
+        return binned.pipeline(cells, max_iter, max_depth, step_size, min_instances)
     va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="error")
     gbt = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="__pred", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step_size, minInstancesPerNode=min_instances,
                        subsamplingRate=subsampling, seed=seed)
+    found = trees.grow_rows(known, target, features, max_iter, max_depth, step_size, min_instances, subsampling, seed)
+    if found is not None:
+        return PipelineModel([va, trees.spark_model(*found, max_iter, step_size, gbt)])
     return Pipeline(stages=[va, gbt]).fit(known)
 
 
