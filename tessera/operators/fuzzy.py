@@ -5,19 +5,24 @@ The c-means loop keeps only the centres between iterations (c x d doubles):
 memberships are a function of the previous centres, so one aggregate per
 iteration yields the next centres *and* the membership change of the
 previous iteration.  Rows are never collected; the input is checkpointed
-once (lineage cut into ``spark.checkpoint.dir``) and persisted.
+once (lineage cut into ``spark.checkpoint.dir``) and persisted.  Rows that fit
+one task (``PACKED_BYTES``) are iterated over in it, without a job an iteration.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
+PACKED_BYTES = 64 << 20            # rows that one task iterates over; more are passed over in a job an iteration
 _EPS = sys.float_info.epsilon      # the clip used by the common c-means code
 
 
@@ -70,6 +75,36 @@ def hash_init(key: str, c: int, seed: int = 42) -> list[Column]:
     return [F.greatest(x / s, F.lit(_EPS)) for x in raw]
 
 
+def _fit_packed(d: int, c: int, m: float, error: float, maxiter: int):
+    """All iterations of :func:`fcm_fit` over the rows of one task: Arrow batches (features, initial memberships, weight) -> one row."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.array([col.to_numpy(zero_copy_only=False) for col in b.columns], dtype=np.float64) for b in batches if b.num_rows]
+        rows = np.concatenate(parts, axis=1)
+        x, w = rows[:d], rows[-1]
+
+        def memberships(centers):
+            p = np.array([np.power(np.maximum(np.sqrt(sum(np.square(x[j] - at[j]) for j in range(d))), _EPS), -2.0 / (m - 1.0)) for at in centers])
+            return p / p.sum(axis=0)
+
+        def moved(u):
+            um = np.power(u, m) * w
+            # NULL cells take no part in a sum, as in the aggregate
+            return [[float(np.nansum(um[i] * x[j]) / np.nansum(um[i])) for j in range(d)] for i in range(c)]
+
+        before = rows[d:d + c]
+        centers, it, norm = moved(before), 1, float("inf")
+        while it < maxiter - 1:
+            u = memberships(centers)
+            norm = float(np.nansum(np.square(u - before).sum(axis=0) * w)) ** 0.5
+            if norm < error:
+                break
+            before, centers, it = u, moved(u), it + 1
+        yield pa.RecordBatch.from_arrays([pa.array([it], pa.int32()), pa.array([norm]), pa.array([[v for at in centers for v in at]], pa.list_(pa.float64()))],
+                                         names=["it", "norm", "centers"])
+
+    return of
+
+
 def fcm_fit(df: DataFrame, features: list[str], key: str, c: int = 2, m: float = 2.0,
             error: float = 1e-5, maxiter: int = 1000, weight: str | None = None, seed: int = 42,
             sort_centers: bool = True) -> tuple[list[list[float]], int, float]:
@@ -85,7 +120,14 @@ def fcm_fit(df: DataFrame, features: list[str], key: str, c: int = 2, m: float =
     data = data.toDF(*features, *init_names, "__w")
     # iterative job: cut the lineage once (reliable checkpoint in the shared
     # checkpoint folder) so each iteration plans against a plain scan
-    data = cut_lineage(data).persist()
+    data = cut_lineage(data)
+    n = data.count()
+    if 0 < n * 8 * len(data.columns) <= PACKED_BYTES:
+        # one task: what it holds is bounded by PACKED_BYTES, and hundreds of iterations start no job each
+        found = data.coalesce(1).mapInArrow(_fit_packed(len(features), c, m, error, maxiter), "it int, norm double, centers array<double>").first()
+        centers = np.array(found["centers"]).reshape(c, len(features)).tolist()
+        return sorted(centers) if sort_centers else centers, found["it"], found["norm"]
+    data = data.persist()
     x = [F.col(f) for f in features]
     w = F.col("__w")
 
