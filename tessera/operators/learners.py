@@ -3,7 +3,8 @@
 ``fit(df) -> Fitted``; ``Fitted.score(df) -> df + <name>`` (a probability, or
 a raw decision value when ``kind == "decision"``; the stack normalises those).
 
-* boosted trees   -- ``GBTClassifier`` (depth-wise trees; no leaf cap, no L1/L2)
+* boosted trees   -- ``GBTClassifier`` (depth-wise trees; no leaf cap, no L1/L2),
+  its trees grown in one task while the packed rows fit one (``tessera.operators.trees``)
 * linear margin   -- ``LinearSVC`` with ``regParam = 1 / (C * n)``
 * kernel margin   -- random Fourier features ``sqrt(2/D) cos(Wx + b)``,
   ``W ~ N(0, 2*gamma)``, ``b ~ U[0, 2pi)`` (Rahimi & Recht), then ``LinearSVC``;
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tessera.functions.numeric import sigmoid
-from tessera.operators import margins, neighbors, profile
+from tessera.operators import margins, neighbors, profile, trees
 from tessera.operators.stack import replicate_by_weight
 from tessera.session import checkpoint_dir
 
+TASK_ROWS = 1 << 16             # rows of a task of the linear margin
+
 
 def positive_probability(col: str = "probability") -> Column:
     return vector_to_array(F.col(col))[1]
@@ -106,13 +109,23 @@ def fit_gbt(df: DataFrame, features: list[str], label: str, key: str, name: str
     gbt = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=max_iter, stepSize=step_size,
                         maxDepth=max_depth, minInstancesPerNode=min_instances, subsamplingRate=subsampling,
                         seed=seed)
-    m = Pipeline(stages=[_assembler(features), gbt]).fit(df)
+    found = trees.grow_rows(df, label, features, max_iter, max_depth, step_size, min_instances, subsampling, seed, classes=True)
+    if found is not None:
+        m = PipelineModel([_assembler(features), trees.spark_model(*found, max_iter, step_size, gbt)])
+    else:
+        m = Pipeline(stages=[_assembler(features), gbt]).fit(df)
     return Fitted(name, "probability", features, key, m, {"family": "gbt"})
 
 
+def _dense(df: DataFrame, n: int) -> DataFrame:
+    """Rows in no more partitions than they are worth: an iteration over few rows is the start of its tasks."""
+    return df.coalesce(max(1, math.ceil(n / TASK_ROWS)))
+
+
 def fit_linear_svm(df: DataFrame, features: list[str], label: str, key: str, name: str = "LinearSVM",
                    C: float = 2.0, max_iter: int = 200, weight: str | None = None) -> Fitted:
     n = df.count()
+    df = _dense(df, n)
     svc = LinearSVC(featuresCol="__x", labelCol=label, regParam=1.0 / (C * max(n, 1)), maxIter=max_iter,
                     **({"weightCol": weight} if weight else {}))
     m = Pipeline(stages=[_assembler(features), svc]).fit(df)
@@ -179,6 +192,8 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, key: str, name: str
     if class_copies == "balanced":
         class_copies = balanced_copies(df, label)
     data = class_replication(df, label, class_copies) if class_copies else df
+    # rows of equal cost, dealt evenly: an iteration takes as long as its largest task
+    data = data.repartition(df.sparkSession.sparkContext.defaultParallelism)
     layers = [len(features), *hidden, 2]
     kw = {"initialWeights": initial_weights} if initial_weights is not None else {}
     mlp = MultilayerPerceptronClassifier(featuresCol="__x", labelCol=label, layers=layers, maxIter=max_iter,
