@@ -16,7 +16,8 @@
    groups, never with query-block pairs, and each query leaves ``k`` rows.
 4. **Screen.** Within a block, Chebyshev candidates are the rows inside the
    query's box, by bit sets over cuts of every dimension; Euclidean and cosine
-   candidates come from one matrix product.  Both only err on the side of more
+   candidates come from one matrix product, Minkowski ones of order 3, 4 and 5
+   from products of powers (``_Moments``).  All only err on the side of more
    candidates; distances themselves are then computed as defined.
 
 The triangle inequality is that of the metric itself where it is one; for
@@ -72,8 +73,11 @@ def _np_dist(metric: str, p: float, Q, T):
         nt = np.sqrt((T * T).sum(1))[None, :]
         return 1.0 - np.divide(Q @ T.T, nq * nt, out=np.zeros((len(Q), len(T))), where=nq * nt > 0)
     out = np.zeros((len(Q), len(T)))
+    x, y = np.empty_like(out), np.empty_like(out)
+    T = np.ascontiguousarray(T.T)                        # a dimension's values side by side
     for j in range(Q.shape[1] if len(Q) else 0):
-        x = np.abs(Q[:, j:j + 1] - T[None, :, j])
+        np.subtract(Q[:, j:j + 1], T[j], out=x)
+        np.abs(x, out=x)
         if metric == "chebyshev":
             np.maximum(out, x, out=out)
         elif metric in ("manhattan", "cityblock", "l1"):
@@ -82,7 +86,7 @@ def _np_dist(metric: str, p: float, Q, T):
             x *= x
             out += x
         elif p == int(p) and 1 <= p <= 8:
-            y = x.copy()
+            np.copyto(y, x)
             for _ in range(int(p) - 1):
                 y *= x
             out += y
@@ -355,10 +359,50 @@ def _pairs(gauge: Gauge, Q, T):
     out = np.zeros(len(Q))
     for s in range(0, len(Q), PIECE):
         x = np.abs(Q[s:s + PIECE] - T[s:s + PIECE])
-        out[s:s + PIECE] = _np_dist(gauge.metric, gauge.p, x, np.zeros((1, x.shape[1])))[:, 0]
+        out[s:s + PIECE] = _np_dist(gauge.metric, gauge.p, np.zeros((1, x.shape[1])), x)[0]
     return out
 
 
+class _Moments:
+    """What tells from matrix products that a Minkowski distance of order 3, 4 or 5 passes a bound.
+
+    The sums ``S(n)`` of the n-th powers of the differences are polynomials in the coordinates for even n, and log-convex
+    in n (Hoelder): ``S3^2 >= S4^3 / S6`` and ``S5^2 >= S4^3 / S2``.  Products are in single precision; ``slack`` bounds their
+    rounding, so the test only errs on the side of more candidates."""
+
+    NEED = {3.0: (4, 6), 4.0: (4,), 5.0: (4, 2)}
+
+    def __init__(self, p: float, T: np.ndarray):
+        self.p, self.scale = p, float(np.abs(T).max()) or 1.0
+        t = T / self.scale
+        self.rows = {n: (np.hstack([t ** k for k in range(1, n)]).astype(np.float32).T.copy(), (t ** n).sum(axis=1)) for n in self.NEED[p]}
+
+    def far(self, Q: np.ndarray, limit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """``(first row, [query, row])``, block by block: True where the distance is above the query's limit."""
+        q, most = Q / self.scale, limit / self.scale
+        own = {n: (np.hstack([(-1) ** k * math.comb(n, k) * q ** (n - k) for k in range(1, n)]).astype(np.float32), (q ** n).sum(axis=1)) for n in self.rows}
+        with np.errstate(over="ignore", invalid="ignore"):
+            power = (most ** (2 * self.p if len(own) > 1 else self.p) * (1 + 1e-5)).astype(np.float32)[:, None]
+            for lo in range(0, len(next(iter(self.rows.values()))[1]), 1024):
+                sums = {}
+                for n, (a, q_n) in own.items():
+                    b, t_n = self.rows[n]
+                    t_n = t_n[lo:lo + 1024]
+                    slack = (a.shape[1] + 16) * 1.2e-7 * 2.0 ** (n - 1)      # sum of |q|^n + |t|^n times this bounds the rounding
+                    side = -slack if n == 4 else slack
+                    x = a @ b[:, lo:lo + 1024]
+                    x += (q_n * (1 + side)).astype(np.float32)[:, None]
+                    x += (t_n * (1 + side)).astype(np.float32)
+                    sums[n] = x
+                least = np.maximum(sums.pop(4), 0.0)
+                if sums:
+                    other = sums.popitem()[1]
+                    other *= power
+                    yield lo, least * least * least > other
+                else:
+                    yield lo, least > power
+
+
 class _Screen:
     """Candidate pairs within the queries' bounds among the rows ``T`` of a piece."""
 
@@ -377,6 +421,8 @@ class _Screen:
             self.V, self.norm = T, (T * T).sum(1)
         elif gauge.metric == "cosine":
             self.V, self.norm = _unit(T), None
+        elif gauge.metric == "minkowski" and gauge.p in _Moments.NEED and T.size and np.isfinite(T).all():
+            self.moments = _Moments(float(gauge.p), T)
 
     def within(self, Q: np.ndarray, r: np.ndarray):
         """``(query, row, distance)`` of the pairs within ``r``."""
@@ -422,10 +468,18 @@ class _Screen:
 
     def _dense(self, Q, limit, at: int):
         gauge = self.gauge
+        if hasattr(self, "moments") and np.isfinite(Q).all():
+            near = [(lo, *np.nonzero(~far)) for lo, far in self.moments.far(Q, limit)]
+            q, t = np.concatenate([i for _, i, _ in near]), np.concatenate([j + lo for lo, _, j in near])
+            q, t, d = self._checked(Q, limit, q, t)
+            return q + at, t, d
         if not hasattr(self, "V"):
-            D = gauge.distance(Q, self.T)
-            q, t = np.nonzero((D <= limit[:, None]) & np.isfinite(D))
-            return q + at, t, D[q, t]
+            found = []
+            for lo in range(0, len(self.T), 256):            # 128 x 256: what a core's cache holds
+                D = gauge.distance(Q, self.T[lo:lo + 256])
+                q, t = np.nonzero((D <= limit[:, None]) & np.isfinite(D))
+                found.append((q + at, t + lo, D[q, t]))
+            return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if gauge.metric == "cosine":
             far = (1.0 - _unit(Q) @ self.V.T) > (limit + 1e-9)[:, None]
         else:

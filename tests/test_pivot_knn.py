@@ -101,3 +101,23 @@ def test_box_screen_finds_every_pair_within_its_bound():
     D = gauge.distance(Q, T)
     want = {(i, j) for i, j in zip(*np.nonzero(D <= r[:, None] * (1 + 1e-9) + 1e-12))}
     assert screen.box and set(zip(q.tolist(), t.tolist())) == want and (d == D[q, t]).all()
+
+
+@pytest.mark.parametrize("p", [3.0, 4.0, 5.0])
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e30])
+def test_moments_keep_every_pair_within_its_bound(p, scale, monkeypatch):
+    rng = np.random.default_rng(5)
+    gauge = neighbors.Gauge("minkowski", p)
+    T, Q = rng.normal(size=(2100, 24)) * scale, rng.normal(size=(150, 24)) * scale
+    T[:40], T[50:60] = Q[:40], Q[40] * (1 + 1e-7)            # equal and all but equal rows
+    T[60], Q[149] = 0.0, 0.0
+    D = gauge.distance(Q, T)
+    r = np.sort(D, axis=1)[np.arange(150), rng.integers(0, 60, 150)]
+    r[7] = np.inf
+    checked, pairs = [], neighbors._pairs
+    monkeypatch.setattr(neighbors, "_pairs", lambda g, a, b: (checked.append(len(a)), pairs(g, a, b))[1])
+    q, t, d = neighbors._Screen(gauge, T, len(Q)).within(Q, r)
+    want = {(i, j) for i, j in zip(*np.nonzero(D <= r[:, None] * (1 + 1e-9) + 1e-12))}
+    assert set(zip(q.tolist(), t.tolist())) == want and (d == D[q, t]).all()
+    if scale >= 1:                                           # limits have an absolute slack of 1e-12
+        assert 0 < sum(checked) < 0.2 * D.size
