@@ -78,24 +78,29 @@ def hash_init(key: str, c: int, seed: int = 42) -> list[Column]:
 def _fit_packed(d: int, c: int, m: float, error: float, maxiter: int):
     """All iterations of :func:`fcm_fit` over the rows of one task: Arrow batches (features, initial memberships, weight) -> one row."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.array([col.to_numpy(zero_copy_only=False) for col in b.columns], dtype=np.float64) for b in batches if b.num_rows]
-        rows = np.concatenate(parts, axis=1)
-        x, w = rows[:d], rows[-1]
+        parts, nulls = [], []
+        for b in batches:
+            parts.append(np.array([col.to_numpy(zero_copy_only=False) for col in b.columns], dtype=np.float64))
+            nulls.append(np.array([col.is_null().to_numpy(zero_copy_only=False) for col in b.columns], dtype=bool))
+        rows, gone = np.concatenate(parts, axis=1), np.concatenate(nulls, axis=1)
+        x, w, some = rows[:d], np.where(gone[-1], 0.0, rows[-1]), gone[:d].any(axis=0)
+        x[gone[:d]] = 0.0                               # NULL cells take no part in a sum, as in the aggregate
 
         def memberships(centers):
-            p = np.array([np.power(np.maximum(np.sqrt(sum(np.square(x[j] - at[j]) for j in range(d))), _EPS), -2.0 / (m - 1.0)) for at in centers])
+            # greatest() passes over NULL: a row with a NULL cell lies at _EPS from every centre
+            dist = [np.sqrt(sum(np.square(x[j] - at[j]) for j in range(d))) for at in centers]
+            p = np.array([np.power(np.where(some, _EPS, np.maximum(at, _EPS)), -2.0 / (m - 1.0)) for at in dist])
             return p / p.sum(axis=0)
 
         def moved(u):
             um = np.power(u, m) * w
-            # NULL cells take no part in a sum, as in the aggregate
-            return [[float(np.nansum(um[i] * x[j]) / np.nansum(um[i])) for j in range(d)] for i in range(c)]
+            return [[float((um[i] * x[j]).sum() / um[i].sum()) for j in range(d)] for i in range(c)]
 
         before = rows[d:d + c]
         centers, it, norm = moved(before), 1, float("inf")
         while it < maxiter - 1:
             u = memberships(centers)
-            norm = float(np.nansum(np.square(u - before).sum(axis=0) * w)) ** 0.5
+            norm = float((np.square(u - before).sum(axis=0) * w).sum()) ** 0.5
             if norm < error:
                 break
             before, centers, it = u, moved(u), it + 1

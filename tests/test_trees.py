@@ -76,7 +76,8 @@ def test_odd_rows(spark):
 
 
 def test_clustering_in_one_task_is_the_loop(rows, monkeypatch):
-    df = rows.withColumn("w", F.lit(2.0))
+    gap = F.when(F.col("key") % 7 > 0, F.col("c"))                       # NULL cells
+    df = rows.withColumn("w", F.when(F.col("key") % 11 > 0, 2.0)).withColumn("c", gap)
     seen = []
     packed = fuzzy._fit_packed
     monkeypatch.setattr(fuzzy, "_fit_packed", lambda *a: (seen.append(a), packed(*a))[1])
